@@ -27,7 +27,8 @@ def events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", "value")
 
 
-_USER = W.partitionBy("user_id").orderBy("event_id")
+def _by_user():
+    return W.partitionBy("user_id").orderBy("event_id")
 
 
 @query("""SELECT event_id, user_id, floor(s / 100e0) > floor((s - v) / 100e0) AS fired FROM (SELECT event_id, user_id, v, sum(v) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s
@@ -35,12 +36,12 @@ FROM (SELECT event_id, user_id, CAST(round(least(abs(value), 100e0)) AS DOUBLE)
 def interval_trigger(spark, sf_dir):
     """Whole increments, so that sums are exact."""
     e = events(spark, sf_dir).withColumn("v", F.round(F.least(F.abs("value"), F.lit(100.0))))
-    return e.select("event_id", "user_id", S.triggered(F.col("v"), _USER, 100.0).alias("fired"))
+    return e.select("event_id", "user_id", S.triggered(F.col("v"), _by_user(), 100.0).alias("fired"))
 
 
 @query("""SELECT event_id, user_id, round(sum(value * 0.25e0) OVER w, 4) AS proper_time, round(min(abs(value)) OVER w, 6) AS least_lapse FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def proper_time(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", "user_id", F.round(S.running_sum(F.col("value") * 0.25, _USER), 4).alias("proper_time"), F.round(S.running_min_abs(F.col("value"), _USER), 6).alias("least_lapse"))
+    return events(spark, sf_dir).select("event_id", "user_id", F.round(S.running_sum(F.col("value") * 0.25, _by_user()), 4).alias("proper_time"), F.round(S.running_min_abs(F.col("value"), _by_user()), 6).alias("least_lapse"))
 
 
 @query(f"SELECT event_type, i, round((lag(u, 4) OVER w - 8e0 * lag(u, 3) OVER w + 8e0 * lag(u, 1) OVER w - u) / 12e0, 4) + 0e0 AS rate FROM ({SQL['hours']}) WINDOW w AS (PARTITION BY event_type ORDER BY i)")
@@ -71,7 +72,7 @@ def uncached_params(spark, sf_dir):
 a AS (SELECT user_id, max(k) AS hi, min(k) FILTER (s) AS o, max(k) FILTER (NOT s) AS f FROM n GROUP BY user_id)
 SELECT user_id, CAST(CASE WHEN o IS NULL THEN hi WHEN o > 0 THEN o - 1 END AS INTEGER) AS start_place, CAST(CASE WHEN f IS NULL THEN 0 WHEN f < hi THEN f + 1 END AS INTEGER) AS end_place FROM a""")
 def bracket(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("k", F.row_number().over(_USER) - 1)
+    e = events(spark, sf_dir).withColumn("k", F.row_number().over(_by_user()) - 1)
     return S.bracket(e, ["user_id"], "k", F.col("value") > 50)
 
 
@@ -143,3 +144,19 @@ def find_mass(spark, sf_dir):
     """Where each series is largest first, and half of that value."""
     x = hours(spark, sf_dir).groupBy("event_type").agg(F.min_by(F.struct("i", "u"), F.struct((-F.col("u")).alias("a"), "i")).alias("m"))
     return x.select("event_type", F.col("m.i").alias("place"), (F.col("m.u") / 2).alias("mass"))
+
+
+@query(None)
+def spherical_runs(spark, sf_dir):
+    """Short simulations of a few amplitudes, one kernel for each batch of parameters."""
+    from ..operators.spherical import Run, simulated
+
+    out = simulated(N.log_range(spark, 1 / 2048, 1 / 2, 6).repartition(2), Run(cells=64, steps=40))
+    return out.select("param", "status", F.round("mass", 4).alias("mass"), "steps", F.round("least_lapse", 4).alias("least_lapse"))
+
+
+@query(None)
+def float_keys(spark, sf_dir):
+    """Exact keys of doubles: the hex digits of their bits."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return o.select("o_orderkey", N.float_key(F.col("o_totalprice")).alias("bits"))

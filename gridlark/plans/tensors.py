@@ -60,11 +60,11 @@ def metric_det_inv(spark, sf_dir):
 _GAMMA = f"SELECT *, a * c - b * b AS det, 0.5e0 * p AS g000, 0.5e0 * q AS g001, p - 0.5e0 * (p + q) AS g011, q - 0.5e0 * q AS g100, 0.5e0 * (p + q) AS g101, 0.5e0 * (p - q) AS g111 FROM ({_BASE})"
 
 
-@query(f"SELECT l_orderkey, l_linenumber, round((c * g000 - b * g100) / det, 5) AS c000, round((c * g001 - b * g101) / det, 5) AS c001, round((c * g011 - b * g111) / det, 5) AS c011, round((a * g100 - b * g000) / det, 5) AS c100, round((a * g101 - b * g001) / det, 5) AS c101, round((a * g111 - b * g011) / det, 5) AS c111 FROM ({_GAMMA})")
+@query(f"SELECT l_orderkey, l_linenumber, round((c * g000 - b * g100) / det, 5) + 0e0 AS c000, round((c * g001 - b * g101) / det, 5) + 0e0 AS c001, round((c * g011 - b * g111) / det, 5) + 0e0 AS c011, round((a * g100 - b * g000) / det, 5) + 0e0 AS c100, round((a * g101 - b * g001) / det, 5) + 0e0 AS c101, round((a * g111 - b * g011) / det, 5) + 0e0 AS c111 FROM ({_GAMMA})")
 def christoffel(spark, sf_dir):
     g = metric().christoffel()
     named = {"c" + "".join(map(str, i)): g[i] for i in ((0, 0, 0), (0, 0, 1), (0, 1, 1), (1, 0, 0), (1, 0, 1), (1, 1, 1))}
-    return rows(spark, sf_dir).select("l_orderkey", "l_linenumber", *[F.round(v, 5).alias(k) for k, v in named.items()])
+    return rows(spark, sf_dir).select("l_orderkey", "l_linenumber", *[(F.round(v, 5) + 0.0).alias(k) for k, v in named.items()])
 
 
 @query(f"SELECT l_orderkey, l_linenumber, round((c * p - 2e0 * b * q + a * p) / det, 5) AS trace, round((c * p - b * q) / det, 5) AS r00, round((c * q - b * p) / det, 5) AS r01 FROM (SELECT *, a * c - b * b AS det FROM ({_BASE}))")
