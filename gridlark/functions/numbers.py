@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import struct
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +38,6 @@ def decode_float(text: str) -> float:
 
 def float_key(column: Column) -> Column:
     """:func:`encode_float` for a column, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def key(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else encode_float(float(v)))
