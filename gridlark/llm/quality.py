@@ -75,7 +75,7 @@ def line_fails(line: Column) -> Column:
 
 
 def judged(docs: DataFrame, *, max_loss: int = MAX_LOSS) -> DataFrame:
-    """``docs`` with ``quality``, a struct of the counts, ``cleaned`` (the text left) and ``kept``."""
+    """``docs`` with ``__quality``, a struct of the counts, ``cleaned`` (the text left) and ``kept``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), x.rlike(r"[^\x20\x09-\x0D]").alias("has")))
 
@@ -111,21 +111,21 @@ def judged(docs: DataFrame, *, max_loss: int = MAX_LOSS) -> DataFrame:
         inner = [p["l"][c].alias(c) for c in ("word_chars", "n_dup_lines", "n_lines", "n_failed_lines", "lost_chars", "cleaned")]
         return F.struct(n.alias("n_words"), r.alias("n_repeat_words"), symbols.alias("n_symbols"), *inner, base.alias("base_failed"), kept.alias("kept"))
 
-    return docs.withColumn("quality", let(parts, verdict))
+    return docs.withColumn("__quality", let(parts, verdict))
 
 
 def quality_rules(docs: DataFrame, *, max_loss: int = MAX_LOSS) -> DataFrame:
     """A row for each document: its counts and the verdict."""
     q = judged(docs.select("doc_id", "text"), max_loss=max_loss)
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", "lost_chars")
-    return q.select("doc_id", *[F.col("quality")[c].alias(c) for c in columns])
+    return q.select("doc_id", *[F.col("__quality")[c].alias(c) for c in columns])
 
 
 def cleaned_documents(docs: DataFrame, *, max_loss: int = MAX_LOSS) -> DataFrame:
     """The documents kept, without the lines that fail; ``n_chars``, if there, counts the text left."""
-    out = judged(docs, max_loss=max_loss).filter("quality.kept")
-    text = F.when(F.col("quality.n_failed_lines") > 0, F.col("quality.cleaned")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(F.col("quality.n_failed_lines") > 0, F.length("quality.cleaned").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    out = judged(docs, max_loss=max_loss).filter("__quality.kept")
+    text = F.when(F.col("__quality.n_failed_lines") > 0, F.col("__quality.cleaned")).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.when(F.col("__quality.n_failed_lines") > 0, F.length("__quality.cleaned").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*[new[c].alias(c) if new.get(c) is not None else F.col(c) for c in docs.columns])
 
 
