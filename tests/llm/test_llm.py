@@ -432,3 +432,17 @@ def test_pipeline(spark, sf_dir, docs):
     packed = P.best_fit_packing(spark, mixed, sf_dir).collect()
     assert len({r.doc_id for r in packed}) <= kept.count()
     assert P.run(spark, sf_dir).count() == len(packed)
+
+
+def test_clashing_columns(spark):
+    """Further columns keep their values, whatever they are called."""
+    names = ("quality", "kept", "size", "row", "h", "copy", "target", "taken", "word", "key", "sig", "a", "b", "found", "want", "digest", "pii_new", "cleaned", "score", "z")
+    text = " ".join(f"word{i} number{i * 3}." for i in range(60))
+    df = spark.createDataFrame([(i, f"{text} more{i}.", "en", "s", len(text)) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    wide = df.select("*", *[F.lit(7).alias(n) for n in names])
+    for operator in (*OPERATORS.values(), jaccard_join.one_of_each):
+        out = operator(wide)
+        assert out.count() >= 1
+        for n in set(names) & set(out.columns):
+            if operator in (quality.cleaned_documents, pii.with_surrogates, mixing.mixed_documents, jaccard_join.one_of_each):
+                assert {r[n] for r in out.select(n).collect()} == {7}
