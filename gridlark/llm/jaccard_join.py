@@ -5,7 +5,7 @@ are one class from the start, so copies are never compared. Classes are then tre
 ``x`` chosen from the histogram of sizes so that the cost of both parts together is least:
 
 * light, both sets up to ``x``: all subsets of the fixed size c are enumerated, for each c that a partner's
-  size can ask for; two sets link exactly if they share such a subset, so the subset's hash is a join key;
+  size can ask for; sets that link share such a subset, so the subset's hash is a join key;
 * heavy, the larger set above ``x``: inverted lists. A list of a single shingle may be as long as the corpus,
   so the key of a list is the content of a block of shingles: a set's shingles are dealt by hash into
   ``d + 1 + SPARE`` blocks, where d is the largest difference that two linked sets of this band of sizes can
@@ -13,12 +13,13 @@ are one class from the start, so copies are never compared. Classes are then tre
   sets with more than SPARE empty blocks list the empty ones too. Bands are as wide as the threshold, so
   partners are in the same band or the next, and sets are listed in both.
 
-Lists and subsets with a single class are dropped. In the others the class that shares most lists is the
-pivot, compared with the members that are not linked to it yet; exact overlaps decide. Groups whose members
-are all linked, directly or not, are settled; the others go on with 2, 4, 8, ... further pivots until they
-are settled or every pair in them that is not yet connected has been compared. So near copies cost a
-comparison each, no link between different texts is lost, and nothing is compared by the square of a group's
-size unless its members really are apart. Groups, links and labels are stored tables; none is collected.
+Lists and subsets with a single class are dropped. In each of the others the class that shares most lists is
+the hub, and all classes that have a list in common with a hub are its members. Members are first compared
+with their hub: one row each, so a group of near copies of one text costs a comparison each. Where members are
+still not connected, directly or not, they are compared with each other: members are dealt into blocks of at
+most ``BLOCK``, a task gets two blocks, counts overlaps in matrices of bounded size, and returns a forest of
+the links it has found, so pairs are never rows. Overlaps are exact and no link between different texts is
+lost. Groups, links and labels are stored tables; none is collected.
 
 Texts without words and null texts have the empty set, link with nothing and are components of their own.
 Rows that repeat a ``doc_id`` get a row each, with the component of their own text.
@@ -43,6 +44,8 @@ from .common import drop_stored, sliced, stored, texts
 LIGHT = 40
 #: Blocks beyond the pigeonhole's, so that empty ones do not matter.
 SPARE = 2
+#: Members of a block; a task compares two blocks at a time.
+BLOCK = 500
 #: What a list entry costs against a subset: it also brings comparisons that may fail.
 LIST_COST = 2.0
 
@@ -185,38 +188,41 @@ def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(kernel, "doc_id long, n long, key long, own array<long>, next array<long>, light array<long>")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, label): the smallest label in each node's component, by passing minima and jumping on.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that each node of ``edges`` (a, b) is connected with.
 
-    nodes: key; links: a, b. Every round is a stored table; the rounds grow with the logarithm of a
-    component's diameter.
+    Minima pass along the edges; from the third round on labels also jump to their own labels, so that the
+    rounds grow with the logarithm of a component's diameter. Every round is a stored table.
     """
-    both = stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "join-edges")
-    labels = stored(nodes.select("key", F.col("key").alias("label")), "join-labels")
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "join-edges")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
+    labels, rounds = stored(labels, "join-labels"), 0
     while True:
-        near = both.join(labels, F.col("b") == F.col("key")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("key") == F.col("a"), "left").select("key", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        step = stored(step, "join-step")
-        jump = step.alias("x").join(step.select(F.col("key").alias("j"), F.col("label").alias("far")), F.col("label") == F.col("j")).select("key", "was", F.least("label", "far").alias("label"))
-        jump = stored(jump, "join-labels")
-        changed = jump.filter("label <> was").limit(1).count()
-        drop_stored(step)
+        rounds += 1
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        if rounds > 2:
+            step = stored(step, "join-step")
+            far = step.select(F.col("node").alias("j"), F.col("label").alias("far"))
+            step = step.join(far, F.col("label") == F.col("j")).select("node", "was", F.least("label", "far").alias("label"))
+        step = stored(step, "join-labels")
         drop_stored(labels)
-        labels = jump.select("key", "label")
-        if not changed:
+        labels = step.select("node", "label")
+        if not step.filter("label <> was").limit(1).count():
             return labels
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
-    """Labels (key, label) of all classes that share a list or subset.
+def link_classes(docs: DataFrame, classes: DataFrame, groups: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
+    """(key, label) of the classes that link with another one.
 
     classes: key, doc_id of one document; groups: sig, key, at least two keys for each sig.
     """
     degree = groups.groupBy("key").agg(F.count("*").alias("degree"))
-    place = W.partitionBy("sig").orderBy(F.col("degree").desc(), "key")
-    ranked = stored(groups.join(degree, "key").withColumn("r", F.row_number().over(place) - 1), "join-groups")
-    nodes = stored(degree.select("key"), "join-nodes")
-    wanted = stored(nodes.join(classes, "key").select(F.col("doc_id").alias("w_doc"), F.col("key").alias("w_key")), "join-wanted")
+    hub = F.max_by("key", F.struct("degree", "key"))
+    joined = groups.join(degree, "key")
+    hubs = joined.groupBy("sig").agg(hub.alias("hub")).select(F.col("sig").alias("h_sig"), "hub")
+    members = stored(groups.join(hubs, F.col("sig") == F.col("h_sig")).select("hub", "key").distinct(), "join-members")
+    wanted = stored(degree.select("key").join(classes, "key").select(F.col("doc_id").alias("w_doc"), F.col("key").alias("w_key")), "join-wanted")
 
     def kernel(batches):
         import pyarrow as pa
@@ -233,30 +239,96 @@ def link_classes(docs: DataFrame, classes: DataFrame, groups: DataFrame, rule: R
 
     chosen = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("w_doc")).select("text", F.col("w_key").alias("key"))
     sets = stored(chosen.mapInArrow(kernel, "key long, shingles array<long>").dropDuplicates(["key"]), "join-sets")
-    labels, links, compared, pivots = nodes.select("key", F.col("key").alias("label")), None, None, (0, 1)
-    while True:
-        marked = ranked.join(labels, "key")
-        top = W.partitionBy("sig")
-        # only lists whose members are not all connected, and that still have members beyond the pivots
-        alive = marked.withColumn("lo", F.min("label").over(top)).withColumn("hi", F.max("label").over(top)).withColumn("last", F.max("r").over(top))
-        alive = stored(alive.filter((F.col("lo") != F.col("hi")) & (F.col("last") > pivots[0])).select("sig", "key", "label", "r"), "join-alive")
-        if not alive.limit(1).count():
-            return labels
-        heads = alive.filter((F.col("r") >= pivots[0]) & (F.col("r") < pivots[1])).select(F.col("sig").alias("p_sig"), F.col("key").alias("p"), F.col("label").alias("p_label"), F.col("r").alias("p_r"))
-        pairs = alive.join(heads, (F.col("sig") == F.col("p_sig")) & (F.col("r") > F.col("p_r")) & (F.col("label") != F.col("p_label"))).select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "join-pairs")
-        one, two = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"s_{k}")) for k in ("a", "b"))
-        shared = F.size(F.array_intersect("s_a", "s_b"))
-        enough = rule.den * shared >= rule.num * (F.size("s_a") + F.size("s_b") - shared)
-        low, high = F.least(F.size("s_a"), F.size("s_b")), F.greatest(F.size("s_a"), F.size("s_b"))
-        new = stored(pairs.join(one, "a").join(two, "b").filter(rule.den * low >= rule.num * high).filter(enough).select("a", "b"), "join-links")
-        links = new if links is None else links.union(new)
-        compared = pairs if compared is None else compared.union(pairs)
-        if new.limit(1).count():
-            labels = components(nodes, links)
-        pivots = (pivots[1], pivots[1] * 2 + 1)
+    released(docs.sparkSession)
+    # members against their hubs
+    of_hub = sets.select(F.col("key").alias("k_hub"), F.col("shingles").alias("s_hub"))
+    own, other = F.size("shingles"), F.size("s_hub")
+    shared = F.size(F.array_intersect("shingles", "s_hub"))
+    enough = (rule.den * F.least(own, other) >= rule.num * F.greatest(own, other)) & (rule.den * shared >= rule.num * (own + other - shared))
+    pairs = members.filter("hub <> key").join(sets, "key").join(of_hub, F.col("hub") == F.col("k_hub")).filter(enough)
+    links = stored(pairs.select(F.col("hub").alias("a"), F.col("key").alias("b")), "join-links")
+    labels = stored(components(links).select(F.col("node").alias("key"), "label"), "join-labels")
+    # members of hubs that are not all connected yet, in blocks
+    of = F.coalesce("label", "key")
+    marked = members.join(labels, "key", "left").select("hub", "key", of.alias("label"))
+    open_hubs = marked.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2")
+    open_hubs = open_hubs.select(F.col("hub").alias("o_hub"), F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blocks"))
+    some = stored(marked.join(open_hubs, F.col("hub") == F.col("o_hub")).select("hub", "key", "label", "blocks"), "join-open")
+    mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    dealt = some.withColumn("mine", mine).withColumn("yours", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("hub", F.least("mine", "yours").alias("i"), F.greatest("mine", "yours").alias("j"), "mine", "key", "label")
+    rows = dealt.join(sets, "key").select("hub", "i", "j", "mine", "key", "label", "shingles")
+
+    def compare(batches):
+        import pyarrow as pa
+
+        out: list[tuple[int, int]] = []
+        for group in runs(batches):
+            out += forest(group, rule)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    more = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(compare, "a long, b long")
+    more = stored(more.distinct(), "join-links")
+    if not more.limit(1).count():
+        return labels
+    return components(links.union(more)).select(F.col("node").alias("key"), "label")
+
+
+def runs(batches):
+    """Rows (hub, i, j, mine, key, label, shingles) in order, gathered for each (hub, i, j)."""
+    at, group = None, []
+    for batch in batches:
+        hub, i, j, mine, key, label = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        lists = batch.column(6)
+        values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        for r in range(batch.num_rows):
+            if (now := (hub[r], i[r], j[r])) != at:
+                if group:
+                    yield group
+                at, group = now, []
+            group.append((int(key[r]), int(label[r]), int(mine[r]), i[r] == j[r], values[offsets[r] : offsets[r + 1]].copy()))
+    if group:
+        yield group
+
+
+def forest(group, rule: Rule, width: int = 4096) -> list[tuple[int, int]]:
+    """Links of a block with itself, or of two blocks with each other, that connect what is not connected yet."""
+    labels = {x[1] for x in group}
+    if len(labels) < 2:
+        return []
+    sizes = np.array([len(x[4]) for x in group])
+    side, within = np.array([x[2] for x in group]), group[0][3]
+    owner = np.repeat(np.arange(len(group)), sizes)
+    elements, column, count = np.unique(np.concatenate([x[4] for x in group]), return_inverse=True, return_counts=True)
+    often = count > 1
+    column, owner = (np.cumsum(often) - 1)[column][keep := often[column]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    shared = np.zeros((len(group), len(group)), np.float32)
+    for at in range(0, int(often.sum()), width):
+        lo, hi = np.searchsorted(column, (at, at + width))
+        part = np.zeros((len(group), width), np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        shared += part @ part.T
+    shared = shared.astype(np.int64)  # whole numbers below 2 ** 24
+    linked = np.triu(rule.den * shared >= rule.num * (sizes[:, None] + sizes[None, :] - shared), 1)
+    if not within:
+        linked &= side[:, None] != side[None, :]
+    root = {x: x for x in labels}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(linked), strict=True):
+        a, b = find(group[x][1]), find(group[y][1])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((group[x][0], group[y][0]))
+    return out
 
 
 def released(spark) -> None:
@@ -319,5 +391,5 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     Rows that repeat a ``doc_id`` stay or go by that id.
     """
-    out = stored(jaccard_components(docs, rule).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "join-gone")
-    return docs.join(out, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    out = stored(jaccard_components(docs, rule).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "join-gone")
+    return docs.join(out, F.col("doc_id") == F.col("__gone"), "left_anti")
