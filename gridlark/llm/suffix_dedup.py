@@ -39,7 +39,7 @@ from .common import sliced, stored, texts
 class Cut:
     size: int = 400  # bytes that have to repeat
     gram: int = 32  # bytes of an anchor
-    shard: int = 4 << 20  # bytes of a suffix array
+    shard: int = 1 << 20  # bytes of a suffix array
 
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -98,8 +98,11 @@ def anchors(a: np.ndarray, cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.concatenate(out_key), np.concatenate(out_from), np.concatenate(out_to)
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of their suffixes' first ``depth`` bytes at least, and each one's rank.
+def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions in the order of their suffixes' first ``depth`` bytes at least; ranks before the last round.
+
+    The ranks are equal where suffixes share that many bytes (the last item), which is half of ``depth`` or
+    more. Suffixes of fewer than 8 zero bytes may tie.
 
     Larsson-Sadakane refinement: suffixes are in groups of equal prefixes, a group's rank is the place of
     its last member, and a round doubles the prefix by sorting each open group by the ranks that follow.
@@ -109,10 +112,8 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = key << np.uint64(8) | padded[k : k + n]
-    short = n - np.arange(n) < 8  # a suffix that ends sorts before one that goes on with zero bytes
-    order = np.lexsort((np.where(short, n - np.arange(n), 8), key))
-    size_at = np.where(short, n - np.arange(n), 8)[order]
-    new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (size_at[1:] != size_at[:-1])]) if n else np.zeros(0, bool)
+    order = np.argsort(key)  # a suffix that ends ties with one that goes on with zero bytes; what follows decides
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if n else np.zeros(0, bool)
     rank = np.zeros(n, np.int64)
 
     def number(places: np.ndarray, fresh: np.ndarray) -> None:
@@ -123,9 +124,10 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
     if n:
         number(np.arange(n), new)
-    h = 8
+    h, before, known = 8, rank, 8
     open_ = np.arange(n)
     while h < depth and len(open_):
+        before, known = rank.copy() if 2 * h >= depth else rank, h
         top = rank[order[open_]]
         size = np.bincount(top, minlength=n)[top]
         open_ = open_[size > 1]
@@ -134,17 +136,20 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         at = order[open_]
         group = rank[at]
         follow = np.where(at + h < n, rank[np.minimum(at + h, n - 1)], -1)
-        by = np.lexsort((follow, group))
+        both = group * (n + 1) + follow + 1
+        by = np.argsort(both)
         order[open_] = at[by]
-        g, f = group[by], follow[by]
-        number(open_, np.concatenate([[True], (g[1:] != g[:-1]) | (f[1:] != f[:-1])]))
+        both = both[by]
+        number(open_, np.concatenate([[True], both[1:] != both[:-1]]))
         h *= 2
-    return order, rank
+    return order, before, known
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, begins: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, begins: np.ndarray, depth: int, rank: np.ndarray | None = None, known: int = 0) -> np.ndarray:
     """For each place in the order, the length of the prefix it shares with the place before, up to ``depth``.
 
+    With ``rank``, neighbours of equal rank share ``known`` bytes at least, and for others 0 is returned.
+
     Kasai's algorithm: going from a suffix to the next one in the text, the shared length drops by one at
     most. All contexts (``begins``: their first positions) go along in step.
     """
@@ -154,6 +159,10 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, begins: np.ndarray, dep
     before = np.where(inverse > 0, order[np.maximum(inverse - 1, 0)], -1)
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    if rank is not None:
+        apart = np.ones(n, bool)
+        apart[order[1:]] = rank[order[1:]] != rank[order[:-1]]
+        before[apart] = -1
     out = np.zeros(n, np.int32)
     ends = np.concatenate([begins[1:], [n]])
     at, shared = begins.copy(), np.zeros(len(begins), np.int64)
@@ -163,7 +172,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, begins: np.ndarray, dep
         j = before[i]
         have = np.where(j >= 0, shared[live], 0)
         room = np.minimum(depth, np.where(j >= 0, n - np.maximum(i, j), 0))
-        have = np.minimum(have, room)
+        have = np.minimum(np.maximum(have, known), room)
         todo = np.nonzero(have < room)[0]
         while len(todo):  # 8 bytes at a time
             x, y = i[todo] + have[todo], j[todo] + have[todo]
@@ -171,7 +180,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, begins: np.ndarray, dep
             have[todo] += np.minimum(same, room[todo] - have[todo])
             todo = todo[(same == 8) & (have[todo] < room[todo])]
         out[inverse[i]] = have
-        shared[live] = np.maximum(have - 1, 0)
+        # suffixes alike up to the depth are in no true order, so nothing follows for the next ones
+        shared[live] = np.where(have < depth, np.maximum(have - 1, 0), 0)
         at[live] += 1
         live = live[at[live] < ends[live]]
     return out
@@ -188,10 +198,10 @@ class Shard:
         counts = lengths - cut.size + 1
         self.owner = np.repeat(np.arange(len(contexts)), counts)
         self.starts = np.repeat(self.begins, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.order, _ = suffix_array(self.data, cut.size)
+        self.order, rank, known = suffix_array(self.data, cut.size)
         valid = np.zeros(len(self.data), bool)
         valid[self.starts] = True
-        self.lcp = common_prefixes(self.data, self.order, self.begins, cut.size)
+        self.lcp = common_prefixes(self.data, self.order, self.begins, cut.size, rank, known)
         # runs of places whose strings are equal; only strings that lie in one context count
         run = np.cumsum(self.lcp < cut.size)
         mine = valid[self.order]
