@@ -64,7 +64,9 @@ class Pieces:
             order = np.argsort(hashes)
             if len(np.unique(hashes)) < len(hashes):
                 raise ValueError("two pieces have one hash")
-            self.tables.append((hashes[order], (order + at).astype(np.int64)))
+            maybe = np.zeros(1 << 20, bool)  # by the high bits, to skip most spans that are no piece
+            maybe[hashes >> np.uint64(44)] = True
+            self.tables.append((hashes[order], (order + at).astype(np.int64), maybe))
             at += len(group)
 
     @classmethod
@@ -86,10 +88,14 @@ class Pieces:
             h = (h * int(self.BASE) + b + 1) % (1 << 64)
         return h
 
-    def find(self, hashes: np.ndarray, last: bool) -> np.ndarray:
-        known, ids = self.tables[last]
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        return np.where(known[at] == hashes, ids[at], -1)
+    def find(self, hashes: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Where the hashes are those of pieces, and the ids of these."""
+        known, ids, maybe = self.tables[last]
+        some = np.nonzero(maybe[hashes >> np.uint64(44)])[0]
+        wanted = hashes[some]
+        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        hit = known[at] == wanted
+        return some[hit], ids[at[hit]]
 
 
 def lattice(words: list[bytes], pieces: Pieces):
@@ -105,8 +111,8 @@ def lattice(words: list[bytes], pieces: Pieces):
             yield np.array(part), letters, length
 
 
-def edges(letters: np.ndarray, length: int, pieces: Pieces) -> dict[tuple[int, int], np.ndarray]:
-    """For each span (i, j) that some word has a piece for: the ids of the pieces, -1 where there is none."""
+def edges(letters: np.ndarray, length: int, pieces: Pieces) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """For each span (i, j) that some word has a piece for: these words' rows, and the ids of the pieces."""
     found = {}
     prefix = np.zeros((length + 1, len(letters)), np.uint64)
     power = np.ones(length + 1, np.uint64)
@@ -116,18 +122,17 @@ def edges(letters: np.ndarray, length: int, pieces: Pieces) -> dict[tuple[int, i
             power[j + 1] = power[j] * pieces.BASE
         for j in range(1, length + 1):
             for i in range(max(0, j - pieces.longest), j):
-                ids = pieces.find(prefix[j] - prefix[i] * power[j - i], j == length)
-                if (ids >= 0).any():
-                    found[i, j] = ids
+                rows, ids = pieces.find(prefix[j] - prefix[i] * power[j - i], j == length)
+                if len(rows):
+                    found[i, j] = rows, ids
     return found
 
 
 def forward(found, n: int, length: int, score: np.ndarray) -> np.ndarray:
     alpha = np.full((length + 1, n), NEVER)
     alpha[0] = 0
-    padded = np.append(score, NEVER)  # for id -1
-    for (i, j), ids in sorted(found.items(), key=lambda x: x[0][1]):
-        alpha[j] = np.logaddexp(alpha[j], alpha[i] + padded[ids])
+    for (i, j), (rows, ids) in sorted(found.items(), key=lambda x: x[0][1]):
+        alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + score[ids])
     return alpha
 
 
@@ -142,18 +147,19 @@ def log_probability(words: list[bytes], pieces: Pieces, score: np.ndarray) -> np
 def expected(words: list[bytes], counts: np.ndarray, pieces: Pieces, score: np.ndarray) -> np.ndarray:
     """Expected uses of each piece, over all segmentations of the words."""
     out = np.zeros(pieces.size)
-    padded = np.append(score, NEVER)
     for places, letters, length in lattice(words, pieces):
         found = edges(letters, length, pieces)
         alpha = forward(found, len(places), length, score)
         beta = np.full((length + 1, len(places)), NEVER)
         beta[length] = 0
-        for (i, j), ids in sorted(found.items(), key=lambda x: -x[0][0]):
-            beta[i] = np.logaddexp(beta[i], beta[j] + padded[ids])
-        for (i, j), ids in found.items():
-            known = ids >= 0
-            use = np.exp(np.minimum(alpha[i] + padded[ids] + beta[j] - alpha[length], 0)) * counts[places]
-            out += np.bincount(ids[known], use[known], minlength=pieces.size)
+        for (i, j), (rows, ids) in sorted(found.items(), key=lambda x: -x[0][0]):
+            beta[i, rows] = np.logaddexp(beta[i, rows], beta[j, rows] + score[ids])
+        used, uses = [], []
+        for (i, j), (rows, ids) in found.items():
+            used.append(ids)
+            uses.append(np.exp(np.minimum(alpha[i, rows] + score[ids] + beta[j, rows] - alpha[length, rows], 0)) * counts[places[rows]])
+        if used:
+            out += np.bincount(np.concatenate(used), np.concatenate(uses), minlength=pieces.size)
     return out
 
 
