@@ -16,8 +16,8 @@ clash is left. Only the entities that needed a further attempt are joined back t
 others are computed where the text is read.
 
 Null texts stay null; texts without entities are unchanged. Repeated rows are treated alike, since
-surrogates depend on entities only. All columns of the input are returned. Names of this operator's
-own columns start with ``pii_``.
+surrogates depend on entities only. All columns of the input are returned; ``pii_count`` is this
+operator's own, and replaces one of the input.
 """
 
 from __future__ import annotations
@@ -41,8 +41,9 @@ ACCESS = r"(?<!\w)A[KS]IA[0-9A-Z]{16}(?!\w)"
 SECRET = r"(?<=(?:password|passwd|secret|token|api_key)=)[^\s\x22']+|(?<=(?:password|passwd|secret|token|api_key) = \x22)[^\s\x22]+|(?<!\w)[0-9a-f]{32,64}(?!\w)"
 PERSON = rf"(?<!\w){TITLE} \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
 ENTITY = "|".join((EMAIL, IP, PHONE, CARD, SSN, ACCESS, SECRET, PERSON))
-#: What a text with an entity has at least.
-HINT = "[0-9@=\x22]|" + "|".join(sorted({t[:2] for t in MALE + FEMALE}))
+#: What a text with an entity has at least: one of these signs or runs, or a title before a capital letter.
+SIGNS = "[0-9@=\x22]|A[KS]IA|[a-f]{32}"
+TITLED = TITLE + r" \p{Lu}"
 #: Syllables of surrogate names, by script, and endings by gender.
 SYLLABLES = {"latin": "ba be da do fe ga ka la le li ma mi na no pa ra re ri sa so ta te va vi".split(), "cyrillic": "ба ве да до ка ла ле ли ма ми на но па ра ре ри са со та те ва ви га фе".split()}
 ENDINGS = {"latin": {"m": ["n", "ro", "us"], "f": ["na", "ra", "ia"], "s": ["ler", "mond", "ström"]}, "cyrillic": {"m": ["н", "р", "слав"], "f": ["на", "ра", "ия"], "s": ["енко", "ич", "ук"]}}
@@ -169,7 +170,7 @@ def rendered(m: Column, again: Column, key: str) -> Column:
 
 def mentions(text: Column) -> Column:
     none = F.array().cast("array<string>")
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
+    return F.when(text.rlike(SIGNS) | text.rlike(TITLED), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
 
 
 def retried(docs: DataFrame, key: str = KEY, most: int = 50) -> DataFrame:
@@ -201,9 +202,9 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
         a = again.select(F.col("kind").alias("a_kind"), F.col("name").alias("a_name"), "attempt")
         per = docs.select("doc_id", F.explode(mentions(F.col("text"))).alias("m")).select("doc_id", F.explode(units(F.col("m"))).alias("u"))
         per = per.join(a, (F.col("u.kind") == F.col("a_kind")) & (F.col("u.name") == F.col("a_name")))
-        per = stored(per.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("u.kind").alias("kind"), F.col("u.name").alias("name"), "attempt")).alias("pii_again")), "pii-again")
-        x = docs.join(per.select(F.col("doc_id").alias("pii_doc"), "pii_again"), F.col("doc_id").eqNullSafe(F.col("pii_doc")), "left")
-        listed = F.coalesce("pii_again", F.array().cast(kind))
+        per = stored(per.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("u.kind").alias("kind"), F.col("u.name").alias("name"), "attempt")).alias("__pii_again")), "pii-again")
+        x = docs.join(per.select(F.col("doc_id").alias("__pii_doc"), "__pii_again"), F.col("doc_id").eqNullSafe(F.col("__pii_doc")), "left")
+        listed = F.coalesce("__pii_again", F.array().cast(kind))
     else:
         listed = F.array().cast(kind)
     text = F.col("text")
@@ -216,8 +217,8 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
         out = F.when(F.size(ms) > 0, let(F.split(text, ENTITY, -1), join)).otherwise(text)
         return F.struct(out.alias("text"), F.size(ms).cast("long").alias("n"))
 
-    done = x.withColumn("pii_new", F.when(text.isNotNull(), let(mentions(text), replaced)))
-    new = {"text": F.col("pii_new.text")}
+    done = x.withColumn("__pii_new", F.when(text.isNotNull(), let(mentions(text), replaced)))
+    new = {"text": F.col("__pii_new.text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("pii_new.n") > 0, F.length("pii_new.text").cast("long")).otherwise(F.col("n_chars"))
-    return done.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns], F.coalesce("pii_new.n", F.lit(0)).alias("pii_count"))
+        new["n_chars"] = F.when(F.col("__pii_new.n") > 0, F.length("__pii_new.text").cast("long")).otherwise(F.col("n_chars"))
+    return done.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns if c != "pii_count"], F.coalesce("__pii_new.n", F.lit(0)).alias("pii_count"))
