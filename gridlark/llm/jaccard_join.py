@@ -237,7 +237,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, groups: DataFrame, rule: R
                     sets.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
 
-    chosen = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("w_doc")).select("text", F.col("w_key").alias("key"))
+    # by sorting at every size, as the table of wanted classes grows with the documents
+    chosen = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("w_doc")).select("text", F.col("w_key").alias("key"))
     sets = stored(chosen.mapInArrow(kernel, "key long, shingles array<long>").dropDuplicates(["key"]), "join-sets")
     released(docs.sparkSession)
     # members against their hubs
