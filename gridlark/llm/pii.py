@@ -6,7 +6,7 @@ Detected entities get surrogates of their own type, made from a keyed hash of wh
 * telephone, card and social security numbers: digits in the same grouping, with the country code, a card's
   first digit and a valid check digit kept;
 * IPv4 addresses; access keys (with their prefix), tokens, passwords and hexadecimal secrets: signs of the
-  same class at each place;
+  same class at each place, key names and hexadecimal signs in either case;
 * names after a title: a given name of the title's gender and a family name, in the script of the name.
 
 The same entity gets the same surrogate everywhere, however it is written (coreference). Different entities
@@ -38,11 +38,11 @@ PHONE = r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]
 CARD = r"(?<!\w)[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,4}(?!\w)"
 SSN = r"(?<!\w)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\w)"
 ACCESS = r"(?<!\w)A[KS]IA[0-9A-Z]{16}(?!\w)"
-SECRET = r"(?<=(?:password|passwd|secret|token|api_key)=)[^\s\x22']+|(?<=(?:password|passwd|secret|token|api_key) = \x22)[^\s\x22]+|(?<!\w)[0-9a-f]{32,64}(?!\w)"
+SECRET = r"(?<=(?i:password|passwd|secret|token|api_key)=)[^\s\x22']+|(?<=(?i:password|passwd|secret|token|api_key) = \x22)[^\s\x22]+|(?<!\w)[0-9A-Fa-f]{32,64}(?!\w)"
 PERSON = rf"(?<!\w){TITLE} \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
 ENTITY = "|".join((EMAIL, IP, PHONE, CARD, SSN, ACCESS, SECRET, PERSON))
 #: What a text with an entity has at least: one of these signs or runs, or a title before a capital letter.
-SIGNS = "[0-9@=\x22]|A[KS]IA|[a-f]{32}"
+SIGNS = "[0-9@=\x22]|A[KS]IA|[A-Fa-f]{32}"
 TITLED = TITLE + r" \p{Lu}"
 #: Syllables of surrogate names, by script, and endings by gender.
 SYLLABLES = {"latin": "ba be da do fe ga ka la le li ma mi na no pa ra re ri sa so ta te va vi".split(), "cyrillic": "ба ве да до ка ла ле ли ма ми на но па ра ре ри са со та те ва ви га фе".split()}
@@ -59,7 +59,7 @@ def kind_of(m: Column) -> Column:
     whole = lambda p: m.rlike(rf"^(?:{p})$")
     return (
         F.when(whole(EMAIL), "email").when(whole(IP), "ip").when(whole(PHONE), "phone").when(whole(SSN), "ssn").when(whole(CARD), "card")
-        .when(whole(ACCESS), "access").when(m.rlike(rf"^{TITLE} "), "person").when(m.rlike("^[0-9a-f]+$"), "hex").otherwise("secret")
+        .when(whole(ACCESS), "access").when(m.rlike(rf"^{TITLE} "), "person").when(m.rlike("^(?:[0-9a-f]+|[0-9A-Fa-f]{32,})$"), "hex").otherwise("secret")
     )
 
 
@@ -69,7 +69,8 @@ def units(m: Column) -> Column:
     unit = lambda kind, name: F.struct(kind.alias("kind"), name.alias("name"))
 
     def of(kind: Column) -> Column:
-        name = F.when(kind == "email", F.lower(m)).when(kind == "phone", F.substring(digits, -10, 10)).when(kind.isin("card", "ssn"), digits).otherwise(m)
+        # digests are the same value in either case; a short secret of hexadecimal signs is not
+        name = F.when(kind.isin("email", "hex"), F.lower(m)).when(kind == "phone", F.substring(digits, -10, 10)).when(kind.isin("card", "ssn"), digits).otherwise(m)
         parts = F.split(m, " ")
         gender = F.when(F.regexp_replace(parts[0], r"\.", "").isin(*MALE), "m").otherwise("f")
         last, given = F.lower(F.element_at(parts, -1)), F.lower(parts[1])
@@ -146,6 +147,12 @@ def poured(m: Column, digits: Column) -> Column:
     return F.aggregate(F.split(m, ""), start, step, lambda acc: acc["out"])
 
 
+def cased(m: Column, s: Column) -> Column:
+    """``s`` with a capital wherever the mention has one."""
+    one = lambda c, i: F.when(F.substring(m, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)
+    return F.array_join(F.transform(F.split(s, ""), one), "")
+
+
 def rendered(m: Column, again: Column, key: str) -> Column:
     """A mention's replacement; ``again`` is an array of (kind, name, attempt) for units not at attempt 0."""
 
@@ -160,7 +167,7 @@ def rendered(m: Column, again: Column, key: str) -> Column:
             upper = (m == F.upper(m)) & (m != F.lower(m))
             return (
                 F.when(kind.isin("given_m", "given_f", "family"), names).when(kind.isin("phone", "card", "ssn"), poured(m, first))
-                .when((kind == "email") & upper, F.upper(first)).otherwise(first)
+                .when(kind.isin("email", "hex") & upper, F.upper(first)).when((kind == "hex") & (m != F.lower(m)), cased(m, first)).otherwise(first)
             )
 
         return let(F.transform(us, one), write)

@@ -166,6 +166,21 @@ def test_surrogates(spark):
     assert got[4] == texts[4]
 
 
+def test_surrogates_in_upper_case(spark):
+    low = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    mixed = "".join(c.upper() if i % 2 else c for i, c in enumerate(low))
+    texts = [f'TOKEN = "{low.upper()}"', f"Hash {low.upper()} alone.", f"Hash {low} alone.", "API_KEY=Zx9-QQ here", "Password=Hunter2", "A B C D E F only.", f"Hash {mixed} alone.", "PASSWD=DEAD", "passwd=dead"]
+    rows = pii.with_surrogates(frame(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    got = [r.text for r in rows]
+    assert [r.pii_count for r in rows] == [1, 1, 1, 1, 1, 0, 1, 1, 1] and got[5] == texts[5]
+    made = re.fullmatch(r'TOKEN = "([0-9A-F]{40})"', got[0])[1]
+    assert made != low.upper() and got[1] == f"Hash {made} alone." and got[2] == f"Hash {made.lower()} alone."
+    other = re.fullmatch(r"Hash ([0-9A-Fa-f]{40}) alone.", got[6])[1]
+    assert other.lower() == made.lower() and all(c == (c.upper() if m.isupper() else c.lower()) for c, m in zip(other, mixed, strict=True))
+    for i, form in ((3, r"API_KEY=[A-Z][a-z][0-9]-[A-Z]{2} here"), (4, r"Password=[A-Z][a-z]{5}[0-9]"), (7, r"PASSWD=[A-Z]{4}"), (8, r"passwd=[0-9a-f]{4}")):
+        assert re.fullmatch(form, got[i]) and got[i] != texts[i], got[i]
+
+
 def test_surrogates_stay_distinct(spark):
     """More addresses than surrogates of the first attempt can keep apart."""
     ips = sorted({f"{random.Random(i).randint(1, 250)}.1.{i % 250}.{i // 250 + 1}" for i in range(3000)})
