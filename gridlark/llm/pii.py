@@ -12,7 +12,8 @@ Detected entities get surrogates of their own type, made from a keyed hash of wh
 The same entity gets the same surrogate everywhere, however it is written (coreference). Different entities
 must keep different surrogates: the distinct entities of the corpus are checked for two with one surrogate,
 and for surrogates that are real entities here; all but one are hashed again with a higher attempt until no
-clash is left. Only the entities that needed a further attempt are joined back to their documents; all
+clash is left. From attempt ``GROW`` on, a surrogate is one syllable or sign longer at each attempt, so the
+space of a format that is full, or too small, outgrows its entities. Only the entities that needed a further attempt are joined back to their documents; all
 others are computed where the text is read.
 
 Null texts stay null; texts without entities are unchanged. Repeated rows are treated alike, since
@@ -29,6 +30,10 @@ from pyspark.sql import functions as F
 from .common import drop_stored, let, stored
 
 KEY = "surrogates-1"
+#: The attempt from which on surrogates grow.
+GROW = 8
+#: For secrets without letters and digits.
+MARKS = "!#$%&*+-.:;?@^_~"
 MALE, FEMALE = ("Mr", "Herr", "Sr", "г-н"), ("Mrs", "Ms", "Frau", "Mme", "Sra", "г-жа")
 TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\.?"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -92,11 +97,17 @@ def luhn(digits: Column) -> Column:
 
 
 def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
+    more = F.greatest(attempt - (GROW - 1), F.lit(0))
+    marks = (kind == "secret") & ~name.rlike(r"[\p{L}0-9]")
+
     def of(h: Column) -> Column:
+        end = F.right(h, more)
+        digits, letters = F.translate(end, "abcdef", "012345"), F.translate(end, "0123456789", "ghijklmnop")
+
         def sign(c: Column, b: Column) -> Column:
             pick = lambda alphabet: F.substring(F.lit(alphabet), b % len(alphabet) + 1, F.lit(1))
             return (
-                F.when((kind == "hex"), pick("0123456789abcdef"))
+                F.when((kind == "hex"), pick("0123456789abcdef")).when(marks, pick(MARKS))
                 .when((kind == "access") & c.rlike("[0-9A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
                 .when(c.rlike("[0-9]"), pick("0123456789")).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
                 .when(c.rlike(r"\p{IsCyrillic}"), pick("абвгдежзиклмнопрстуфхцчшэюя")).when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz")).otherwise(c)
@@ -107,10 +118,11 @@ def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
             return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.length(text) - 1), one), ""))
 
         local, domain = F.substring_index(name, "@", 1), F.substring_index(name, "@", -1)
-        email = F.concat(like(local), F.lit("@"), like(F.substring_index(domain, ".", 1), off=31), F.lit(".example."), F.substring_index(domain, ".", -1))
+        email = F.concat(like(local), letters, F.lit("@"), like(F.substring_index(domain, ".", 1), off=31), F.lit(".example."), F.substring_index(domain, ".", -1))
         ip = F.concat_ws(".", *[(byte(h, i) % 254 + 1).cast("string") for i in range(4)])
+        ip = F.when(more > 0, F.concat_ws(":", ip, digits)).otherwise(ip)
         lead = lambda i: (byte(h, i) % 8 + 2).cast("string")  # noqa: E731  no area code starts with 0 or 1
-        phone = let(like(name), lambda s: F.concat(lead(0), F.substring(s, 2, 2), lead(3), F.substring(s, 5, 99)))
+        phone = let(like(name), lambda s: F.concat(lead(0), F.substring(s, 2, 2), lead(3), F.substring(s, 5, 99), digits))
 
         def card(s: Column) -> Column:
             body = F.substring(s, F.lit(1), F.length(s) - 1)
@@ -119,24 +131,26 @@ def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
 
         def person(script: str, g: str) -> Column:
             part = lambda i: F.element_at(F.array(*[F.lit(x) for x in SYLLABLES[script]]), byte(h, i) % len(SYLLABLES[script]) + 1)
-            end = F.element_at(F.array(*[F.lit(x) for x in ENDINGS[script][g]]), byte(h, 9) % 3 + 1)
-            return F.concat(part(0), part(1), F.when(byte(h, 8) % 2 == 0, part(2)).otherwise(F.lit("")), end)
+            last = F.element_at(F.array(*[F.lit(x) for x in ENDINGS[script][g]]), byte(h, 9) % 3 + 1)
+            longer = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), more), lambda i: part(i + 9)), "")).otherwise(F.lit(""))
+            return F.concat(part(0), part(1), F.when(byte(h, 8) % 2 == 0, part(2)).otherwise(F.lit("")), longer, last)
 
         cyrillic = name.rlike(r"\p{IsCyrillic}")
         names = F.lit(None).cast("string")
         for k, g in (("given_m", "m"), ("given_f", "f"), ("family", "s")):
             names = F.when(kind == k, F.when(cyrillic, person("cyrillic", g)).otherwise(person("latin", g))).otherwise(names)
         return (
-            F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", let(like(name, 1), card))
-            .when(kind == "access", like(name, 4)).when(kind.isin("given_m", "given_f", "family"), names).otherwise(like(name))
+            F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", let(F.concat(like(name, 1), digits), card))
+            .when(kind == "access", F.concat(like(name, 4), F.upper(letters))).when(kind.isin("given_m", "given_f", "family"), names)
+            .when(kind == "ssn", F.concat(like(name), digits)).when(kind == "hex", F.concat(like(name), end)).otherwise(F.concat(like(name), F.when(marks, F.translate(end, "0123456789abcdef", MARKS)).otherwise(letters)))
         )
 
     return let(F.sha2(F.concat_ws("|", F.lit(key), kind, name, attempt.cast("string")), 512), of)
 
 
-def poured(m: Column, digits: Column) -> Column:
-    """The digits of a surrogate in the grouping of a mention; digits before them in the mention stay."""
-    skip = F.length(F.regexp_replace(m, "[^0-9]", "")) - F.length(digits)
+def poured(m: Column, digits: Column, n: Column) -> Column:
+    """The digits of a surrogate for the last ``n`` ones of a mention, in its grouping; further ones come after."""
+    skip = F.length(F.regexp_replace(m, "[^0-9]", "")) - n
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -144,7 +158,7 @@ def poured(m: Column, digits: Column) -> Column:
         new = F.when(digit & (acc["k"] >= skip), F.substring(digits, acc["k"] - skip + 1, F.lit(1))).otherwise(c)
         return F.struct(F.concat(acc["out"], new).alias("out"), (acc["k"] + digit.cast("int")).alias("k"))
 
-    return F.aggregate(F.split(m, ""), start, step, lambda acc: acc["out"])
+    return F.concat(F.aggregate(F.split(m, ""), start, step, lambda acc: acc["out"]), F.substring(digits, n + 1, F.length(digits)))
 
 
 def cased(m: Column, s: Column) -> Column:
@@ -166,7 +180,7 @@ def rendered(m: Column, again: Column, key: str) -> Column:
             names = F.concat_ws(" ", F.element_at(F.split(m, " "), 1), F.transform(s, F.initcap))
             upper = (m == F.upper(m)) & (m != F.lower(m))
             return (
-                F.when(kind.isin("given_m", "given_f", "family"), names).when(kind.isin("phone", "card", "ssn"), poured(m, first))
+                F.when(kind.isin("given_m", "given_f", "family"), names).when(kind.isin("phone", "card", "ssn"), poured(m, first, F.length(F.get(us, 0)["name"])))
                 .when(kind.isin("email", "hex") & upper, F.upper(first)).when((kind == "hex") & (m != F.lower(m)), cased(m, first)).otherwise(first)
             )
 
@@ -180,12 +194,12 @@ def mentions(text: Column) -> Column:
     return F.when(text.rlike(SIGNS) | text.rlike(TITLED), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
 
 
-def retried(docs: DataFrame, key: str = KEY, most: int = 50) -> DataFrame:
-    """(kind, name, attempt) of the entities whose first surrogate clashes."""
+def retried(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """(kind, name, attempt) of the entities whose first surrogate clashes; it ends, as surrogates grow."""
     found = docs.select(F.explode(mentions(F.col("text"))).alias("m")).select(F.explode(units(F.col("m"))).alias("u")).select("u.kind", "u.name")
     own = stored(found.distinct(), "pii-units")
     at = own.select("kind", "name", F.lit(0).alias("attempt"))
-    for _ in range(most):
+    while True:
         made = stored(at.withColumn("s", surrogate(F.col("kind"), F.col("name"), F.col("attempt"), key)), "pii-surrogates")
         # of the entities with one surrogate, the one of lowest attempt stays, so that settled ones never move
         place = W.partitionBy("kind", "s").orderBy("attempt", "name")
@@ -197,7 +211,6 @@ def retried(docs: DataFrame, key: str = KEY, most: int = 50) -> DataFrame:
         at = at.select("kind", "name", "attempt")
         if not open_:
             return at.filter("attempt > 0")
-    raise ValueError("surrogates still clash: the entities fill the space of their format")
 
 
 def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
