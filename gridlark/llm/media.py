@@ -4,11 +4,14 @@ A payload is stored as mono 8-bit WAV and read back by the ``wave`` module. A sh
 transform gives a magnitude for each frame and frequency; the strongest local peaks of each frame are
 landmarks, and each landmark is paired with the next ones in time. A pair ``(f1, f2, dt)`` at frame
 ``t`` is one 64-bit code ``t << 32 | f1 << 20 | f2 << 8 | dt``, so a fingerprint is an array of codes
-in order of time.
+in order of time. Pairs 256 or more frames apart, as over a long run of one sign, have negative codes, which
+come first: the sign bit, ``t`` and ``dt`` of 24 bits, ``f1`` and ``f2`` of 7 (for frames of 256).
 
 Nulls and empty texts are 64 zero bytes: silence, which has no peaks and an empty fingerprint. Texts of
-any length are processed whole, in blocks of frames. Equal texts get equal values; rows are independent,
-so repeated rows, ties in ``doc_id`` and further columns of the input do not matter.
+any length are processed whole, in blocks of frames; the first and last sample are repeated for a hop and up
+to a whole number of hops, so that every sample counts in two frames and none only where the window fades
+out. Equal texts get equal values; rows are independent, so repeated rows, ties in ``doc_id`` and further
+columns of the input do not matter.
 """
 
 from __future__ import annotations
@@ -58,8 +61,7 @@ def padded(raw: bytes, unit: int = 64) -> bytes:
 def landmarks(samples: bytes, s: Spectrum) -> tuple[np.ndarray, np.ndarray]:
     """Frames and frequencies of the peaks, in order of time and then of frequency."""
     x = np.frombuffer(samples, np.uint8).astype(np.float32) - np.float32(128)
-    if len(x) < s.frame:
-        x = np.concatenate([x, np.zeros(s.frame - len(x), np.float32)])
+    x = np.pad(x, (s.hop, max(s.frame - s.hop - len(x), s.hop + -len(x) % s.hop)), "edge")
     views = np.lib.stride_tricks.sliding_window_view(x, s.frame)[:: s.hop]
     window = np.hanning(s.frame).astype(np.float32)
     when, which = [], []
@@ -83,12 +85,14 @@ def landmarks(samples: bytes, s: Spectrum) -> tuple[np.ndarray, np.ndarray]:
 def fingerprint(samples: bytes, s: Spectrum = Spectrum()) -> np.ndarray:
     """The codes of all landmark pairs, in order of time."""
     t, f = landmarks(samples, s)
+    b = (s.frame // 2 - 1).bit_length()
+    w = (63 - 2 * b) // 2
     codes = []
     for k in range(1, s.fan + 1):
         if len(t) > k:
             dt = t[k:] - t[:-k]
-            near = dt < 256
-            codes.append((t[:-k] << 32 | f[:-k] << 20 | f[k:] << 8 | dt)[near])
+            code = t[:-k] << 32 | f[:-k] << 20 | f[k:] << 8 | dt
+            codes.append(np.where(dt < 256, code, np.iinfo(np.int64).min | t[:-k] << w + 2 * b | dt << 2 * b | f[:-k] << b | f[k:]))
     return np.sort(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
 
 

@@ -325,6 +325,23 @@ def test_fingerprint_finds_tones():
     assert not len(media.fingerprint(bytes([128]) * 4096))
 
 
+def test_every_sample_counts():
+    """Another last word gives other codes, whatever the number of units; far landmarks keep their pairs."""
+    for n in (1, 4, 5, 6, 7, 8, 9, 33):
+        text = "".join(random.Random(n).choices("abcdefgh ", k=64 * n)).encode()
+        one = media.fingerprint(media.padded(text)).tolist()
+        assert media.fingerprint(media.padded(text[:-12] + b"quite_unlike")).tolist() != one, n
+    words = "".join(random.Random(1).choices("abcdefgh ", k=640)).encode()
+    samples = media.padded(words + b"-" * 50000 + words)
+    t, f = media.landmarks(samples, media.Spectrum())
+    codes = media.fingerprint(samples)
+    assert len(codes) == len(set(codes.tolist())) == 3 * len(t) - 6 and (np.diff(t) >= 256).any()
+    far = codes[codes < 0] & np.iinfo(np.int64).max
+    want = {(t[i], t[i + k] - t[i], f[i], f[i + k]) for k in (1, 2, 3) for i in range(len(t) - k) if t[i + k] - t[i] >= 256}
+    assert {(c >> 38, c >> 14 & 0xFFFFFF, c >> 7 & 127, c & 127) for c in far.tolist()} == want
+    assert not len(media.fingerprint(media.padded(b"")))
+
+
 def test_mix_sums(docs):
     by = defaultdict(lambda: [0, 0, None])
     for r in mixing.mix_sources(docs).collect():
