@@ -148,10 +148,14 @@ def find_mass(spark, sf_dir):
 
 @query(None)
 def spherical_runs(spark, sf_dir):
-    """Short simulations of a few amplitudes, one kernel for each batch of parameters."""
+    """Whole simulations, one kernel for each batch of parameters.
+
+    The pulse starts at r = 6 with a width of 2, so it has passed the origin by a proper time of 12. As a run ends
+    at a lapse of 0.05, it takes at most 12 / (0.05 * 0.03) = 8000 steps.
+    """
     from ..operators.spherical import Run, simulated
 
-    out = simulated(N.log_range(spark, 1 / 2048, 1 / 2, 6).repartition(2), Run(cells=64, steps=40))
+    out = simulated(N.log_range(spark, 1 / 2048, 1 / 2, 16).repartition(2), Run(steps=8000, max_proper_time=12.0))
     return out.select("param", "status", F.round("mass", 4).alias("mass"), "steps", F.round("least_lapse", 4).alias("least_lapse"))
 
 

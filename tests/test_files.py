@@ -53,6 +53,18 @@ def test_flat_space_and_strong_fields():
     assert np.isfinite(out["mass"][2])
 
 
+def test_runs_end_by_proper_time():
+    """One amplitude below the critical one and one above it, to the end; one without steps enough; and the batch does not matter."""
+    run = spherical.Run(cells=64, steps=2600, max_proper_time=12.0)
+    out = spherical.simulate(np.array([0.01, 0.2]), run)
+    assert out["status"].tolist() == ["Disperse", "Collapse"]
+    assert out["proper_time"][0] >= 12 > out["proper_time"][1] and out["steps"][1] > 5
+    assert np.isnan(out["mass"][0]) and out["mass"][1] > 0 and out["least_lapse"][1] < 0.05
+    assert spherical.simulate(np.array([0.2]), run)["mass"][0] == out["mass"][1]
+    short = spherical.simulate(np.array([0.01]), spherical.Run(cells=64, steps=40, max_proper_time=12.0))
+    assert short["status"].tolist() == ["Collapse"] and short["steps"][0] == 40 and np.isfinite(short["mass"][0])
+
+
 def test_runs_are_independent(spark):
     run = spherical.Run(cells=32, steps=8)
     together = spherical.simulate(np.array([0.001, 0.02]), run)["least_lapse"]
