@@ -339,7 +339,7 @@ def released(spark) -> None:
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles, component_id, and class_key (equal for equal sets) of every document."""
+    """doc_id, n_shingles, component_id, class_key (equal for equal sets) and component_key (of linked classes) of every document."""
     spark = docs.sparkSession
     sets = stored(shingle_sets(docs, rule), "join-signatures")
     members = stored(sets.select("doc_id", "n", "key"), "join-members")
@@ -383,14 +383,27 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     # the smallest document of each class, then of each component
     of_class = narrow.join(labels, "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
     ids = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    final = of_class.join(ids, "label").select(F.col("key").alias("c_key"), "component_id")
-    return members.join(final, F.col("key") == F.col("c_key"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("key").alias("class_key"))
+    final = of_class.join(ids, "label").select(F.col("key").alias("c_key"), "component_id", F.col("label").alias("component_key"))
+    return members.join(final, F.col("key") == F.col("c_key"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("key").alias("class_key"), "component_key")
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """``docs`` without the documents that are not the smallest of their component.
+    """One row of each component of ``docs``: of its smallest ``doc_id``, and there of the smallest set.
 
-    Rows that repeat a ``doc_id`` stay or go by that id.
+    Rows without shingles all stay. Rows that repeat a ``doc_id``, or have none, are told apart by their sets.
     """
-    out = stored(jaccard_components(docs, rule).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "join-gone")
-    return docs.join(out, F.col("doc_id") == F.col("__gone"), "left_anti")
+    linked = stored(jaccard_components(docs, rule).select("doc_id", "class_key", "component_key"), "join-linked")
+    first = linked.filter("class_key is not null").groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class_key")).alias("f"))
+    first = stored(first.select(F.col("component_key").alias("__of"), F.col("f.doc_id").alias("__first"), F.col("f.class_key").alias("__key")), "join-first")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("__first")) & (F.col("class_key") == F.col("__key")))
+    gone = stored(linked.join(first, F.col("component_key") == F.col("__of")).filter(other).select(F.col("doc_id").alias("__gone")).distinct(), "join-gone")
+    again = stored(linked.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("__again")), "join-again")
+    if not again.limit(1).count():
+        return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("__again"))
+    rows = stored(docs.join(again, same, "left_semi").withColumn("__row", F.monotonically_increasing_id()), "join-repeated")
+    sets = stored(shingle_sets(rows.select(F.col("__row").alias("doc_id"), "text"), rule).select(F.col("doc_id").alias("__row"), F.col("key").alias("__set")), "join-repeated-sets")
+    own = rows.select("__row", "doc_id").join(sets, "__row").join(first, F.col("__set") == F.col("__key")).filter(F.col("doc_id").eqNullSafe(F.col("__first")))
+    stay = own.groupBy("__key").agg(F.min("__row").alias("__stay")).select("__stay").union(sets.filter("__set is null").select("__row"))
+    once = docs.join(again, same, "left_anti").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return once.unionByName(rows.join(stay, F.col("__row") == F.col("__stay"), "left_semi").drop("__row"))

@@ -488,6 +488,17 @@ def test_pipeline(spark, sf_dir, docs):
     assert P.run(spark, sf_dir).count() == len(packed)
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    words = [" ".join(f"{x}{i}" for i in range(60)) for x in "abcd"]
+    near = words[0] + " more"
+    rows = [(1, words[0]), (2, near), (2, words[1]), (3, words[2]), (3, words[2]), (4, words[2]), (5, words[3]), (5, words[3] + " end"), (6, ""), (6, ""), (7, words[0]), (None, words[1])]
+    got = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), jaccard_join.Rule(gram=5, num=80, den=100)).collect()
+    got = [tuple(r) for r in got]
+    five = [t for d, t in got if d == 5]
+    assert len(five) == 1 and five[0] in (words[3], words[3] + " end")
+    assert sorted((d, t) for d, t in got if d != 5) == [(1, words[0]), (2, words[1]), (3, words[2]), (6, ""), (6, "")]
+
+
 def test_clashing_columns(spark):
     """Further columns keep their values, whatever they are called."""
     names = ("quality", "kept", "size", "row", "h", "copy", "target", "taken", "word", "key", "sig", "a", "b", "found", "want", "digest", "pii_new", "cleaned", "score", "z")
