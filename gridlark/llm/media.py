@@ -96,11 +96,25 @@ def fingerprint(samples: bytes, s: Spectrum = Spectrum()) -> np.ndarray:
     return np.sort(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
 
 
+def stored_media(docs: DataFrame, spectrum: Spectrum = Spectrum()) -> DataFrame:
+    """``doc_id``, ``n_bytes`` of the text, ``media`` (the WAV file) and ``fingerprint`` (the time-coded pairs)."""
+
+    def kernel(batches):
+        import pyarrow as pa
+
+        for batch in sliced(batches):
+            raws = texts(batch)
+            media = [to_wav(padded(raw)) for raw in raws]
+            codes = [fingerprint(from_wav(m), spectrum) for m in media]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(raw) for raw in raws], pa.int64()), pa.array(media, pa.binary()), pa.array(codes, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "media", "fingerprint"])
+
+    return docs.select("doc_id", "text").mapInArrow(kernel, "doc_id long, n_bytes long, media binary, fingerprint array<long>")
+
+
 def media_columns(docs: DataFrame, spectrum: Spectrum = Spectrum(), keep_media: bool = False, keep_codes: bool = True) -> DataFrame:
     """A row for each document: sizes and digests of payload and stored form, and the fingerprint.
 
-    ``media`` (binary) is the WAV file, ``fingerprint`` the array of time-coded pairs; either can be
-    left out.
+    All but ``n_bytes`` are derived from the columns of :func:`stored_media`, which can be left out of the result.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_landmark_pairs long"
     schema += ", fingerprint array<long>" * keep_codes + ", media binary" * keep_media
@@ -110,16 +124,12 @@ def media_columns(docs: DataFrame, spectrum: Spectrum = Spectrum(), keep_media:
 
         for batch in sliced(batches):
             rows = []
-            for doc, raw in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                media = to_wav(padded(raw))
-                back = from_wav(media)
-                codes = fingerprint(back, spectrum)
-                row = (doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), hashlib.sha256(codes.astype("<i8").tobytes()).hexdigest(), len(codes))
-                rows.append(row + (codes,) * keep_codes + (media,) * keep_media)
-            columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            kinds += [pa.list_(pa.int64())] * keep_codes + [pa.binary()] * keep_media
-            names = [x.split()[0] for x in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    return docs.select("doc_id", "text").mapInArrow(kernel, schema)
+            for media, codes in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                back, own = from_wav(media), codes.values.to_numpy(zero_copy_only=False)
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), hashlib.sha256(own.astype("<i8").tobytes()).hexdigest(), len(own)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            columns = [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]]
+            columns += [batch.column(3)] * keep_codes + [batch.column(2)] * keep_media
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+
+    return stored_media(docs, spectrum).mapInArrow(kernel, schema)

@@ -342,6 +342,15 @@ def test_every_sample_counts():
     assert not len(media.fingerprint(media.padded(b"")))
 
 
+def test_media_digests_come_from_columns(docs):
+    """The query's digests are those of the columns that the operator stores."""
+    kept = {r.doc_id: r for r in media.stored_media(docs).collect()}
+    for r in media.media_columns(docs, keep_codes=False).collect():
+        wav, codes = bytes(kept[r.doc_id].media), np.array(kept[r.doc_id].fingerprint, "<i8")
+        assert (r.media_sha256, r.payload_sha256) == (hashlib.sha256(wav).hexdigest(), hashlib.sha256(media.from_wav(wav)).hexdigest())
+        assert (r.feature, r.n_landmark_pairs) == (hashlib.sha256(codes.tobytes()).hexdigest(), len(codes))
+
+
 def test_mix_sums(docs):
     by = defaultdict(lambda: [0, 0, None])
     for r in mixing.mix_sources(docs).collect():
