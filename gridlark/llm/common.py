@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -17,23 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none (tests)."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where it names none, a folder of this machine is set if driver and executors are one process; else it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='gridlark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: Tasks for each core when a narrow table is written.
+WAVES = 4
+
+
+def stored(df: DataFrame, label: str, *, narrow: bool = False) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
     Cuts the lineage with files that outlive any executor, and gives the planner true sizes, so that
-    it broadcasts the table only when it is below ``spark.sql.autoBroadcastJoinThreshold``.
+    it broadcasts the table only when it is below ``spark.sql.autoBroadcastJoinThreshold``. A ``narrow``
+    table has a few numbers for each document at most and is written by ``WAVES`` tasks for each core,
+    however many partitions it has.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = df.coalesce(WAVES * max(1, spark.sparkContext.defaultParallelism)) if narrow else df
+    out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +60,12 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets the session drop the shuffle files of tables that are stored by now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]
