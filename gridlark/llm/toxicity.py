@@ -6,30 +6,34 @@ document labels is minimised by gradient steps through the noisy-or, so that sin
 makes a bag positive; they then point out the offending ones.
 
 Features of a sentence are its distinct words and their beginnings of 4 to 8 bytes, so that inflected
-forms share what they have learned. They are chosen over all labelled documents, by counts for each label:
-those whose share of bags differs between the labels by ``least`` standard errors of the log odds, the
-``most`` strongest at most. The weights are then fitted on at most ``sample`` labelled documents in the order
-of a seeded hash of their ids (all, if there are fewer); scoring covers all documents and whole texts. Only
-texts are inputs of a score.
+forms share what they have learned. Labels are learned from ``sample`` labelled documents at most, the first in
+the order of a seeded hash of their ids (all, if there are fewer): their texts are stored once, features whose
+share of bags differs between the labels by ``least`` standard errors of the log odds are kept, all of them, and
+the weights are fitted. Scoring covers all documents and whole texts. Only texts are inputs of a score.
 
 Null and empty texts have no sentences and score 0. Labels without a document, or null, are left out;
-with no positive or no negative label every score is 0. Rows of ``labels`` or ``documents`` that repeat
-a ``doc_id`` count each; scoring is row by row.
+with no positive or no negative label every score is 0. A document with several labels is toxic if one says so; of
+documents that share a sampled ``doc_id`` the smallest text is learned from. Scoring is row by row, so repeated
+rows get a row each. Empty documents give no rows, and empty labels a score of 0. Only ``doc_id``, ``text`` and
+``toxic`` are read, so further columns may have any name.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stored, texts
+from .common import drop_stored, sliced, stored, texts
 
 SENTENCE_END = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n+")
 STRIP = b".,;:!?\"'()[]{}|*#$%&<>-"
-SAMPLE, FEATURES, LEAST, THRESHOLD = 8000, 20_000, 3.0, 0.3
+SAMPLE, LEAST, THRESHOLD = 12_000, 3.0, 0.3
+#: Features in a worker's counter before it is passed on.
+FLUSH = 300_000
 PREFIXES = range(4, 9)
 
 
@@ -72,23 +76,22 @@ class Model:
 
     def sentence(self, sentence: bytes) -> float:
         z = self.bias + sum(self.weights[f] for f in self.active(sentence))
-        return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
 
-def fit(bags: list[tuple[list[list[int]], int]], labels: list[int], n_features: int, *, steps: int = 400, rate: float = 0.05, l2: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and bias. A bag is its sentences with features, and how many it has without any."""
-    y = np.array(labels, float)
+def fit(bags, rest, labels, n_features: int, *, steps: int = 400, rate: float = 0.05, l2: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and bias.
+
+    bags: an Arrow array of the documents' sentences that have features, lists of these; rest: how many of its sentences have none.
+    """
+    y, empty = np.asarray(labels, float), np.asarray(rest, float)
     if not len(y) or y.min() == y.max():
         return np.zeros(n_features), -30.0
-    rows, columns, owner, n = [], [], [], 0
-    for k, (bag, _) in enumerate(bags):
-        for s in bag:
-            rows += [n] * len(s)
-            columns += s
-            owner.append(k)
-            n += 1
-    empty = np.array([e for _, e in bags], float)
-    rows, columns, owner = np.array(rows, np.int64), np.array(columns, np.int64), np.array(owner, np.int64)
+    sentence = bags.flatten()
+    columns = sentence.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    n = len(sentence)
+    rows = np.repeat(np.arange(n, dtype=np.int32), sentence.value_lengths().to_numpy(zero_copy_only=False))
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), bags.value_lengths().to_numpy(zero_copy_only=False))
     w, bias = np.zeros(n_features), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     log_keep = lambda p: np.log1p(-np.minimum(p, 1 - 1e-12))
@@ -114,9 +117,12 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most: int = FEATURES, least: float = LEAST, seed: str = "mil-1") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: float = LEAST, seed: str = "mil-1") -> Model:
     marked = labels.select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("toxic")).filter("l_id is not null and toxic in (0, 1)").filter(~held_out(F.col("l_id")))
-    pairs = docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("l_id")).filter("text is not null").select("doc_id", "text", "toxic")
+    marked = marked.groupBy("l_id").agg(F.max("toxic").alias("toxic"))
+    some = marked.withColumn("o", F.xxhash64(F.lit(seed), "l_id")).orderBy("o", "l_id").limit(sample).select("l_id", "toxic")
+    picked = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).filter("text is not null")  # ``sample`` rows
+    picked = stored(picked.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "mil-sample")
 
     def count(batches):
         import pyarrow as pa
@@ -124,30 +130,30 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most: int
         def out(table):
             return pa.RecordBatch.from_arrays([pa.array(list(table), pa.binary()), *[pa.array([x[k] for x in table.values()], pa.int64()) for k in (0, 1)]], ["feature", "n0", "n1"])
 
-        table: dict[bytes, list[int]] = {b"": [0, 0]}  # no feature: the bags themselves
+        table: dict[bytes, list[int]] = {}
         for batch in sliced(batches):
-            for raw, label in zip(texts(batch), batch.column(2).to_pylist(), strict=True):
-                table.setdefault(b"", [0, 0])[label] += 1
+            for raw, label in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
+                table.setdefault(b"", [0, 0])[label] += 1  # no feature: the bags themselves
                 for f in features(raw):
                     table.setdefault(f, [0, 0])[label] += 1
-            if len(table) > 300_000:
-                yield out(table)
-                table = {}
+                if len(table) > FLUSH:
+                    yield out(table)
+                    table = {}
         if table:
             yield out(table)
 
-    counts = stored(pairs.mapInArrow(count, "feature binary, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 > 1"), "mil-counts")
+    counts = picked.select("text", "toxic").mapInArrow(count, "feature binary, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 > 1 or feature = x''")
+    counts = stored(counts, "mil-counts")
     bags = counts.filter(F.col("feature") == F.lit(b"")).first()
     if bags is None or not bags["n0"] or not bags["n1"]:
         return Model({}, -30.0)
     a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
     odds = F.log(a / (bags["n1"] + 1 - a)) - F.log(b / (bags["n0"] + 1 - b))
     z = F.abs(odds) / F.sqrt(1 / a + 1 / b)
-    chosen = counts.filter(F.col("feature") != F.lit(b"")).withColumn("z", z).filter(F.col("z") >= least).orderBy(F.col("z").desc(), "feature").limit(most)
-    names = [bytes(r["feature"]) for r in chosen.select("feature").collect()]  # ``most`` at most
+    chosen = counts.filter((F.col("feature") != F.lit(b"")) & (z >= least)).select("feature")
+    names = sorted(bytes(r["feature"]) for r in chosen.collect())  # from the sample's texts only
     place = {f: i for i, f in enumerate(names)}
     shared = docs.sparkSession.sparkContext.broadcast(place)
-    some = marked.withColumn("o", F.xxhash64(F.lit(seed), "l_id")).orderBy("o", "l_id", "toxic").limit(sample)
 
     def bag(batches):
         import pyarrow as pa
@@ -162,9 +168,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most: int
                 empty.append(sum(not s for s in own))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.list_(pa.int32()))), pa.array(empty, pa.int32())], ["doc_id", "toxic", "bag", "rest"])
 
-    pairs = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).filter("text is not null").select("doc_id", "text", "toxic")
-    rows = sorted((r["doc_id"], r["toxic"], r["bag"], r["rest"]) for r in pairs.mapInArrow(bag, "doc_id long, toxic int, bag array<array<int>>, rest int").toArrow().to_pylist())
-    w, bias = fit([(found, rest) for _, _, found, rest in rows], [label for _, label, _, _ in rows], len(names))
+    found = picked.select("doc_id", "text", "toxic").mapInArrow(bag, "doc_id long, toxic int, bag array<array<int>>, rest int").toArrow().sort_by("doc_id")  # ``sample`` rows
+    drop_stored(counts)
+    drop_stored(picked)
+    w, bias = fit(found.column("bag").combine_chunks(), found.column("rest").to_numpy(), found.column("toxic").to_numpy(), len(names))
     return Model({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-3}, bias)
 
 
@@ -174,7 +181,7 @@ def score_documents(docs: DataFrame, model: Model, *, threshold: float = THRESHO
     ``offenders`` counts the sentences that reach the threshold on their own.
     """
     schema = "doc_id long, score double, predicted int, n_sentences int, offenders int, worst int, worst_start int, worst_end int, worst_score double"
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # at most FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # from the sample only
 
     def kernel(batches):
         import pyarrow as pa
