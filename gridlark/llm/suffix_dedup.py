@@ -15,12 +15,16 @@ that are complete by construction:
    all contexts, and the strings with a common prefix of ``size`` bytes with a neighbour repeat.
 4. An anchor whose contexts fill several shards has its shards merged by binary search: the suffixes of a
    new shard are looked up in the arrays of the earlier ones.
+5. An anchor with more than ``most`` bytes of contexts is not left to one task. Equal strings have the anchor
+   at one place, so its contexts are cut by ranges of that place, and the bytes that all strings of a range
+   cover are the new key: a quarter of the range at a time, down to single strings, whose counts decide.
 
 Spans of a document are then united and removed. Matches never cross documents, as contexts do not.
 
 Null and empty texts, and those shorter than ``size``, have nothing removed. Rows that repeat a ``doc_id``
 are documents of their own, told apart by the text's digest; if that repeats too, they are equal and get
-equal results. Only ``doc_id`` and ``text`` are read.
+equal results. Empty tables give no rows. Only ``doc_id`` and ``text`` are read, so further columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stored, texts
+from .common import drop_stored, released, sliced, stored, texts
 
 
 @dataclass(frozen=True)
@@ -40,6 +44,7 @@ class Cut:
     size: int = 400  # bytes that have to repeat
     gram: int = 32  # bytes of an anchor
     shard: int = 1 << 20  # bytes of a suffix array
+    most: int = 1 << 22  # bytes of an anchor's contexts that a task compares
 
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -69,15 +74,15 @@ def gram_hashes(a: np.ndarray, gram: int) -> np.ndarray:
         return out ^ (out >> np.uint64(32))
 
 
-def anchors(a: np.ndarray, cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the anchors, and the first and last start of the strings that have them."""
+def anchors(a: np.ndarray, cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the anchors, the first and last start of the strings that have them, and their places."""
     none = np.zeros(0, np.int64)
     if len(a) < cut.size:
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none
     h = gram_hashes(a, cut.gram)
     window = cut.size - cut.gram + 1
     low = np.uint64((1 << 20) - 1)
-    out_key, out_from, out_to = [], [], []
+    out_key, out_from, out_to, out_place = [], [], [], []
     step = 1 << 19
     for at in range(0, len(h) - window + 1, step):  # so that a position fits beside the hash
         part = h[at : at + step + window - 1]
@@ -94,8 +99,9 @@ def anchors(a: np.ndarray, cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray
         first = np.nonzero(new)[0]
         out_key.append(part[place[first]])
         out_from.append(first + at)
+        out_place.append(place[first] + at)
         out_to.append(np.concatenate([first[1:] - 1, [len(place) - 1]]) + at)
-    return np.concatenate(out_key), np.concatenate(out_from), np.concatenate(out_to)
+    return tuple(np.concatenate(x) for x in (out_key, out_from, out_to, out_place))
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -298,83 +304,151 @@ def signed(keys: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def with_digest(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+
+
+ROW = "anchor long, doc_id long, digest long, first int, n long, place int, context binary"
+
+
+def batch_of(rows: list[tuple], schema: str):
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [f for f, _ in fields])
+
+
+def narrowed(row: tuple, width: int, cut: Cut):
+    """The parts of a context by where the anchor lies in its strings, ``width`` places each, under keys of the bytes they share."""
+    anchor, doc, digest, first, n, place, context = row
+    starts = len(context) - cut.size + 1
+    for k in range((place - starts + 1) // width, place // width + 1):
+        lo, hi = max(k * width, place - starts + 1), min((k + 1) * width - 1, place)  # places of the anchor in the strings
+        a, b = place - hi, place - lo + cut.size
+        common = context[place - k * width : place - (k + 1) * width + 1 + cut.size]  # what all strings of the range cover
+        key = hashlib.blake2b(common, digest_size=8, key=(anchor & (1 << 64) - 1).to_bytes(8, "little"), salt=(k % (1 << 16)).to_bytes(2, "little")).digest()
+        yield int.from_bytes(key, "little", signed=True), doc, digest, first + a, n, hi, context[a:b]
+
+
+def compared(rows: DataFrame, cut: Cut) -> DataFrame:
+    """(doc_id, digest, a, b) of what repeats of contexts that occur once, a task for each anchor."""
+
+    def kernel(batches):
+        def ordered():
+            for batch in batches:
+                for anchor, doc, digest, first, n, _, context in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                    yield anchor, (doc, digest, first, n), context
+
+        out = [(doc, digest, first + a, first + b + cut.size) for (doc, digest, first, n), a, b in resolve(ordered(), cut) if n == 1]
+        yield batch_of(out, "doc_id long, digest long, a int, b int")
+
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(kernel, "doc_id long, digest long, a int, b int")
+
+
 def repeated_spans(docs: DataFrame, cut: Cut = Cut()) -> DataFrame:
     """(doc_id, digest) -> ``spans``, for the documents that have repeated bytes; spans may overlap."""
+    spark = docs.sparkSession
 
     def find(batches):
         import pyarrow as pa
 
         for batch in sliced(batches):
-            out: list[list] = [[] for _ in range(6)]
-            for doc, raw in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                keys, first, last = anchors(np.frombuffer(raw, np.uint8), cut)
+            out: list[list] = [[] for _ in range(7)]
+            for doc, raw, digest in zip(batch.column(0).to_pylist(), texts(batch), batch.column(2).to_pylist(), strict=True):
+                keys, first, last, place = anchors(np.frombuffer(raw, np.uint8), cut)
                 if not len(keys):
                     continue
-                digest = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
                 out[0] += [doc] * len(keys)
                 out[1] += [digest] * len(keys)
                 out[2].append(signed(keys))
                 out[3] += [hashlib.blake2b(raw[a : b + cut.size], digest_size=12).digest() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 out[4].append(first)
                 out[5].append(last)
-            flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (out[2], out[4], out[5])]
-            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(flat[0]), pa.array(out[3], pa.binary()), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "anchor", "context", "first", "last"])
+                out[6].append(place - first)
+            flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (out[2], *out[4:])]
+            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(flat[0]), pa.array(out[3], pa.binary()), *[pa.array(x.astype(np.int32)) for x in flat[1:]]]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "anchor", "context", "first", "last", "place"])
 
-    found = stored(docs.select("doc_id", "text").mapInArrow(find, "doc_id long, digest long, anchor long, context binary, first int, last int"), "suffix-anchors")
-    place = F.struct("doc_id", "digest", "first", "last")
+    found = stored(with_digest(docs).mapInArrow(find, "doc_id long, digest long, anchor long, context binary, first int, last int, place int"), "suffix-anchors")
+    at = F.struct("doc_id", "digest", "first", "last", "place")
     # one row for each context, with one of its places
-    contexts = stored(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("at")), "suffix-contexts")
+    contexts = stored(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(at).alias("at")), "suffix-contexts")
     # contexts that occur twice repeat as a whole
     many = contexts.filter("n > 1").select(F.col("anchor").alias("m_anchor"), F.col("context").alias("m_context"))
     whole = found.join(many, (F.col("anchor") == F.col("m_anchor")) & (F.col("context") == F.col("m_context"))).select("doc_id", "digest", F.col("first").alias("a"), (F.col("last") + cut.size).alias("b"))
+    spans = [stored(whole, "suffix-whole")]
+    drop_stored(found)
+    released(spark)
     # anchors with several contexts, of which one at least occurs once
     several = contexts.groupBy("anchor").agg(F.count("*").alias("n_contexts"), F.min("n").alias("least")).filter("n_contexts > 1 and least = 1").select(F.col("anchor").alias("s_anchor"))
     chosen = contexts.join(several, F.col("anchor") == F.col("s_anchor")).select("anchor", "n", "at.*")
-    wanted = chosen.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("anchor", "n", "first", "last")).alias("want")).select(F.col("doc_id").alias("w_doc"), F.col("digest").alias("w_digest"), "want")
-    wanted = stored(wanted, "suffix-wanted")
-    text_of = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")))
+    wanted = chosen.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("anchor", "n", "first", "last", "place")).alias("want"))
+    wanted = stored(wanted.select(F.col("doc_id").alias("w_doc"), F.col("digest").alias("w_digest"), "want"), "suffix-wanted")
+    drop_stored(contexts)
+    released(spark)
 
     def cut_out(batches):
-        import pyarrow as pa
-
+        before = None
         for batch in sliced(batches, 64):
-            rows, seen = [], set()
+            rows = []
             for doc, raw, digest, want in zip(batch.column(0).to_pylist(), texts(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                own = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-                if own == digest and (doc, digest) not in seen:
-                    seen.add((doc, digest))
-                    rows += [(w["anchor"], doc, digest, w["first"], w["n"], raw[w["first"] : w["last"] + cut.size]) for w in want]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], ["anchor", "doc_id", "digest", "first", "n", "context"])
-
-    shipped = text_of.select("doc_id", "text", F.col("w_digest").alias("digest"), "want").mapInArrow(cut_out, "anchor long, doc_id long, digest long, first int, n long, context binary")
-
-    def compare(batches):
-        import pyarrow as pa
-
-        def rows():
-            for batch in batches:
-                c = [x.to_pylist() for x in batch.columns]
-                for anchor, doc, digest, first, n, context in zip(*c, strict=True):
-                    yield anchor, (doc, digest, first, n), context
-
-        out = []
-        for (doc, digest, first, n), a, b in resolve(rows(), cut):
-            if n == 1:
-                out.append((doc, digest, first + a, first + b + cut.size))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "digest", "a", "b"])
-
-    partial = shipped.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "doc_id long, digest long, a int, b int")
-    return whole.unionByName(partial).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+                if (doc, digest) != before:  # equal rows are side by side
+                    rows += [(w["anchor"], doc, digest, w["first"], w["n"], w["place"], raw[w["first"] : w["last"] + cut.size]) for w in want]
+                before = doc, digest
+            yield batch_of(rows, ROW)
+
+    own = F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("digest") == F.col("w_digest"))
+    text_of = with_digest(docs).join(wanted.hint("merge"), own).select("doc_id", "text", "digest", "want")
+    rows = stored(text_of.mapInArrow(cut_out, ROW), "suffix-shipped")
+    drop_stored(wanted)
+    released(spark)
+    width = cut.size - cut.gram + 1
+    while True:
+        hot = rows.groupBy(F.col("anchor").alias("h_anchor")).agg(F.sum(F.length("context")).alias("bytes")).filter(F.col("bytes") > cut.most).select("h_anchor")
+        hot = stored(hot, "suffix-hot", narrow=True)
+        if not hot.limit(1).count():
+            break
+        width = -(-width // 4)
+        spans.append(stored(compared(rows.join(hot, F.col("anchor") == F.col("h_anchor"), "left_anti"), cut), "suffix-partial"))
+
+        def divide(batches, width=width):
+            for batch in sliced(batches, 256):
+                parts = [part for row in zip(*[x.to_pylist() for x in batch.columns], strict=True) for part in narrowed(row, width, cut)]
+                yield batch_of([(*p, hashlib.blake2b(p[-1], digest_size=16).digest()) for p in parts], ROW + ", mark binary")
+
+        parts = stored(rows.join(hot, F.col("anchor") == F.col("h_anchor"), "left_semi").mapInArrow(divide, ROW + ", mark binary"), "suffix-parts")
+        drop_stored(rows)
+        drop_stored(hot)
+        at = F.struct("doc_id", "digest", "first", "place", "context")
+        same = stored(parts.groupBy("anchor", "mark").agg(F.sum("n").alias("n"), F.min(at).alias("at")), "suffix-same")
+        twice = same.filter("n > 1").select(F.col("anchor").alias("t_anchor"), F.col("mark").alias("t_mark"))
+        again = parts.filter("n = 1").join(twice, (F.col("anchor") == F.col("t_anchor")) & (F.col("mark") == F.col("t_mark")))
+        spans.append(stored(again.select("doc_id", "digest", F.col("first").alias("a"), (F.col("first") + F.length("context")).cast("int").alias("b")), "suffix-again"))
+        drop_stored(parts)
+        several = same.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select(F.col("anchor").alias("s_anchor"))
+        left = same.join(several, F.col("anchor") == F.col("s_anchor"), "left_semi")
+        rows = stored(left.select("anchor", "at.doc_id", "at.digest", "at.first", "n", "at.place", "at.context"), "suffix-shipped")
+        drop_stored(same)
+        released(spark)
+    spans.append(stored(compared(rows, cut), "suffix-partial"))
+    drop_stored(rows)
+    released(spark)
+    every = spans[0]
+    for x in spans[1:]:
+        every = every.unionByName(x)
+    out = stored(every.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suffix-spans")
+    for x in spans:
+        drop_stored(x)
+    released(spark)
+    return out
 
 
 def remove_repeats(docs: DataFrame, cut: Cut = Cut(), *, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also spans and remaining bytes."""
-    spans = stored(repeated_spans(docs, cut), "suffix-spans").groupBy(F.col("doc_id").alias("s_doc")).agg(F.collect_list(F.struct("digest", "spans")).alias("found"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", removed array<struct<a int, b int>>, kept binary" * keep_text
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and has_repeat; with ``keep_text`` also spans and remaining bytes."""
+    spans = repeated_spans(docs, cut).select(F.col("doc_id").alias("s_doc"), F.col("digest").alias("s_digest"), "spans")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeat boolean" + ", removed array<struct<a int, b int>>, kept binary" * keep_text
 
     def kernel(batches):
         import pyarrow as pa
@@ -382,20 +456,16 @@ def remove_repeats(docs: DataFrame, cut: Cut = Cut(), *, keep_text: bool = False
         for batch in sliced(batches):
             rows = []
             for doc, raw, found in zip(batch.column(0).to_pylist(), texts(batch), batch.column(2).to_pylist(), strict=True):
-                own, mine = [], None
-                for f in found or []:
-                    if mine is None:
-                        mine = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-                    if f["digest"] == mine:
-                        own = unite([(x["a"], x["b"]) for x in f["spans"]])
-                kept, at = b"", 0
+                own = unite([(x["a"], x["b"]) for x in found or []])
+                kept, at = [], 0
                 for a, b in own:
-                    kept += raw[at:a]
+                    kept.append(raw[at:a])
                     at = b
-                kept += raw[at:]
-                rows.append((doc, len(raw), len(raw) - len(kept), len(own), hashlib.sha256(kept).hexdigest()) + ([{"a": a, "b": b} for a, b in own], kept) * keep_text)
-            kinds = [*[pa.int64()] * 4, pa.string()] + [pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.binary()] * keep_text
+                kept = b"".join([*kept, raw[at:]])
+                rows.append((doc, len(raw), len(raw) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), bool(own)) + ([{"a": a, "b": b} for a, b in own], kept) * keep_text)
+            kinds = [*[pa.int64()] * 4, pa.string(), pa.bool_()] + [pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.binary()] * keep_text
             names = [x.split()[0] for x in schema.replace("<a int, b int>", "").split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("s_doc")), "left").select("doc_id", "text", "found").mapInArrow(kernel, schema)
+    own = F.col("doc_id").eqNullSafe(F.col("s_doc")) & F.col("digest").eqNullSafe(F.col("s_digest"))
+    return with_digest(docs).join(spans, own, "left").select("doc_id", "text", "spans").mapInArrow(kernel, schema)
