@@ -2,18 +2,14 @@
 
 The pieces are those of an existing vocabulary with word ends; each has a score, the logarithm of its
 probability. A word's probability is the sum over all its segmentations of the product of the pieces'
-probabilities, found by a forward recursion in log space; a text is its words and then one end, so its
-probability is the product of those. Pieces with a word end close a word, so nothing is counted twice,
-and the probabilities of all texts add up to at most 1.
+probabilities, found by a forward recursion in log space; a text is its words and then one end, which is a
+piece of its own, so its probability is the product of those. Pieces with a word end close a word, so nothing
+is counted twice, and the probabilities of all texts add up to at most 1.
 
 Scores start from the vocabulary's own order (a piece of rank r weighs 1 / (r + 1)) and are then fitted to
-the training documents by expectation steps: all their distinct words pass through the forward and
-backward recursions in parallel, and only sums for each piece (bounded by the vocabulary) reach the
-driver. What is shuffled are word counts, which grow with the corpus.
-
-A word that training has seen c times is also a single piece of its lattice, of weight (c - DISCOUNT) / N;
-what the discounts leave, DISCOUNT * V / N, is the weight of its ways through the subwords. These are
-fitted to distinct words, as they stand for words that are rare or new.
+the training documents by expectation steps: all their distinct words, weighted by their counts, pass through
+the forward and backward recursions in parallel, and only sums for each piece (bounded by the vocabulary)
+reach the driver. What is shuffled are word counts, which grow with the corpus.
 
 A word's count and probability are computed once for each distinct word. Documents look them up in two
 ways: words with at least ``1 / heavy`` of all tokens are at most ``heavy`` words by pigeonhole, so they
@@ -21,13 +17,15 @@ are broadcast and resolved where the document is read, and no frequent word is e
 the other words is a small share of all tokens and joins by its text.
 
 Null and empty texts are the end alone. Repeated rows are documents each on its own for training; for
-scoring, rows that repeat a ``doc_id`` get a row each, kept apart by a row number. Empty input gives no rows.
-Only ``doc_id`` and ``text`` are read.
+scoring, rows that repeat a ``doc_id`` get a row each, kept apart by a row number. Empty input gives no rows;
+without a training document all pieces are alike. Words of any length are scored whole, in time in proportion to
+it. Only ``doc_id`` and ``text`` are read, so further columns may have any name.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections import Counter
 
 import numpy as np
@@ -37,10 +35,12 @@ from pyspark.sql import functions as F
 from .common import sliced, stored, texts
 
 VOCABULARY = "word_bpe_49k.json"
-HEAVY, STEPS, DISCOUNT = 40_000, 3, 0.75
+HEAVY, STEPS = 40_000, 3
 NEVER = -1e30
-#: Distinct words in a worker's counter before it is passed on.
-FLUSH = 200_000
+#: Distinct words in a worker's counter, and bytes of text read into it, before it is passed on.
+FLUSH, FLUSH_BYTES = 200_000, 64_000_000
+#: Bytes of a word from which on it has a recursion of its own.
+LONG = 256
 
 
 def held_out(doc_id):
@@ -102,7 +102,8 @@ def lattice(words: list[bytes], pieces: Pieces):
     """Batches (places, matrix of letters, length) of the words that have the same length."""
     by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        by.setdefault(len(w), []).append(i)
+        if len(w) < LONG:
+            by.setdefault(len(w), []).append(i)
     for length, places in sorted(by.items()):
         step = max(1, 2_000_000 // (length * min(length, pieces.longest)))
         for at in range(0, len(places), step):
@@ -136,11 +137,53 @@ def forward(found, n: int, length: int, score: np.ndarray) -> np.ndarray:
     return alpha
 
 
+class Chain:
+    """The lattice of one long word: its pieces as arrays, in order of their ends."""
+
+    def __init__(self, word: bytes, pieces: Pieces):
+        self.length = n = len(word)
+        base, h, prefix = int(pieces.BASE), 0, [0]
+        for c in word:
+            h = (h * base + c + 1) % (1 << 64)
+            prefix.append(h)
+        prefix, parts = np.array(prefix, np.uint64), []
+        for k in range(1, min(n, pieces.longest) + 1):
+            with np.errstate(over="ignore"):
+                spans = prefix[k:] - prefix[:-k] * np.uint64(pow(base, k, 1 << 64))
+            for part, last, at in ((spans[:-1], False, 0), (spans[-1:], True, n - k)):
+                i, ids = pieces.find(part, last)
+                parts.append((i + at, i + at + k, ids))
+        start, end, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(end, kind="stable")
+        self.start, self.end, self.ids = start[order], end[order], ids[order]
+
+    def recursion(self, weight: list[float], pairs) -> list[float]:
+        out = [NEVER] * (self.length + 1)
+        out[pairs[0][0]] = 0.0
+        for (i, j), w in zip(pairs[1], weight, strict=True):
+            a, b = out[j], out[i] + w
+            out[j] = max(a, b) + math.log1p(math.exp(-min(700.0, abs(a - b))))
+        return out
+
+    def alpha(self, score: np.ndarray) -> list[float]:
+        return self.recursion(score[self.ids].tolist(), ((0,), zip(self.start.tolist(), self.end.tolist(), strict=True)))
+
+    def uses(self, score: np.ndarray) -> np.ndarray:
+        """Expected uses of each of the word's pieces."""
+        back = np.argsort(-self.start, kind="stable")
+        alpha = np.array(self.alpha(score))
+        beta = np.array(self.recursion(score[self.ids[back]].tolist(), ((self.length,), zip(self.end[back].tolist(), self.start[back].tolist(), strict=True))))
+        return np.exp(np.minimum(alpha[self.start] + score[self.ids] + beta[self.end] - alpha[-1], 0))
+
+
 def log_probability(words: list[bytes], pieces: Pieces, score: np.ndarray) -> np.ndarray:
     """The natural logarithm of each word's marginal probability."""
     out = np.zeros(len(words))
     for places, letters, length in lattice(words, pieces):
         out[places] = forward(edges(letters, length, pieces), len(places), length, score)[length]
+    for k, w in enumerate(words):
+        if len(w) >= LONG:
+            out[k] = Chain(w, pieces).alpha(score)[-1]
     return out
 
 
@@ -154,12 +197,13 @@ def expected(words: list[bytes], counts: np.ndarray, pieces: Pieces, score: np.n
         beta[length] = 0
         for (i, j), (rows, ids) in sorted(found.items(), key=lambda x: -x[0][0]):
             beta[i, rows] = np.logaddexp(beta[i, rows], beta[j, rows] + score[ids])
-        used, uses = [], []
         for (i, j), (rows, ids) in found.items():
-            used.append(ids)
-            uses.append(np.exp(np.minimum(alpha[i, rows] + score[ids] + beta[j, rows] - alpha[length, rows], 0)) * counts[places[rows]])
-        if used:
-            out += np.bincount(np.concatenate(used), np.concatenate(uses), minlength=pieces.size)
+            uses = np.exp(np.minimum(alpha[i, rows] + score[ids] + beta[j, rows] - alpha[length, rows], 0)) * counts[places[rows]]
+            np.add.at(out, ids, uses)
+    for k, w in enumerate(words):
+        if len(w) >= LONG:
+            chain = Chain(w, pieces)
+            np.add.at(out, chain.ids, chain.uses(score) * counts[k])
     return out
 
 
@@ -177,6 +221,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())], ["word", "n"])
 
         counter: Counter = Counter()
+        size = 0
         for batch in sliced(batches):
             for raw, held in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
                 own = tokens(raw)
@@ -185,9 +230,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
                         counter[w] += 0
                 else:
                     counter.update(own)
-            if len(counter) > FLUSH:
-                yield out(counter)
-                counter = Counter()
+                size += len(raw)
+                if len(counter) > FLUSH or size > FLUSH_BYTES:
+                    yield out(counter)
+                    counter, size = Counter(), 0
         if counter:
             yield out(counter)
 
@@ -201,8 +247,8 @@ def path_of(vocabulary: str | None) -> str:
     return vocabulary or public_tokenizers.path(VOCABULARY)
 
 
-def fit_scores(counts: DataFrame, *, vocabulary: str | None = None, steps: int = STEPS) -> np.ndarray:
-    """Log probabilities of the pieces, from the distinct words of training."""
+def fit_scores(counts: DataFrame, ends: int, *, vocabulary: str | None = None, steps: int = STEPS) -> np.ndarray:
+    """Log probabilities of the pieces and, as the last one, of the end, from the word counts of training."""
     spark = counts.sparkSession
     pieces = Pieces.load(path_of(vocabulary))
     score = pieces.start - np.logaddexp.reduce(pieces.start)
@@ -216,29 +262,21 @@ def fit_scores(counts: DataFrame, *, vocabulary: str | None = None, steps: int =
             for batch in batches:
                 words = batch.column(0).to_pylist()
                 if words:
-                    part = expected(words, np.ones(len(words)), pieces, shared.value)
+                    part = expected(words, batch.column(1).to_numpy().astype(float), pieces, shared.value)
                     total = part if total is None else total + part
             if total is not None:
                 used = np.nonzero(total > 0)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "uses"])
 
-        sums = counts.filter("n > 0").select("word").mapInArrow(kernel, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
-        uses = np.full(pieces.size, 0.01)  # so that no piece, and no word, becomes impossible
+        sums = counts.filter("n > 0").select("word", "n").mapInArrow(kernel, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+        uses = np.full(pieces.size + 1, 0.01)  # so that no piece, and no word, becomes impossible
         uses[sums["piece"].to_numpy()] += sums["uses"].to_numpy()
+        uses[-1] += ends
         score = np.log(uses / uses.sum())
         shared.unpersist()
     return score
 
 
-def whole_and_parts(c: np.ndarray, parts: np.ndarray, n: int, v: int) -> np.ndarray:
-    """Natural logarithm of a word's probability, from its count and that of its ways through subwords."""
-    if not n:
-        return parts
-    left = np.log(DISCOUNT * v / n) + parts
-    whole = np.where(c > 0, np.log(np.maximum(c - DISCOUNT, 1e-300) / n), NEVER)
-    return np.logaddexp(whole, left)
-
-
 def score_documents(docs: DataFrame, *, vocabulary: str | None = None, heavy: int = HEAVY, steps: int = STEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
@@ -246,9 +284,8 @@ def score_documents(docs: DataFrame, *, vocabulary: str | None = None, heavy: in
     ends = docs.select(held_out(F.col("doc_id")).alias("h")).filter("not h").count()
     total = counts.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
-    score = fit_scores(counts, vocabulary=vocabulary, steps=steps)
-    # the end is a word without letters, which has no way through subwords
-    end_score = float(whole_and_parts(np.array([ends]), np.array([NEVER]), n, v)[0]) if ends else float(np.log(DISCOUNT))
+    score = fit_scores(counts, ends, vocabulary=vocabulary, steps=steps)
+    end_score = float(score[-1])
     ln10, floor = float(np.log(10)), n + v + 1
     shared = spark.sparkContext.broadcast(score)
 
@@ -258,7 +295,7 @@ def score_documents(docs: DataFrame, *, vocabulary: str | None = None, heavy: in
         pieces = Pieces.load(path_of(vocabulary))
         for batch in batches:
             words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            own = whole_and_parts(c, log_probability(words, pieces, shared.value), n, v) / ln10
+            own = log_probability(words, pieces, shared.value) / ln10
             base = np.log10((c + 1) / floor)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base), pa.array(own)], ["word", "n", "base", "own"])
 
