@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .settled import settled
+
 DIMS = 2
 
 
@@ -174,12 +176,16 @@ def unbalanced(leaves: DataFrame, edges: DataFrame, flag: str = "flag") -> DataF
 def balance_refine(leaves: DataFrame, edges: DataFrame, levels: int, flag: str = "flag") -> DataFrame:
     """Least flags that hold the given ones and those of all coarser neighbours of flagged leaves.
 
-    Each round reaches a strictly coarser level, so ``levels`` rounds are enough and no round needs a test.
+    Each round reaches a strictly coarser level, so ``levels`` rounds are enough; a round starts from what the last
+    one reached, as a stored table.
     """
-    reached = leaves.filter(F.col(flag)).select("path")
-    front = reached
+    edges = settled(edges)
+    front = settled(leaves.filter(F.col(flag)).select("path"))
+    reached = front
     for _ in range(levels):
-        front = edges.join(front, "path").select(F.col("neighbor").alias("path")).distinct()
+        front = settled(edges.join(front, "path").select(F.col("neighbor").alias("path")).distinct())
+        if front.isEmpty():
+            break
         reached = reached.union(front)
     marked = reached.distinct().withColumn("__on", F.lit(True))
     return leaves.join(marked, "path", "left").withColumn(flag, F.coalesce("__on", F.lit(False))).drop("__on")
@@ -199,14 +205,19 @@ def complete_siblings(leaves: DataFrame, flag: str = "flag") -> DataFrame:
 def balance_coarsen(leaves: DataFrame, edges: DataFrame, levels: int, flag: str = "flag") -> DataFrame:
     """Largest subset of the flags that keeps neighbours within one level and sibling sets whole.
 
-    A leaf may not coarsen next to a finer leaf that does not. A tree of exactly one division never does.
+    A leaf may not coarsen next to a finer leaf that does not. A tree of exactly one division never does. Each round
+    spreads by a level, and the last one changes nothing.
     """
-    x = complete_siblings(leaves, flag)
+    edges = settled(edges)
+    x = settled(complete_siblings(leaves, flag))
     for _ in range(levels):
         stay = x.filter(~F.col(flag)).select("path")
         blocked = edges.join(stay, "path").select(F.col("neighbor").alias("path")).distinct().withColumn("__no", F.lit(True))
-        x = x.join(blocked, "path", "left").withColumn(flag, F.col(flag) & F.col("__no").isNull()).drop("__no")
-        x = complete_siblings(x, flag)
+        y = x.join(blocked, "path", "left").withColumn(flag, F.col(flag) & F.col("__no").isNull()).drop("__no")
+        y = settled(complete_siblings(y, flag))
+        if x.filter(F.col(flag)).count() == y.filter(F.col(flag)).count():
+            return y
+        x = y
     return x
 
 
