@@ -101,6 +101,12 @@ def dissipation(order: int) -> Kernel:
     return Kernel(f"ko{order}", {k - half: float(x) for k, x in enumerate(row)}, edges, 0, 1, -1 / 16 if order == 4 else 1 / 64)
 
 
+@cache
+def beyond(n: int) -> tuple[float, ...]:
+    """The value a step past a node, from it and every second one before it, ``n`` in all, the nearest first."""
+    return tuple(float(w) for w in moment_weights(tuple(Fraction(-2 * k - 1) for k in range(n)), Fraction(0)))
+
+
 @cache
 def interpolation(order: int) -> Kernel:
     """The value half a cell to the right of a node, from ``order + 2`` nodes.

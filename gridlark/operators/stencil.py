@@ -162,13 +162,25 @@ def inject(df: DataFrame, grid: Grid) -> DataFrame:
 
 
 def wavelet_detail(df: DataFrame, grid: Grid, u: str, order: int = 4) -> DataFrame:
-    """Interpolated minus actual value at every node with an odd place; 0 at the others."""
+    """Interpolated minus actual value at every node with an odd place; 0 at the others.
+
+    On one axis the number of cells may be odd; the last node is then predicted from the even ones before it.
+    """
+    uneven = [a for a, c in enumerate(grid.cells) if c % 2]
+    if uneven and len(grid.axes) > 1:
+        raise ValueError("on several axes the numbers of cells must be even")
     half = Grid(grid.block, grid.axes, tuple(c // 2 for c in grid.cells), grid.spacing)
     coarse = prolong(inject(df.select(*grid.block, *grid.axes, u), grid), half, u, order).withColumnRenamed(u, "__predicted")
     odd = None
     for a in grid.axes:
         odd = F.col(a) % 2 == 1 if odd is None else odd | (F.col(a) % 2 == 1)
-    joined = df.join(coarse, [*grid.block, *grid.axes])
+    if not uneven:
+        joined = df.join(coarse, [*grid.block, *grid.axes])
+    else:
+        w = grid.window(0)
+        last = total([F.lit(float(x)) * F.lag(u, 2 * k + 1).over(w) for k, x in enumerate(K.beyond(order + 2))])
+        joined = df.withColumn("__last", last).join(coarse, [*grid.block, *grid.axes], "left")
+        joined = joined.withColumn("__predicted", F.when(F.col(grid.axes[0]) == grid.cells[0], F.col("__last")).otherwise(F.col("__predicted"))).drop("__last")
     return joined.withColumn("detail", F.when(odd, F.col("__predicted") - F.col(u)).otherwise(F.lit(0.0))).drop("__predicted")
 
 
@@ -226,11 +238,11 @@ def max_norm(df: DataFrame, grid: Grid, u: str, by: tuple[str, ...] = (), signed
 
 
 def oscillation(df: DataFrame, grid: Grid, u: str, width: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Sum over cells of ``width`` nodes of (max - min) over the cell's closed node set."""
+    """Sum over cells of ``width`` nodes, the last one may be shorter, of (max - min) over the cell's closed node set."""
     x = df.filter(inside(grid))
     names = []
     for a, n in zip(grid.axes, grid.cells, strict=True):
-        count = n // width
+        count = -(-n // width)
         own, before = F.floor(F.col(a) / width), F.floor((F.col(a) - 1) / width)
         cells = F.array_distinct(F.filter(F.array(own, before), lambda c: (c >= 0) & (c < count)))  # noqa: B023
         x = x.withColumn(f"__c{a}", F.explode(cells))

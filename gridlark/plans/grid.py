@@ -95,15 +95,15 @@ def inject(spark, sf_dir):
     return S.inject(line(spark, sf_dir), EN)
 
 
-#: The first 61 components: 60 cells, so that the coarse grid has 30.
-EW = S.Grid(("vec_id",), ("i",), (60,), (1 / 60,))
-_DETAIL = f"""WITH f AS (SELECT * FROM ({SQL['line']}) WHERE i <= 60), c AS (SELECT vec_id, i // 2 AS i, u FROM f WHERE i % 2 = 0),
-m AS (SELECT vec_id, i, {_sql_mid(4, 30)} AS m FROM c {sql_window(EN, 0)})
-SELECT f.vec_id, f.i, f.u, CASE WHEN f.i % 2 = 1 THEN m.m - f.u ELSE 0e0 END AS detail FROM f LEFT JOIN m ON m.vec_id = f.vec_id AND m.i = f.i // 2 AND f.i % 2 = 1"""
+#: Of 63 cells the last has no even end, so its node is predicted from one side.
+_BEYOND = " + ".join(f"{num(x)} * lag(u, {2 * k + 1}) OVER w" for k, x in enumerate(K.beyond(6)))
+_DETAIL = f"""WITH f AS (SELECT *, {_BEYOND} AS last FROM ({SQL['line']}) {sql_window(EN, 0)}), c AS (SELECT vec_id, i // 2 AS i, u FROM f WHERE i % 2 = 0),
+m AS (SELECT vec_id, i, {_sql_mid(4, 31)} AS m FROM c {sql_window(EN, 0)})
+SELECT f.vec_id, f.i, f.u, CASE WHEN f.i = 63 THEN f.last - f.u WHEN f.i % 2 = 1 THEN m.m - f.u ELSE 0e0 END AS detail FROM f LEFT JOIN m ON m.vec_id = f.vec_id AND m.i = f.i // 2 AND f.i % 2 = 1"""
 
 
 def _detail(spark, sf_dir):
-    return S.wavelet_detail(line(spark, sf_dir).filter("i <= 60"), EW, "u", 4)
+    return S.wavelet_detail(line(spark, sf_dir), EN, "u", 4)
 
 
 @query(f"SELECT vec_id, i, round(detail, 6) AS detail FROM ({_DETAIL})")
@@ -111,10 +111,10 @@ def wavelet_detail(spark, sf_dir):
     return _detail(spark, sf_dir).select("vec_id", "i", F.round("detail", 6).alias("detail"))
 
 
-@query(f"""SELECT vec_id, CAST(least(i // 6, 9) AS INTEGER) AS cell, round(max(abs(detail)), 6) AS largest, round(max(abs(detail)), 6) >= 0.5 AS refine, round(max(abs(detail)), 6) <= 0.1 AS coarsen
+@query(f"""SELECT vec_id, CAST(least(i // 6, 10) AS INTEGER) AS cell, round(max(abs(detail)), 6) AS largest, round(max(abs(detail)), 6) >= 0.5 AS refine, round(max(abs(detail)), 6) <= 0.1 AS coarsen
 FROM ({_DETAIL}) GROUP BY 1, 2""")
 def wavelet_flags(spark, sf_dir):
-    d = _detail(spark, sf_dir).withColumn("cell", F.least(F.floor(F.col("i") / 6), F.lit(9)).cast("int"))
+    d = _detail(spark, sf_dir).withColumn("cell", F.least(F.floor(F.col("i") / 6), F.lit(10)).cast("int"))
     m = d.groupBy("vec_id", "cell").agg(F.round(F.max(F.abs("detail")), 6).alias("largest"))
     return m.withColumn("refine", F.col("largest") >= 0.5).withColumn("coarsen", F.col("largest") <= 0.1)
 
@@ -152,11 +152,10 @@ def system_norms(spark, sf_dir):
     return x.groupBy("vec_id").agg(F.round(F.greatest(*l2), 6).alias("l2"), F.greatest(F.max("u"), F.round(F.max("d"), 6), F.lit(0.0)).alias("max_norm"))
 
 
-@query(f"""WITH n AS (SELECT vec_id, i, u, unnest(list_distinct([i // 6, CASE WHEN i > 0 THEN (i - 1) // 6 ELSE 0 END])) AS c FROM ({SQL['line']}) WHERE i <= 60)
-SELECT vec_id, round(sum(o), 6) AS oscillation FROM (SELECT vec_id, c, max(u) - min(u) AS o FROM n WHERE c < 10 GROUP BY 1, 2) GROUP BY vec_id""")
+@query(f"""WITH n AS (SELECT vec_id, i, u, unnest(list_distinct([i // 6, CASE WHEN i > 0 THEN (i - 1) // 6 ELSE 0 END])) AS c FROM ({SQL['line']}))
+SELECT vec_id, round(sum(o), 6) AS oscillation FROM (SELECT vec_id, c, max(u) - min(u) AS o FROM n WHERE c < 11 GROUP BY 1, 2) GROUP BY vec_id""")
 def oscillation(spark, sf_dir):
-    x = line(spark, sf_dir).filter("i <= 60")
-    return S.oscillation(x, EW, "u", 6, ("vec_id",)).withColumn("oscillation", F.round("oscillation", 6))
+    return S.oscillation(line(spark, sf_dir), EN, "u", 6, ("vec_id",)).withColumn("oscillation", F.round("oscillation", 6))
 
 
 @query(f"SELECT vec_id, u FROM ({SQL['line']}) WHERE i = 0")
@@ -187,22 +186,22 @@ def ghost_corners(spark, sf_dir):
     return B.fill_physical(square(spark, sf_dir), EG, "u", {(0, 0): B.Face("symmetric"), (1, 0): B.Face("antisymmetric")}, 2)
 
 
-_DAYS = f"""SELECT event_type, CAST(d AS BIGINT) AS day, CAST(i - 24 * d AS INTEGER) AS k, u FROM ({SQL['hours']}), (SELECT unnest(range(0, 29)) AS d) WHERE i BETWEEN 24 * d AND 24 * d + 24"""
+_DAYS = f"""SELECT event_type, CAST(d AS BIGINT) AS day, CAST(i - 24 * d AS INTEGER) AS k, u FROM ({SQL['hours']}), (SELECT unnest(range(0, 30)) AS d) WHERE i BETWEEN 24 * d AND 24 * d + 24"""
 
 
 def _days(spark, sf_dir):
-    """Hours in blocks of a day; neighbours share the hour between them."""
+    """Hours in blocks of a day; neighbours share the hour between them, and the last has no such hour at its end."""
     i = F.col("i")
     day = F.floor(i / 24)
-    both = F.filter(F.array_distinct(F.array(day, F.floor((i - 1) / 24))), lambda d: (d >= 0) & (d < 29))
+    both = F.filter(F.array_distinct(F.array(day, F.floor((i - 1) / 24))), lambda d: (d >= 0) & (d < 30))
     x = hours(spark, sf_dir).withColumn("day", F.explode(both))
     return x.select("event_type", F.col("day").cast("long").alias("day"), (i - 24 * F.col("day")).cast("int").alias("k"), "u")
 
 
 @query(f"""WITH b AS ({_DAYS}) SELECT event_type, day, k, u FROM b UNION ALL SELECT event_type, day - 1, CAST(k + 24 AS INTEGER), u FROM b WHERE k BETWEEN 1 AND 3 AND day > 0
-UNION ALL SELECT event_type, day + 1, CAST(k - 24 AS INTEGER), u FROM b WHERE k BETWEEN 21 AND 23 AND day < 28""")
+UNION ALL SELECT event_type, day + 1, CAST(k - 24 AS INTEGER), u FROM b WHERE k BETWEEN 21 AND 23 AND day < 29""")
 def ghost_direct(spark, sf_dir):
-    return B.fill_direct(_days(spark, sf_dir), "day", "k", 24, "u", 3).filter("day between 0 and 28").select("event_type", "day", "k", "u")
+    return B.fill_direct(_days(spark, sf_dir), "day", "k", 24, "u", 3).filter("day between 0 and 29").select("event_type", "day", "k", "u")
 
 
 @query(f"""WITH s AS (SELECT event_type, day, k, u, CASE WHEN k = 0 THEN day - 1 ELSE day END AS owner FROM ({_DAYS}))
