@@ -9,15 +9,17 @@ Detected entities get surrogates of their own type, made from a keyed hash of wh
   same class at each place, key names and hexadecimal signs in either case;
 * names after a title: a given name of the title's gender and a family name, in the script of the name.
 
-The same entity gets the same surrogate everywhere, however it is written (coreference). Different entities
-must keep different surrogates: the distinct entities of the corpus are checked for two with one surrogate,
-and for surrogates that are real entities here; all but one are hashed again with a higher attempt until no
-clash is left. From attempt ``GROW`` on, a surrogate is one syllable or sign longer at each attempt, so the
-space of a format that is full, or too small, outgrows its entities. Only the entities that needed a further attempt are joined back to their documents; all
-others are computed where the text is read.
+The same entity gets the same surrogate everywhere, however it is written (coreference). A name that a document
+has after a title is replaced in the rest of that document too, where it stands as a word of its own, so
+"Dr. Anna Smith" and "Smith" follow "Mrs Anna Smith". Different entities must keep different surrogates: the
+distinct entities of the corpus are checked for two with one surrogate, and for surrogates that are real
+entities here; all but one are hashed again with a higher attempt until no clash is left. Each round is about
+the entities still open only. From attempt ``GROW`` on, a surrogate is one syllable or sign longer at each
+attempt, so the space of a format that is full, or too small, outgrows its entities. Only the entities that
+needed a further attempt are joined back to their documents; all others are computed where the text is read.
 
 Null texts stay null; texts without entities are unchanged. Repeated rows are treated alike, since
-surrogates depend on entities only. All columns of the input are returned; ``pii_count`` is this
+surrogates depend on entities only. Empty tables give no rows. All columns of the input are returned; ``pii_count`` is this
 operator's own, and replaces one of the input.
 """
 
@@ -45,6 +47,7 @@ SSN = r"(?<!\w)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\w)"
 ACCESS = r"(?<!\w)A[KS]IA[0-9A-Z]{16}(?!\w)"
 SECRET = r"(?<=(?i:password|passwd|secret|token|api_key)=)[^\s\x22']+|(?<=(?i:password|passwd|secret|token|api_key) = \x22)[^\s\x22]+|(?<!\w)[0-9A-Fa-f]{32,64}(?!\w)"
 PERSON = rf"(?<!\w){TITLE} \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+POSSESSIVE = "'s$"
 ENTITY = "|".join((EMAIL, IP, PHONE, CARD, SSN, ACCESS, SECRET, PERSON))
 #: What a text with an entity has at least: one of these signs or runs, or a title before a capital letter.
 SIGNS = "[0-9@=\x22]|A[KS]IA|[A-Fa-f]{32}"
@@ -78,7 +81,7 @@ def units(m: Column) -> Column:
         name = F.when(kind.isin("email", "hex"), F.lower(m)).when(kind == "phone", F.substring(digits, -10, 10)).when(kind.isin("card", "ssn"), digits).otherwise(m)
         parts = F.split(m, " ")
         gender = F.when(F.regexp_replace(parts[0], r"\.", "").isin(*MALE), "m").otherwise("f")
-        last, given = F.lower(F.element_at(parts, -1)), F.lower(parts[1])
+        last, given = F.lower(F.regexp_replace(F.element_at(parts, -1), POSSESSIVE, "")), F.lower(parts[1])
         person = F.when(F.size(parts) > 2, F.array(unit(F.concat(F.lit("given_"), gender), given), unit(F.lit("family"), last))).otherwise(F.array(unit(F.lit("family"), last)))
         return F.when(kind == "person", person).otherwise(F.array(unit(kind, name)))
 
@@ -167,50 +170,95 @@ def cased(m: Column, s: Column) -> Column:
     return F.array_join(F.transform(F.split(s, ""), one), "")
 
 
+def chosen(u: Column, again: Column, key: str) -> Column:
+    """A unit's surrogate; ``again`` is an array of (kind, name, attempt) for units not at attempt 0."""
+    own = F.filter(again, lambda a: (a["kind"] == u["kind"]) & (a["name"] == u["name"]))
+    return surrogate(u["kind"], u["name"], F.coalesce(F.get(own, 0)["attempt"], F.lit(0)), key)
+
+
 def rendered(m: Column, again: Column, key: str) -> Column:
     """A mention's replacement; ``again`` is an array of (kind, name, attempt) for units not at attempt 0."""
 
     def of(us: Column) -> Column:
-        def one(u: Column) -> Column:
-            own = F.filter(again, lambda a: (a["kind"] == u["kind"]) & (a["name"] == u["name"]))
-            return surrogate(u["kind"], u["name"], F.coalesce(F.get(own, 0)["attempt"], F.lit(0)), key)
-
         def write(s: Column) -> Column:
             kind, first = F.get(us, 0)["kind"], F.get(s, 0)
-            names = F.concat_ws(" ", F.element_at(F.split(m, " "), 1), F.transform(s, F.initcap))
+            names = F.concat(F.concat_ws(" ", F.element_at(F.split(m, " "), 1), F.transform(s, F.initcap)), F.regexp_extract(m, POSSESSIVE, 0))
             upper = (m == F.upper(m)) & (m != F.lower(m))
             return (
                 F.when(kind.isin("given_m", "given_f", "family"), names).when(kind.isin("phone", "card", "ssn"), poured(m, first, F.length(F.get(us, 0)["name"])))
                 .when(kind.isin("email", "hex") & upper, F.upper(first)).when((kind == "hex") & (m != F.lower(m)), cased(m, first)).otherwise(first)
             )
 
-        return let(F.transform(us, one), write)
+        return let(F.transform(us, lambda u: chosen(u, again, key)), write)
 
     return let(units(m), of)
 
 
+def known_names(ms: Column, again: Column, key: str) -> Column:
+    """(pattern, surrogate) of the names that the mentions give, the longest first."""
+
+    def of(m: Column) -> Column:
+        parts = F.split(m, " ")
+
+        def one(u: Column, i: Column) -> Column:
+            word = F.regexp_replace(F.get(parts, i + 1), POSSESSIVE, "")
+            pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_-])\Q"), word, F.lit(r"\E(?![\p{L}\p{N}_-])"))
+            return F.struct((-F.length(word)).alias("size"), pattern.alias("pattern"), F.initcap(chosen(u, again, key)).alias("s"))
+
+        return F.transform(units(m), one)
+
+    persons = F.filter(ms, lambda m: kind_of(m) == "person")
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(persons, of))))
+
+
+def renamed(text: Column, names: Column) -> Column:
+    """(text, n): the names in a text between mentions replaced, and how many."""
+    start = F.struct(text.alias("text"), F.lit(0).alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(F.regexp_replace(acc["text"], x["pattern"], x["s"]).alias("text"), (acc["n"] + F.regexp_count(acc["text"], x["pattern"])).alias("n"))
+
+    return F.aggregate(names, start, step)
+
+
 def mentions(text: Column) -> Column:
     none = F.array().cast("array<string>")
     return F.when(text.rlike(SIGNS) | text.rlike(TITLED), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
 
 
+def space(kind: Column) -> Column:
+    """Kinds whose entities can be mistaken for each other."""
+    return F.when(kind == "hex", "secret").otherwise(kind)
+
+
 def retried(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, name, attempt) of the entities whose first surrogate clashes; it ends, as surrogates grow."""
     found = docs.select(F.explode(mentions(F.col("text"))).alias("m")).select(F.explode(units(F.col("m"))).alias("u")).select("u.kind", "u.name")
-    own = stored(found.distinct(), "pii-units")
-    at = own.select("kind", "name", F.lit(0).alias("attempt"))
+    own = stored(found.distinct(), "pii-units", narrow=True)
+    taken = own.select(space(F.col("kind")).alias("r_kind"), F.col("name").alias("r_name"))
+    open_, settled = own.withColumn("attempt", F.lit(0)), []
     while True:
-        made = stored(at.withColumn("s", surrogate(F.col("kind"), F.col("name"), F.col("attempt"), key)), "pii-surrogates")
-        # of the entities with one surrogate, the one of lowest attempt stays, so that settled ones never move
-        place = W.partitionBy("kind", "s").orderBy("attempt", "name")
-        taken = own.select(F.col("kind").alias("r_kind"), F.col("name").alias("r_name"))
-        clash = made.withColumn("r", F.row_number().over(place)).join(taken, (F.col("kind") == F.col("r_kind")) & (F.col("s") == F.col("r_name")), "left")
-        at = stored(clash.select("kind", "name", (F.col("attempt") + ((F.col("r") > 1) | F.col("r_name").isNotNull()).cast("int")).alias("attempt"), ((F.col("r") > 1) | F.col("r_name").isNotNull()).alias("bad")), "pii-attempts")
+        made = stored(open_.withColumn("s", surrogate(F.col("kind"), F.col("name"), F.col("attempt"), key)), "pii-surrogates", narrow=True)
+        # settled entities keep their surrogates; of open ones with the same surrogate, the first by name gets it
+        place = W.partitionBy(space(F.col("kind")), "s").orderBy("name", "kind")
+        x = made.withColumn("r", F.row_number().over(place)).join(taken.distinct(), (space(F.col("kind")) == F.col("r_kind")) & (F.col("s") == F.col("r_name")), "left")
+        bad = (F.col("r") > 1) | F.col("r_name").isNotNull()
+        if settled:
+            used = settled[0]
+            for t in settled[1:]:
+                used = used.union(t)
+            x = x.join(used.select(space(F.col("kind")).alias("u_kind"), F.col("s").alias("u_s")), (space(F.col("kind")) == F.col("u_kind")) & (F.col("s") == F.col("u_s")), "left")
+            bad = bad | F.col("u_s").isNotNull()
+        x = stored(x.select("kind", "name", "attempt", "s", bad.alias("bad")), "pii-attempts", narrow=True)
         drop_stored(made)
-        open_ = at.filter("bad").limit(1).count()
-        at = at.select("kind", "name", "attempt")
-        if not open_:
-            return at.filter("attempt > 0")
+        settled.append(x.filter("not bad").select("kind", "name", "attempt", "s"))
+        open_ = x.filter("bad").select("kind", "name", (F.col("attempt") + 1).alias("attempt"))
+        if not open_.limit(1).count():
+            break
+    again = settled[0].limit(0)
+    for t in settled[1:]:
+        again = again.union(t)
+    return again.select("kind", "name", "attempt")
 
 
 def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -231,11 +279,20 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     def replaced(ms: Column) -> Column:
         def join(pieces: Column) -> Column:
-            new = F.transform(ms, lambda m, i: F.concat(pieces[i], rendered(m, listed, key)))
-            return F.concat(F.array_join(new, ""), F.element_at(pieces, -1))
+            made = F.transform(ms, lambda m: rendered(m, listed, key))
+
+            def with_names(names: Column) -> Column:
+                plain = F.transform(pieces, lambda p: F.struct(p.alias("text"), F.lit(0).alias("n")))
+                return F.when(F.size(names) > 0, F.transform(pieces, lambda p: renamed(p, names))).otherwise(plain)
+
+            def put(between: Column, new: Column) -> Column:
+                text = F.concat(F.array_join(F.transform(new, lambda m, i: F.concat(between[i]["text"], m)), ""), F.element_at(between, -1)["text"])
+                n = F.size(ms) + F.aggregate(between, F.lit(0), lambda a, p: a + p["n"])
+                return F.struct(text.alias("text"), n.cast("long").alias("n"))
+
+            return let(let(known_names(ms, listed, key), with_names), lambda between: let(made, lambda new: put(between, new)))
 
-        out = F.when(F.size(ms) > 0, let(F.split(text, ENTITY, -1), join)).otherwise(text)
-        return F.struct(out.alias("text"), F.size(ms).cast("long").alias("n"))
+        return F.when(F.size(ms) > 0, let(F.split(text, ENTITY, -1), join)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
 
     done = x.withColumn("__pii_new", F.when(text.isNotNull(), let(mentions(text), replaced)))
     new = {"text": F.col("__pii_new.text")}
