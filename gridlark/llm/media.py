@@ -1,16 +1,17 @@
 """Media columns: texts as 8-bit WAV samples, with spectral-peak pair fingerprints.
 
 A payload is stored as mono 8-bit WAV and read back by the ``wave`` module. A short-time Fourier
-transform gives a magnitude for each frame and frequency; the strongest local peaks of each frame are
-landmarks, and each landmark is paired with the next ones in time. A pair ``(f1, f2, dt)`` at frame
+transform gives a magnitude for each frame and frequency; the strongest local peaks of each frame (``peaks`` = 3
+of those with at least 1 / ``floor`` = 1 / 16 of the frame's largest magnitude, so that rounding noise is none) are
+landmarks, and each landmark is paired with the next ``fan`` = 3 ones in time. A pair ``(f1, f2, dt)`` at frame
 ``t`` is one 64-bit code ``t << 32 | f1 << 20 | f2 << 8 | dt``, so a fingerprint is an array of codes
 in order of time. Pairs 256 or more frames apart, as over a long run of one sign, have negative codes, which
 come first: the sign bit, ``t`` and ``dt`` of 24 bits, ``f1`` and ``f2`` of 7 (for frames of 256).
 
 Nulls and empty texts are 64 zero bytes: silence, which has no peaks and an empty fingerprint. Texts of
-any length are processed whole, in blocks of frames; the first and last sample are repeated for a hop and up
-to a whole number of hops, so that every sample counts in two frames and none only where the window fades
-out. Equal texts get equal values; rows are independent, so repeated rows, ties in ``doc_id`` and further
+any length are processed whole, in blocks of frames; the rounded mean goes before and after the samples, for a
+hop and up to a whole number of hops, so that every sample counts in two frames and none only where the window
+fades out. Equal texts get equal values; an empty table gives no rows; rows are independent, so repeated rows, ties in ``doc_id`` and further
 columns of the input do not matter.
 """
 
@@ -36,6 +37,7 @@ class Spectrum:
     hop: int = 128
     peaks: int = 3  # landmarks of a frame
     fan: int = 3  # later landmarks that one is paired with
+    floor: int = 16  # a landmark's magnitude times this is the frame's largest one at least
     block: int = 4096  # frames transformed at once
 
 
@@ -61,7 +63,7 @@ def padded(raw: bytes, unit: int = 64) -> bytes:
 def landmarks(samples: bytes, s: Spectrum) -> tuple[np.ndarray, np.ndarray]:
     """Frames and frequencies of the peaks, in order of time and then of frequency."""
     x = np.frombuffer(samples, np.uint8).astype(np.float32) - np.float32(128)
-    x = np.pad(x, (s.hop, max(s.frame - s.hop - len(x), s.hop + -len(x) % s.hop)), "edge")
+    x = np.pad(x, (s.hop, max(s.frame - s.hop - len(x), s.hop + -len(x) % s.hop)), constant_values=np.rint(x.mean(dtype=np.float64)))
     views = np.lib.stride_tricks.sliding_window_view(x, s.frame)[:: s.hop]
     window = np.hanning(s.frame).astype(np.float32)
     when, which = [], []
@@ -71,7 +73,7 @@ def landmarks(samples: bytes, s: Spectrum) -> tuple[np.ndarray, np.ndarray]:
         # rounded, so that the last bits of a transform never decide between two peaks
         power = np.rint(np.abs(np.fft.rfft(frames, axis=1)) * 16).astype(np.int64)
         inner = power[:, 1:-1]
-        peak = (inner > power[:, :-2]) & (inner >= power[:, 2:])
+        peak = (inner > power[:, :-2]) & (inner >= power[:, 2:]) & (s.floor * inner >= inner.max(axis=1, keepdims=True))
         rank = np.where(peak, inner * 4096 + (4095 - np.arange(1, inner.shape[1] + 1)), -1)
         best = np.sort(np.partition(rank, -s.peaks, axis=1)[:, -s.peaks :], axis=1)
         frame, place = np.nonzero(best >= 0)

@@ -35,7 +35,7 @@ def op6_toxicity(spark, sf_dir):
 
 
 def op7_media_columns(spark, sf_dir):
-    return media.media_columns(table(spark, sf_dir, "documents"), keep_codes=False)
+    return media.media_columns(table(spark, sf_dir, "documents"))
 
 
 def op8_mixing(spark, sf_dir):
