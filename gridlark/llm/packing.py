@@ -12,9 +12,10 @@ pieces of the capacity with a shorter last one. Pieces are then packed best-fit
 3. The gaps are updated, and the next superstep begins.
 
 The sweeps give runs (length, first rank, last rank) -> (first sequence, pieces in each, offset); pieces
-get their ranks in a distributed pass (counts by length and salt, then a window inside a salt) and look
-up their run. The only state on the driver is the histogram of lengths and the runs, both bounded by the
-capacity and not by the data.
+get their ranks in a distributed pass (counts by length and salt, then a window inside a salt; as many salts
+as the commonest length asks for) and look up their run. The only state on the driver is the histogram of
+lengths and the runs, both bounded by the capacity and not by the data. Pieces of the whole capacity need no
+match and take no part.
 
 Null and empty texts are one piece that is the end id alone. Repeated rows are separate documents with
 pieces of their own. Empty input gives no rows. Only ``doc_id`` and ``text`` are read.
@@ -26,6 +27,7 @@ import json
 import re
 import zlib
 from bisect import bisect_left, insort
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,6 +37,10 @@ from pyspark.sql import functions as F
 from .common import sliced, stored, texts
 
 CAPACITY, END = 4096, 1
+#: Pieces of one length that a window ranks, about; a length with more is dealt to several.
+WINDOW = 200_000
+#: Parts that every length is dealt to at least.
+SALTS = 64
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept in a worker's table of encoded words before it starts anew.
 CACHED_WORDS = 1_000_000
@@ -153,7 +159,7 @@ class Merges:
 class WordEncoder:
     """Ids as little-endian 32-bit bytes, by a tokenizer that never joins across a space or line feed.
 
-    Each distinct word is encoded once. A plain word (ASCII and Latin-1 letters) is lower-cased and cut
+    Each distinct word is encoded once. A plain word (ASCII signs and Latin-1 letters) is lower-cased and cut
     into runs of letters, single digits and runs of other signs, as the tokenizer does, and its merges
     are applied to all new runs together; every other word, and a text that holds the name of a special
     token, goes through the whole tokenizer.
@@ -161,6 +167,9 @@ class WordEncoder:
 
     #: The tokenizer's own split, for lower-case plain words; a line feed ends a word.
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|\n|[^\na-z0-9\xdf-\xf6\xf8-\xff]+")
+    #: Signs of which a run is a part of its own after letters, and words of letters and such a run.
+    MARKS = ".,;:!?"
+    SIMPLE = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,;:!?]*")
     PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
     def __init__(self, path: str):
@@ -170,8 +179,8 @@ class WordEncoder:
         self.merges = Merges(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table: dict[bytes, bytes] = {b"": b""}
-        self.parts: dict[str, bytes] = {}
-        sample = [w.encode() for w in "Don't we'LL go to 1,234.5 (x_y) <<a>> ab'cd! \xc9t\xe9 \xdcber \xd1 \xf8\xff-\xdf unbelievably".split()]
+        self.parts: dict[str, bytes] = {"": b""}
+        sample = [w.encode() for w in "Don't we'LL go to 1,234.5 (x_y) <<a>> ab'cd! \xc9t\xe9 \xdcber \xd1 \xf8\xff-\xdf unbelievably end., what?! a.b. No:".split()]
         self.learn(sample)
         if any(self.table[w] != self.ids(w.decode()) for w in sample):
             raise ValueError(f"{path} does not split and merge words as this encoder does")
@@ -180,17 +189,23 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, new: list[bytes]) -> None:
-        plain = []
-        for raw in new:
-            word = raw.decode()
-            if self.PLAIN.fullmatch(word):
+        simple, plain = [], []
+        for raw, word in zip(new, b"\n".join(new).decode().split("\n") if new else [], strict=True):
+            if self.SIMPLE.fullmatch(word):
+                simple.append((raw, word))
+            elif self.PLAIN.fullmatch(word):
                 plain.append((raw, word))
             else:
                 self.table[raw] = self.ids(word)
         found = self.PARTS.findall("".join([f"{w}\n" for _, w in plain]).lower())
-        fresh = [p for p in set(found) if p not in self.parts and p != "\n"]
-        self.parts.update(zip(fresh, self.merges.encode([p.encode() for p in fresh]), strict=True))
-        parts, code, words = self.parts, b"", iter(plain)
+        heads = [w.rstrip(self.MARKS) for _, w in simple]
+        marks = [w[len(h) :] for (_, w), h in zip(simple, heads, strict=True)]
+        letters = "\n".join(heads).lower().split("\n") if heads else []
+        parts = self.parts
+        fresh = [p for p in {*found, *letters, *marks} if p not in parts and p != "\n"]
+        parts.update(zip(fresh, self.merges.encode([p.encode() for p in fresh]), strict=True))
+        self.table.update([(w[0], parts[a] + parts[m]) for w, a, m in zip(simple, letters, marks, strict=True)])
+        code, words = b"", iter(plain)
         for part in found:
             if part == "\n":
                 self.table[next(words)[0]] = code
@@ -202,7 +217,7 @@ class WordEncoder:
         cut = [None if any(s in r for s in self.special) else r.replace(b"\n", b" ").split(b" ") for r in raw]
         if len(self.table) + len(self.parts) > CACHED_WORDS:
             self.table = {b"": b""}
-            self.parts = {}
+            self.parts = {"": b""}
         new = set()
         for c in cut:
             if c is not None:
@@ -214,6 +229,12 @@ class WordEncoder:
         return [self.ids(r.decode()) if c is None else b"".join(map(get, c)) for r, c in zip(raw, cut, strict=True)]
 
 
+@cache
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker, with the words it knows by then."""
+    return WordEncoder(path)
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -234,7 +255,7 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAP
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer or tokenizer_path())
+        encoder = encoder_of(tokenizer or tokenizer_path())
         for batch in sliced(batches):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts(batch)), strict=True):
@@ -296,47 +317,47 @@ def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
     return runs
 
 
-def place(parts: DataFrame, *, capacity: int = CAPACITY, salts: int = 64) -> DataFrame:
+def place(parts: DataFrame, *, capacity: int = CAPACITY, window: int = WINDOW) -> DataFrame:
     """``parts`` (doc_id, piece, start, length and more) with ``sequence_id`` and ``offset``.
 
-    ``parts`` must be a stored table: it is read twice, and ranks have to agree.
+    ``parts`` must be a stored table: it is read several times, and ranks have to agree. Pieces of the whole
+    capacity are sequences of their own, with negative numbers.
     """
     spark = parts.sparkSession
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # capacity * salts at most
-    by_length: dict[int, int] = {}
-    base: dict[tuple[int, int], int] = {}
-    for length, salt, n in sorted(map(tuple, counts)):
-        base[length, salt] = by_length.get(length, 0)
-        by_length[length] = by_length.get(length, 0) + n
+    full = parts.filter(F.col("length") == capacity).select("*", (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = parts.filter(F.col("length") < capacity)
+    by_length = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``capacity`` at most
+    salts = max(SALTS, 1 + max(by_length.values(), default=0) // window)
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    before = stored(counts.select(F.col("length").alias("b_length"), F.col("salt").alias("b_salt"), before.alias("before")), "pack-ranks", narrow=True)
     runs = sorted(sweep(by_length, capacity))
     keys = np.array([length << 44 | rank for length, rank, *_ in runs], np.int64)
     table = np.array([(rank, first, each, offset) for _, rank, _, first, each, offset in runs], np.int64).reshape(-1, 4)
-    starts = np.zeros((capacity + 1, salts), np.int64)
-    for (length, salt), n in base.items():
-        starts[length, salt] = n
-    shared = spark.sparkContext.broadcast((keys, table, starts))
+    shared = spark.sparkContext.broadcast((keys, table))  # a few runs for each length
 
     def kernel(batches):
         import pyarrow as pa
 
-        keys, table, starts = shared.value
+        keys, table = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             get = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False).astype(np.int64)
-            length = get("length")
-            rank = starts[length, get("salt")] + get("rank") - 1
+            length, rank = get("length"), get("rank")
             first, sequence, each, offset = table[np.searchsorted(keys, length << 44 | rank, "right") - 1].T
             k = rank - first
-            kept = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n not in ("salt", "rank")]
+            kept = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n != "rank"]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(sequence + k // each), pa.array(offset + k % each * length)], [n for n, _ in kept] + ["sequence_id", "offset"])
 
-    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", *[c for c in ("ids_crc32",) if c in parts.columns])).cast("long"))
+    own = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", *[c for c in ("ids_crc32",) if c in parts.columns]))
+    ranked = salted.withColumn("rank", own - 1).join(before, (F.col("length") == F.col("b_length")) & (F.col("salt") == F.col("b_salt")))
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before")).select(*parts.columns, "rank")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return ranked.mapInArrow(kernel, f"{fields}, sequence_id long, offset long")
+    return full.unionByName(ranked.mapInArrow(kernel, f"{fields}, sequence_id long, offset long"))
 
 
-def pack(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of ``docs``."""
-    return place(stored(pieces(docs, tokenizer=tokenizer, capacity=capacity, end=end), "pack-pieces"), capacity=capacity, salts=salts)
+    return place(stored(pieces(docs, tokenizer=tokenizer, capacity=capacity, end=end), "pack-pieces"), capacity=capacity)
