@@ -11,7 +11,7 @@ A document is then rejected if the lines removed held more than ``max_loss`` per
 in characters of words), or if it fails the base rule: fewer than 50 words, or more than half of the words
 in repeated 3-word windows.
 
-Null and empty texts have no words and fail the base rule. Rows are independent, so repeated rows, ties
+Null and empty texts have no words and fail the base rule; an empty table gives no rows. Rows are independent, so repeated rows, ties
 and further columns of the input do not matter. Texts are judged whole, in time that grows as
 ``n log n`` with the words of a text.
 """

@@ -14,7 +14,8 @@ The rule for a token that no single section holds whole:
 So over a document ``n_tokens`` and ``share`` both add up to its count of tokens. ``n_crossing`` is the
 number of tokens that touch a section and also something outside of it.
 
-Null and empty texts are one empty section without tokens. Repeated rows are attributed each on its own.
+Null and empty texts are one empty section without tokens; an empty table gives no rows. Repeated rows are
+attributed each on its own.
 Only ``doc_id``, ``text`` and the named sections column are read.
 """
 
