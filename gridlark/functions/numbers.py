@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +38,11 @@ def decode_float(text: str) -> float:
 
 
 def float_key(column: Column) -> Column:
-    """:func:`encode_float` for a column, in Arrow batches."""
+    """:func:`encode_float` for a column, in Arrow batches; null stays null."""
     @F.pandas_udf("string")
     def key(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else encode_float(float(v)))
+        # nulls arrive as not-a-number, which a column of doubles may hold as well; the caller's `when` tells them apart
+        text = np.ascontiguousarray(values.to_numpy(float, na_value=np.nan), ">f8").tobytes().hex()
+        return pd.Series([text[k : k + 16] for k in range(0, len(text), 16)], index=values.index, dtype=object)
 
-    return key(column)
+    return F.when(column.isNotNull(), key(column))

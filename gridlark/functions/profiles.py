@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +58,35 @@ def harmonic_20(*_: Column) -> Column:
 def isotropic_black_hole(radius: Column, mass: float) -> Column:
     """Conformal factor ``1 + m / 2r``, with the radius not below m / 10."""
     return 1.0 + F.lit(mass / 2) / F.greatest(radius, F.lit(mass / 10))
+
+
+def polar(radius: Column, theta: Column) -> tuple[Column, Column]:
+    """(r, z) of a curve around the origin; neither is negative."""
+    return F.greatest(radius * F.cos(theta), F.lit(0.0)), F.greatest(radius * F.sin(theta), F.lit(0.0))
+
+
+def conformal_metric(rho: Column, psi: Column, seed: Column) -> dict[str, Column]:
+    """Metric, seed, lapse and shift of initial data at rest, from the conformal factor and the seed."""
+    scale = F.pow(psi, F.lit(4.0)) * F.exp(2.0 * rho * seed)
+    return {"grr": scale, "grz": F.lit(0.0), "gzz": scale, "s": -seed, "lapse": F.lit(1.0), "shift_r": F.lit(0.0), "shift_z": F.lit(0.0)}
+
+
+def black_hole_metric(rho: Column, z: Column, mass: float) -> dict[str, Column]:
+    """An isotropic black hole; the lapse is -1 far away and passes 0 at the horizon."""
+    radius = F.greatest(F.sqrt(rho * rho + z * z), F.lit(mass / 10))
+    scale = F.pow(isotropic_black_hole(radius, mass), F.lit(4.0))
+    return {"grr": scale, "grz": F.lit(0.0), "gzz": scale, "s": F.lit(0.0), "lapse": (mass - 2.0 * radius) / (mass + 2.0 * radius)}
+
+
+def conformal_residual(rho: Column, psi: dict[str, Column], seed: dict[str, Column], fields: list[tuple[dict[str, Column], float]]) -> Column:
+    """What is left of the Hamiltonian constraint at rest; ``psi``, ``seed`` and fields hold "v", "r", "z", "rr", "zz".
+
+    Each field is given with its mass. On the axis ``psi_r / rho`` is ``psi_rr``.
+    """
+    flat = psi["rr"] + psi["zz"] + F.when(F.abs(rho) <= 10e-10, psi["rr"]).otherwise(psi["r"] / rho)
+    bending = rho * (seed["rr"] + seed["zz"]) + 2.0 * seed["r"]
+    density = F.lit(0.0)
+    for u, mass in fields:
+        well = F.exp(2.0 * rho * seed["v"]) * F.pow(psi["v"], F.lit(4.0)) * F.lit(mass * mass) * u["v"] * u["v"]
+        density = density + (u["r"] * u["r"] + u["z"] * u["z"] + well) / 2.0
+    return flat + psi["v"] / 4.0 * (bending + F.lit(8.0 * math.pi) * density)
