@@ -148,6 +148,24 @@ def split_touches_region(split: Column, region: Column, dims: int) -> Column:
     return both([(side(region, a) == 1) | ((side(region, a) == 2) == bit(split, a)) for a in range(dims)])
 
 
+def split_touches_face(split: Column, face: Column, dims: int) -> Column:
+    """Whether a half lies on the side of its parent that the face is on."""
+    return both([(face_axis(face) != a) | (bit(split, a) == (face % 2 == 1)) for a in range(dims)])
+
+
+def faces_of_region(region: Column, dims: int) -> Column:
+    """The faces that a direction crosses, as an array."""
+    crossed = [F.when(side(region, a) != 1, F.lit(2 * a) + F.when(side(region, a) == 2, 1).otherwise(0)) for a in range(dims)]
+    return F.filter(F.array(*crossed), lambda f: f.isNotNull())
+
+
+def owning_face(index: list[Column], size: list[int]) -> Column:
+    """The one face that a node on the border of ``0 .. size`` belongs to; lower faces come first, then lower axes; null inside."""
+    lower = [F.when(i == 0, 2 * a) for a, i in enumerate(index)]
+    upper = [F.when(i == n, 2 * a + 1) for a, (i, n) in enumerate(zip(index, size, strict=True))]
+    return F.coalesce(*lower, *upper)
+
+
 def regions(spark: SparkSession, dims: int) -> DataFrame:
     return spark.range(3**dims).select(F.col("id").cast("int").alias("region"))
 

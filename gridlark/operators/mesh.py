@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import weights as K
+from ..functions.geometry import both
 from . import tree as T
 from .boundary import Rules
 from .settled import settled
@@ -226,3 +227,69 @@ def transfer(nodes: DataFrame, changes: DataFrame, width: int, u: str = "u", ord
     halves = nodes_of(changes.filter("change = 'refine'").select(F.col("new").alias("path")), width)
     halves = halves.select("path", "i", "j", T.parent(F.col("path")).alias("source"), *[(F.col(n) + bits[a] * width).alias(t) for a, (n, t) in enumerate(zip("ij", "xy", strict=True))])
     return kept.unionByName(parents).unionByName(interpolated(halves, x, u, order, width))
+
+
+def exchange_boxes(leaves: DataFrame, width: int, ghost: int) -> DataFrame:
+    """(path, region, neighbor, kind, d0, n0, s0, d1, n1, s1): the nodes that each touching leaf fills.
+
+    On each axis ``n`` nodes from ``d`` on are filled, from the neighbour's node ``s`` on; for a coarser neighbour ``s``
+    counts half steps, for a finer one every second node. Shared faces belong to the box, unless the neighbour is finer.
+    """
+    s = T.steps(leaves).filter("to is not null").join(T.coarser_neighbors(leaves), ["path", "region"], "left")
+    sides = [F.floor(F.col("region") / 3**a) % 3 for a in range(T.DIMS)]
+    every = F.array(*[F.lit(str(d)) for d in range(1 << T.DIMS)])
+    facing = F.filter(every, lambda d: both([(x == 1) | ((F.floor(d.cast("int") / (1 << a)) % 2 == 1) == (x == 0)) for a, x in enumerate(sides)]))
+    halves = F.transform(facing, lambda d: F.concat("to", d))
+    s = s.withColumn("neighbor", F.explode(F.when(F.col("neighbor").isNull(), halves).otherwise(F.array("neighbor"))))
+    step = F.length("neighbor") - F.length("path")
+    kind = F.when(step == 0, "direct").when(step == 1, "fine").otherwise("coarse")
+    fine = step == 1
+    boxes = []
+    for a in range(T.DIMS):
+        own, other, at = T.cell_of(F.col("path"), a), T.cell_of(F.col("neighbor"), a), sides[a]
+        upper_half = fine & (other % 2 == 1)
+        low = F.when(at == 0, -ghost).when(at == 2, F.when(fine, width + 1).otherwise(width)).otherwise(F.when(upper_half, width // 2).otherwise(0))
+        high = F.when(at == 0, F.when(fine, -1).otherwise(0)).when(at == 2, width + ghost).otherwise(F.when(fine & ~upper_half, width // 2).otherwise(width))
+        corner = F.when(fine, other * (width // 2)).when(step == 0, other * width).otherwise(2 * other * width)
+        boxes += [low.alias(f"d{a}"), (high - low + 1).alias(f"n{a}"), (own * width + low - corner).cast("int").alias(f"s{a}")]
+    return s.select("path", "region", "neighbor", kind.alias("kind"), *boxes)
+
+
+def values_at(points: DataFrame, nodes: DataFrame, leaves: DataFrame, width: int, u: str = "u") -> DataFrame:
+    """``points`` (x and y in the unit box, ``path`` at the deepest level) with their leaf and the value there.
+
+    The polynomial through all nodes of the leaf is evaluated. A leaf's nodes travel as one array of
+    ``(width + 1) ** 2`` values, so the join has one row for each point.
+    """
+    n = width + 1
+    held = nodes.filter(F.col("i").between(0, width) & F.col("j").between(0, width)).groupBy(F.col("path").alias("leaf"))
+    held = held.agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "i", u))), lambda v: v[u]).alias("__v"))  # as many as a leaf has nodes
+    x = T.locate(points, leaves)
+
+    def weights(axis: int) -> list[Column]:
+        t = (F.col("xy"[axis]) * F.pow(F.lit(2.0), F.length("leaf")) - T.cell_of(F.col("leaf"), axis)) * float(width)
+        out = []
+        for k in range(n):
+            w = F.lit(1.0)
+            for m in range(n):
+                if m != k:
+                    w = w * (t - float(m)) / float(k - m)
+            out.append(w)
+        return out
+
+    x = x.withColumn("__a", F.array(*weights(0))).withColumn("__b", F.array(*weights(1))).join(held, "leaf")
+    rows = F.transform(F.col("__b"), lambda w, j: w * F.aggregate(F.zip_with(F.slice("__v", j * n + 1, n), "__a", lambda v, a: v * a), F.lit(0.0), lambda s, v: s + v))
+    return x.withColumn(u, F.aggregate(rows, F.lit(0.0), lambda s, v: s + v)).drop("__a", "__b", "__v")
+
+
+def scaled_steps(nodes: DataFrame, leaves: DataFrame, width: int, u: str = "u") -> DataFrame:
+    """Values times the spacing around their node over the least spacing: a step as long as each node allows."""
+    finest = leaves.agg((F.pow(F.lit(2.0), -F.max(F.length("path"))) / float(width)).alias("__least"))
+    x = nodes.join(spacing_of_vertices(leaves, width), ["path", "i", "j"]).join(F.broadcast(finest), F.lit(True))  # one row
+    return x.withColumn(u, F.col(u) * F.col("h") / F.col("__least")).drop("h", "__least")
+
+
+def node_owners(leaves: DataFrame, width: int, flag: str = "refine") -> DataFrame:
+    """(path, i, j, cell, flag): each node's leaf by number, and the leaf's flag as a number."""
+    x = T.numbered(leaves.select("path", F.col(flag).cast("int").alias("flag")), name="cell")
+    return nodes_of(leaves, width).join(x, "path").select("path", "i", "j", "cell", "flag")

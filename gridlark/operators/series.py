@@ -137,3 +137,13 @@ def mirrored(df: DataFrame, axes: list[str]) -> DataFrame:
     for a in axes:
         out = out.withColumn("__s", F.explode(F.array(F.lit(1.0), F.lit(-1.0)))).withColumn(a, F.col("__s") * F.col(a)).drop("__s")
     return out
+
+
+def scaling(history: DataFrame, info: DataFrame, param: str = "param", critical: str = "pstar") -> DataFrame:
+    """The history with ``param`` as the distance from the critical one, which ``info`` holds in one row."""
+    return history.join(F.broadcast(info.select(F.col(critical).alias("__p")).limit(1)), F.lit(True)).withColumn(param, F.col(param) - F.col("__p")).drop("__p")  # one row
+
+
+def before(history: DataFrame, order: str, at) -> DataFrame:
+    """The rows that a run resumed at a place keeps."""
+    return history.filter(F.col(order) < F.lit(at))

@@ -191,8 +191,11 @@ def euler_step(df: DataFrame, grid: Grid, u: str, rate: Callable[[Engine], Colum
     return engine.df.withColumn(u, new).drop(*engine.staged)
 
 
-def rk4_step(df: DataFrame, grid: Grid, u: str, rate: Callable[[Engine, str], Column], h: float, order: int = 4, fill: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """One classical Runge-Kutta step; ``rate(engine, column)``. ``fill`` renews ghosts before each stage."""
+def rk4_step(df: DataFrame, grid: Grid, u: str, rate: Callable[[Engine, str], Column], h: float, order: int = 4, fill: Callable[[DataFrame], DataFrame] | None = None, amplitude: float = 0.0) -> DataFrame:
+    """One classical Runge-Kutta step; ``rate(engine, column)``. ``fill`` renews ghosts before each stage.
+
+    With an ``amplitude``, ghosts are renewed once more and a filter of order 6 is added, not scaled by the step.
+    """
     names, x = [], df.withColumn("__s", F.col(u))
     for k, (c, w) in enumerate(((0.0, 1 / 6), (0.5, 1 / 3), (0.5, 1 / 3), (1.0, 1 / 6))):
         if k:
@@ -204,7 +207,8 @@ def rk4_step(df: DataFrame, grid: Grid, u: str, rate: Callable[[Engine, str], Co
         x = engine.df.withColumn(f"__k{k}", r).drop(*engine.staged)
         names.append((f"__k{k}", w))
     new = F.col(u) + F.lit(h) * total([F.lit(w) * F.col(n) for n, w in names])
-    return x.withColumn(u, new).drop("__s", *[n for n, _ in names])
+    x = x.withColumn(u, new).drop("__s", *[n for n, _ in names])
+    return dissipate(fill(x) if fill else x, grid, u, amplitude) if amplitude else x
 
 
 def trapezoid_weight(grid: Grid) -> Column:
@@ -237,8 +241,12 @@ def max_norm(df: DataFrame, grid: Grid, u: str, by: tuple[str, ...] = (), signed
     return df.filter(inside(grid)).groupBy(*by).agg(F.greatest(F.max(v), F.lit(0.0)).alias("max_norm" if signed else "linf"))
 
 
-def oscillation(df: DataFrame, grid: Grid, u: str, width: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Sum over cells of ``width`` nodes, the last one may be shorter, of (max - min) over the cell's closed node set."""
+def oscillation(df: DataFrame, grid: Grid, u: str | list[str], width: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sum over cells of ``width`` nodes, the last one may be shorter, of (max - min) over the cell's closed node set.
+
+    The largest of several channels' sums, if ``u`` is a list.
+    """
+    channels = [u] if isinstance(u, str) else u
     x = df.filter(inside(grid))
     names = []
     for a, n in zip(grid.axes, grid.cells, strict=True):
@@ -247,8 +255,9 @@ def oscillation(df: DataFrame, grid: Grid, u: str, width: int, by: tuple[str, ..
         cells = F.array_distinct(F.filter(F.array(own, before), lambda c: (c >= 0) & (c < count)))  # noqa: B023
         x = x.withColumn(f"__c{a}", F.explode(cells))
         names.append(f"__c{a}")
-    cell = x.groupBy(*dict.fromkeys([*grid.block, *by]), *names).agg((F.max(u) - F.min(u)).alias("__o"))
-    return cell.groupBy(*by).agg(F.sum("__o").alias("oscillation"))
+    cell = x.groupBy(*dict.fromkeys([*grid.block, *by]), *names).agg(*[(F.max(c) - F.min(c)).alias(f"__o{k}") for k, c in enumerate(channels)])
+    sums = [F.sum(f"__o{k}") for k in range(len(channels))]
+    return cell.groupBy(*by).agg((F.greatest(*sums) if len(sums) > 1 else sums[0]).alias("oscillation"))
 
 
 def bottom_left(df: DataFrame, grid: Grid, u: str) -> DataFrame:

@@ -62,10 +62,10 @@ def history_upsert(spark, sf_dir):
     return S.upsert(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice"), ["o_custkey"], F.col("o_orderkey")).drop("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 400000)")
 def uncached_params(spark, sf_dir):
-    """Parameters without a run of one status."""
-    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    """Parameters without a long run of one status."""
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' AND o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return S.uncached(table(spark, sf_dir, "customer").select("c_custkey"), done, "c_custkey")
 
 
@@ -129,7 +129,23 @@ def self_similarity(spark, sf_dir):
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey < 5000")
 def history_truncate(spark, sf_dir):
     """Rows before a place, as a resumed run keeps them."""
-    return table(spark, sf_dir, "orders").filter("o_orderkey < 5000").select("o_orderkey", "o_custkey", "o_totalprice")
+    return S.before(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", 5000)
+
+
+@query("SELECT o_orderkey, round(o_totalprice - (SELECT max(c_acctbal) FROM customer), 4) AS param, o_totalprice / 2 AS mass FROM orders")
+def massfill(spark, sf_dir):
+    """Masses over the distance from a critical value that another table holds."""
+    info = table(spark, sf_dir, "customer").agg(F.max("c_acctbal").alias("pstar"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("param"), (F.col("o_totalprice") / 2).alias("mass"))
+    return S.scaling(o, info).withColumn("param", F.round("param", 4))
+
+
+@query("SELECT event_type, round(sum(v) OVER (PARTITION BY event_type ORDER BY i), 4) AS proper_time, i + 1 AS nodes, (i + 1) // 2 AS dofs FROM (SELECT event_type, i, u / 100e0 AS v FROM (" + SQL["hours"] + "))")
+def timevsdofs(spark, sf_dir):
+    """Sizes of a mesh over proper time."""
+    w = W.partitionBy("event_type").orderBy("i")
+    x = hours(spark, sf_dir).withColumn("v", F.col("u") / 100.0)
+    return x.select("event_type", F.round(S.running_sum(F.col("v"), w), 4).alias("proper_time"), (F.col("i") + 1).alias("nodes"), F.floor((F.col("i") + 1) / 2).cast("int").alias("dofs"))
 
 
 @query("""SELECT o_orderkey, round(o_totalprice - (m - 1e-16), 4) AS param, o_totalprice AS mass FROM orders, (SELECT min(o_totalprice) AS m FROM orders WHERE o_orderstatus = 'F') WHERE o_orderstatus = 'F'""")

@@ -158,6 +158,14 @@ def oscillation(spark, sf_dir):
     return S.oscillation(line(spark, sf_dir), EN, "u", 6, ("vec_id",)).withColumn("oscillation", F.round("oscillation", 6))
 
 
+@query(f"""WITH n AS (SELECT vec_id, i, u, u * u * u AS v, unnest(list_distinct([i // 6, CASE WHEN i > 0 THEN (i - 1) // 6 ELSE 0 END])) AS c FROM ({SQL['line']}))
+SELECT vec_id, round(greatest(sum(o), sum(p)), 6) AS oscillation FROM (SELECT vec_id, c, max(u) - min(u) AS o, max(v) - min(v) AS p FROM n WHERE c < 11 GROUP BY 1, 2) GROUP BY vec_id""")
+def oscillation_system(spark, sf_dir):
+    """The largest over two channels."""
+    x = line(spark, sf_dir).withColumn("v", F.col("u") * F.col("u") * F.col("u"))
+    return S.oscillation(x, EN, ["u", "v"], 6, ("vec_id",)).withColumn("oscillation", F.round("oscillation", 6))
+
+
 @query(f"SELECT vec_id, u FROM ({SQL['line']}) WHERE i = 0")
 def bottom_left_value(spark, sf_dir):
     return S.bottom_left(line(spark, sf_dir), EN, "u")
@@ -261,6 +269,12 @@ def rk4_step(spark, sf_dir):
     return S.rk4_step(line(spark, sf_dir), EN, "u", lambda e, c: -e.derivative(c, 0), 0.001).withColumn("u", F.round("u", 5) + 0.0)
 
 
+@query(f"SELECT vec_id, i, round(v + 0.01e0 * ({sql_kernel(EN, K.dissipation(6), 0, 'v', 'w')}), 5) + 0e0 AS u FROM ({_sql_rk4(0.001).replace('round(u + ', '(u + ').replace(', 5) + 0e0 AS u', ') AS v')}) {sql_window(EN, 0)}")
+def rk4_filtered(spark, sf_dir):
+    """The same step with the filter of order 6 after it."""
+    return S.rk4_step(line(spark, sf_dir), EN, "u", lambda e, c: -e.derivative(c, 0), 0.001, amplitude=0.01).withColumn("u", F.round("u", 5) + 0.0)
+
+
 @query(f"SELECT vec_id, i, round(i * {num(1 / 63)}, 9) AS x, u FROM ({SQL['line']}) WHERE i % 7 = 0")
 def stride_export(spark, sf_dir):
     return line(spark, sf_dir).filter("i % 7 = 0").select("vec_id", "i", F.round(EN.position(0), 9).alias("x"), "u")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import boundary as B
 from ..operators import mesh as M
 from ..operators import tree as T
+from .nodes import SQL, points
 from .trees import _LEAVES, DEEP, leaves, sql_path
 
 QUERIES: dict = {}
@@ -175,3 +176,36 @@ SELECT path, face, CASE WHEN o THEN 'one_sided' ELSE 'ghost' END AS class, NOT b
 def boundary_classes(spark, sf_dir):
     """The upper faces of the domain have one-sided stencils."""
     return M.boundary_classes(even(spark, sf_dir), (1, 3))
+
+
+@query(f"""WITH RECURSIVE {_BALANCED}, q AS (SELECT b.*, dx, dy, x + dx AS tx, y + dy AS ty FROM b, dirs WHERE (dx <> 0 OR dy <> 0) AND x + dx BETWEEN 0 AND power(2, level) - 1 AND y + dy BETWEEN 0 AND power(2, level) - 1),
+met AS (SELECT q.path, q.x, q.y, q.dx, q.dy, c.path AS neighbor, c.level - q.level AS step, c.x AS cx, c.y AS cy FROM q JOIN b c ON (c.level = q.level AND c.x = tx AND c.y = ty) OR (c.level = q.level - 1 AND c.x = tx // 2 AND c.y = ty // 2)
+  OR (c.level = q.level + 1 AND c.x // 2 = tx AND c.y // 2 = ty AND (dx = 0 OR (c.x % 2 = 1) = (dx = -1)) AND (dy = 0 OR (c.y % 2 = 1) = (dy = -1)))),
+box AS (SELECT *, CASE dx WHEN -1 THEN -{GHOST} WHEN 1 THEN {WIDTH} + (step = 1)::INT ELSE (step = 1 AND cx % 2 = 1)::INT * {WIDTH // 2} END AS d0, CASE dx WHEN -1 THEN -(step = 1)::INT WHEN 1 THEN {WIDTH + GHOST} ELSE {WIDTH} - (step = 1 AND cx % 2 = 0)::INT * {WIDTH // 2} END AS e0,
+  CASE dy WHEN -1 THEN -{GHOST} WHEN 1 THEN {WIDTH} + (step = 1)::INT ELSE (step = 1 AND cy % 2 = 1)::INT * {WIDTH // 2} END AS d1, CASE dy WHEN -1 THEN -(step = 1)::INT WHEN 1 THEN {WIDTH + GHOST} ELSE {WIDTH} - (step = 1 AND cy % 2 = 0)::INT * {WIDTH // 2} END AS e1 FROM met)
+SELECT path, CAST(dx + 1 + 3 * (dy + 1) AS INTEGER) AS region, neighbor, CASE step WHEN 0 THEN 'direct' WHEN 1 THEN 'fine' ELSE 'coarse' END AS kind, CAST(d0 AS INTEGER) AS d0, CAST(e0 - d0 + 1 AS INTEGER) AS n0, CAST(d0 + {WIDTH} * x - {WIDTH} * cx * power(2e0, -step) AS INTEGER) AS s0,
+CAST(d1 AS INTEGER) AS d1, CAST(e1 - d1 + 1 AS INTEGER) AS n1, CAST(d1 + {WIDTH} * y - {WIDTH} * cy * power(2e0, -step) AS INTEGER) AS s1 FROM box""")
+def exchange_boxes(spark, sf_dir):
+    return M.exchange_boxes(even(spark, sf_dir), WIDTH, GHOST)
+
+
+@query(f"SELECT p_partkey, round({_CUBIC}, 7) AS u FROM (SELECT p_partkey, x * x AS x, y * y AS y FROM ({SQL['points']}))")
+def interpolate_points(spark, sf_dir):
+    """A cubic at scattered points, from the nodes of their leaves."""
+    cells = even(spark, sf_dir)
+    x = points(spark, sf_dir).select("p_partkey", (F.col("x") * F.col("x")).alias("x"), (F.col("y") * F.col("y")).alias("y"))
+    x = x.withColumn("path", T.path_of([T.lattice(F.col(c), DEEP) for c in ("x", "y")], DEEP))
+    return M.values_at(x, field(spark, sf_dir, cells), cells, WIDTH).select("p_partkey", F.round("u", 7).alias("u"))
+
+
+@query(f"SELECT path, i, j, round(({_CUBIC}) * h / finest, 7) AS u FROM (SELECT v.path, v.i, v.j, v.h, (b.x + v.i / {WIDTH}e0) / power(2e0, b.level) AS x, (b.y + v.j / {WIDTH}e0) / power(2e0, b.level) AS y, f.finest FROM ({ORACLE_SQL['vertex_spacing']}) v JOIN (WITH RECURSIVE {_BALANCED} SELECT path, level, x, y FROM b) b ON b.path = v.path, (SELECT min(h) AS finest FROM ({ORACLE_SQL['leaf_spacing']})) f)")
+def adaptive_steps(spark, sf_dir):
+    """Rates scaled by how long a step their node allows."""
+    cells = even(spark, sf_dir)
+    x = M.scaled_steps(field(spark, sf_dir, cells), cells, WIDTH)
+    return x.select("path", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round("u", 7).alias("u"))
+
+
+@query(f"WITH RECURSIVE {_BALANCED} SELECT path, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, cell, flag FROM (SELECT path, row_number() OVER (ORDER BY path) - 1 AS cell, CAST({_R} AS INTEGER) AS flag FROM b), (SELECT unnest(range(0, {WIDTH + 1})) AS i), (SELECT unnest(range(0, {WIDTH + 1})) AS j)")
+def node_owners(spark, sf_dir):
+    return M.node_owners(wanted(spark, sf_dir), WIDTH)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tensor as X
-from .nodes import table
+from .nodes import SQL, points, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -85,3 +85,27 @@ def lie_derivatives(spark, sf_dir):
     g = metric().g
     scalar = X.scalar_lie(x, x) + g[0, 0] * g[0, 1] + g[0, 1] * g[0, 0]
     return out(rows(spark, sf_dir), {"scalar": scalar, "k00": k[0, 0], "k11": k[1, 1]})
+
+
+_BENT = f"SELECT p_partkey, 0.6e0 * x * y AS fx, 0.3e0 * x * x + 0.4e0 * y AS fy, 0.6e0 * y AS fxx, 0.6e0 * x AS fxy, 0.4e0 AS fyy, x, y FROM ({SQL['points']})"
+
+
+@query(f"SELECT p_partkey, round(-(fxx + fyy), 6) AS r00, 0e0 AS r01, round(-(fxx + fyy), 6) AS r11, round(2 * y - fx * (2 * x * y) + fy * (x * x), 6) AS h00, round(2 * x - fy * (2 * x * y) - fx * (x * x), 6) AS h01, 0e0 AS kept FROM ({_BENT})")
+def conformal_curvature(spark, sf_dir):
+    """The metric ``exp(2 f)`` times the flat one: Ricci tensor, Hessian of ``x^2 y``, and the metric's own gradient, which is zero."""
+    x, y = F.col("x"), F.col("y")
+    f = 0.3 * x * x * y + 0.2 * y * y
+    d, dd = {0: 0.6 * x * y, 1: 0.3 * x * x + 0.4 * y}, {(0, 0): 0.6 * y, (0, 1): 0.6 * x, (1, 0): 0.6 * x, (1, 1): F.lit(0.4)}
+    staged = points(spark, sf_dir).select("p_partkey", "x", "y", F.exp(2.0 * f).alias("e"), *[d[k].alias(f"f{k}") for k in d], *[dd[k].alias(f"f{k[0]}{k[1]}") for k in dd])
+    c, zero = F.col, F.lit(0.0)
+    first = {k: 2.0 * c(f"f{k}") * c("e") for k in range(2)}
+    second = {k: (2.0 * c(f"f{k[0]}{k[1]}") + 4.0 * c(f"f{k[0]}") * c(f"f{k[1]}")) * c("e") for k in dd}
+    m = X.Metric(
+        X.build(2, lambda i, j: c("e") if i == j else zero),
+        X.build(3, lambda i, j, k: first[k] if i == j else zero),
+        X.build(4, lambda i, j, k, n: second[k, n] if i == j else zero),
+    )
+    u, uu = {(0,): 2.0 * x * y, (1,): x * x}, {(0, 0): 2.0 * y, (0, 1): 2.0 * x, (1, 0): 2.0 * x, (1, 1): zero}
+    r, h, kept = m.ricci(), m.scalar_hessian(u, uu), m.symmetric_gradient(m.g, m.dg)
+    named = {"r00": r[0, 0], "r01": r[0, 1], "r11": r[1, 1], "h00": h[0, 0], "h01": h[0, 1], "kept": F.greatest(*[F.abs(v) for v in kept.values()])}
+    return staged.select("p_partkey", *[(F.round(v, 6) + 0.0).alias(k) for k, v in named.items()])

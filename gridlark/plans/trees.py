@@ -56,6 +56,23 @@ def mask_regions(spark, sf_dir):
     return G.regions_of_mask(spark, 0b1001, 2)
 
 
+@query("SELECT CAST(f AS INTEGER) AS face, CAST(s AS INTEGER) AS split, (f // 2 = 0 AND s % 2 = f % 2) OR (f // 2 = 1 AND s // 2 = f % 2) AS touches FROM (SELECT unnest(range(0, 4)) AS f), (SELECT unnest(range(0, 4)) AS s)")
+def face_splits(spark, sf_dir):
+    x = G.faces(spark, 2).join(G.splits(spark, 2), F.lit(True))  # four rows each
+    return x.select("face", "split", G.split_touches_face(F.col("split"), F.col("face"), 2).alias("touches"))
+
+
+@query("SELECT CAST(r AS INTEGER) AS region, CAST(f AS INTEGER) AS face FROM (SELECT unnest(range(0, 9)) AS r), (SELECT unnest(range(0, 4)) AS f) WHERE CASE f WHEN 0 THEN r % 3 = 0 WHEN 1 THEN r % 3 = 2 WHEN 2 THEN r // 3 = 0 ELSE r // 3 = 2 END")
+def region_faces(spark, sf_dir):
+    return G.regions(spark, 2).select("region", F.explode(G.faces_of_region(F.col("region"), 2)).alias("face"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = 0 THEN 0 WHEN j = 0 THEN 2 WHEN i = 6 THEN 1 WHEN j = 4 THEN 3 END AS INTEGER) AS face FROM (SELECT unnest(range(0, 7)) AS i), (SELECT unnest(range(0, 5)) AS j)")
+def owning_faces(spark, sf_dir):
+    """Every border node belongs to one face."""
+    return G.index_space(spark, [7, 5], ["i", "j"]).select("i", "j", G.owning_face([F.col("i"), F.col("j")], [6, 4]).alias("face"))
+
+
 @query("SELECT CAST(n AS BIGINT) AS linear, CAST(n % 7 AS INTEGER) AS i, CAST(n // 7 % 5 AS INTEGER) AS j, CAST(n // 35 AS INTEGER) AS k FROM (SELECT unnest(range(0, 105)) AS n)")
 def index_decompose(spark, sf_dir):
     return G.index_space(spark, [7, 5, 3], ["i", "j", "k"])
