@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lattice_lm, media, mixing, packing, pii, quality, suffix_dedup, token_counts, toxicity
+from . import byte_cnn, centroids, compaction, jaccard_join, lattice_lm, media, mixing, packing, pii, quality, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -50,10 +50,23 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_lattice_lm, op4_pii_surrogates, op5_jaccard_join, op6_toxicity, op7_media_columns, op8_mixing, op9_packing, op10_suffix_dedup)}
+def op11_centroids(spark, sf_dir):
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_compaction(spark, sf_dir):
+    return compaction.compact(table(spark, sf_dir, "clicks"))
+
+
+def op13_byte_cnn(spark, sf_dir):
+    return byte_cnn.predict_languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_lattice_lm, op4_pii_surrogates, op5_jaccard_join, op6_toxicity, op7_media_columns, op8_mixing, op9_packing, op10_suffix_dedup, op11_centroids, op12_compaction, op13_byte_cnn)}
 
 ORACLE_SQL = {
     "op2_quality_rules": quality.ORACLE,
+    "op11_centroids": centroids.oracle(),
     "op8_mixing": r"""
 WITH s AS (SELECT doc_id, source, md5('mix-1:' || CAST(doc_id AS VARCHAR)) AS h, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
