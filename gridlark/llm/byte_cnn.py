@@ -8,8 +8,8 @@ windows', weighted by their bytes; ``score`` is that of the language with the la
 
 The network is trained in numpy by Adam on crops of random length, so short texts are learned too. What it learns from
 is bounded: of every language ``PER_LANG`` documents at most, the first in the order of a seeded hash, and ``CROPS``
-crops of ``size`` bytes from each, at places that the same hash gives. Ranking by language keeps the first rows of each
-task before the shuffle, so a language that most documents have is no burden. Prediction covers all documents and whole
+crops of ``size`` bytes from each, at places that the same hash gives. Only hashes are ranked, and each task keeps its first
+ones before the shuffle, so a language that most documents have is no burden. Prediction covers all documents and whole
 texts, a bounded number of windows at a time.
 
 Only rows that are not held out are learned from, and only their text and language. Null texts and texts without a letter
@@ -168,8 +168,11 @@ HAS_LETTER = r"\p{L}"
 def sample(docs: DataFrame, *, per_lang: int = PER_LANG, crops: int = CROPS, shape: Shape = Shape(), seed: str = "cnn-1") -> tuple[list[str], list[bytes], np.ndarray]:
     """Languages, crops of their documents, and each crop's language: ``per_lang * crops`` crops a language at most."""
     own = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(HAS_LETTER)).filter(~held_out(F.col("doc_id")))
-    own = own.withColumn("o", F.xxhash64(F.lit(seed), "doc_id")).select("lang", "o", "text")
-    first = own.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("o", "text"))).filter(F.col("r") <= per_lang)
+    own = own.select("lang", F.xxhash64(F.lit(seed), "doc_id", "text").alias("o"), "text")
+    # only hashes are ranked, so a language's task never sees texts; rows with one hash are repeated rows
+    ranked = own.select("lang", "o").withColumn("r", F.dense_rank().over(W.partitionBy("lang").orderBy("o"))).filter(F.col("r") <= per_lang)
+    last = ranked.groupBy(F.col("lang").alias("l_lang")).agg(F.max("o").alias("l_o"))  # a row for each language
+    first = own.join(last, (F.col("lang") == F.col("l_lang")) & (F.col("o") <= F.col("l_o"))).groupBy("lang", "o").agg(F.min("text").alias("text"))
 
     def cut(batches):
         import pyarrow as pa

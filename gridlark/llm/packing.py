@@ -17,6 +17,7 @@ as the commonest length asks for) and look up their run. The only state on the d
 lengths and the runs, both bounded by the capacity and not by the data. Pieces of the whole capacity need no
 match and take no part.
 
+Words of any length are encoded whole, long ones in time that grows as their length and its logarithm.
 Null and empty texts are one piece that is the end id alone. Repeated rows are separate documents with
 pieces of their own. Empty input gives no rows. Only ``doc_id`` and ``text`` are read.
 """
@@ -28,6 +29,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -59,6 +61,8 @@ class Merges:
     """
 
     NONE = np.int64(1 << 40)
+    #: Bytes from which on a word goes through a queue of its own, as a matrix moves its whole row at each merge.
+    LONG = 400
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -75,11 +79,13 @@ class Merges:
         self.keys = np.full((1 << self.bits) + 64, -1, np.int64)
         self.values = np.full((1 << self.bits) + 64, self.NONE, np.int64)
         self.probes = 1
+        self.pairs: dict[int, int] = {}
         for key, value in zip((left << 20 | right).tolist(), (np.arange(len(pairs)) << 20 | merged).tolist(), strict=True):
             at = home = self.home(key)
             while self.keys[at] >= 0:
                 at += 1
             self.keys[at], self.values[at] = key, value
+            self.pairs[key] = value
             self.probes = max(self.probes, at - home + 1)
 
     def home(self, key):
@@ -102,6 +108,10 @@ class Merges:
         out: list[bytes] = [b""] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lengths, kind="stable")
+        short = int(np.searchsorted(lengths[order], self.LONG, "right"))
+        for i in order[short:].tolist():
+            out[i] = self.queue(words[i])
+        order = order[:short]
         at = 0
         while at < len(order):
             width = int(lengths[order[at]])
@@ -114,6 +124,40 @@ class Merges:
             at = end
         return out
 
+    def queue(self, word: bytes) -> bytes:
+        """One word's ids, by a heap of its pairs and links to what stands left and right of each."""
+        raw = np.frombuffer(word, np.uint8)
+        codes = self.inner[raw]
+        codes[-1] = self.last[raw[-1]]
+        first = self.ranks(codes[:-1], codes[1:])
+        n, ids, none, get = len(codes), codes.tolist(), int(self.NONE), self.pairs.get
+        pair = [*first.tolist(), none]
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [v >> 20 << 32 | i for i, v in enumerate(pair) if v < none]
+        heapify(heap)
+        while heap:
+            top = heappop(heap)
+            i = top & 0xFFFFFFFF
+            if pair[i] >> 20 != top >> 32:
+                continue  # one of the two has gone into another pair
+            ids[i] = pair[i] & 0xFFFFF
+            gone = right[i]
+            ids[gone], pair[gone] = -1, none
+            after = right[i] = right[gone]
+            pair[i] = none
+            if after < n:
+                left[after] = i
+                pair[i] = v = get(ids[i] << 20 | ids[after], none)
+                if v < none:
+                    heappush(heap, v >> 20 << 32 | i)
+            before = left[i]
+            if before >= 0:
+                pair[before] = v = get(ids[before] << 20 | ids[i], none)
+                if v < none:
+                    heappush(heap, v >> 20 << 32 | before)
+        codes = np.array(ids, np.int64)
+        return codes[codes >= 0].astype("<u4").tobytes()
+
     def matrix(self, words: list[bytes], length: np.ndarray) -> list[bytes]:
         n, width = len(words), int(length.max())
         if not width:

@@ -18,6 +18,7 @@ the entities still open only. From attempt ``GROW`` on, a surrogate is one sylla
 attempt, so the space of a format that is full, or too small, outgrows its entities. Only the entities that
 needed a further attempt are joined back to their documents; all others are computed where the text is read.
 
+No pattern recurses with the text, and the work grows as a text's length, times the logarithm of its number of names.
 Null texts stay null; texts without entities are unchanged. Repeated rows are treated alike, since
 surrogates depend on entities only. Empty tables give no rows. All columns of the input are returned; ``pii_count`` is this
 operator's own, and replaces one of the input.
@@ -39,7 +40,9 @@ MARKS = "!#$%&*+-.:;?@^_~"
 MALE, FEMALE = ("Mr", "Herr", "Sr", "г-н"), ("Mrs", "Ms", "Frau", "Mme", "Sra", "г-жа")
 TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\.?"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: A domain ends with the letters of its last label that starts with two letters. Groups repeat possessively, as others recurse with the text.
+_TO_TOP = r"[A-Za-z0-9-]*+(?:\.(?![A-Za-z]{2})[A-Za-z0-9-]++)*+\.[A-Za-z]{2,}+"
+EMAIL = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-](?:{_TO_TOP})++"
 IP = rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.[0-9])"
 PHONE = r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)"
 CARD = r"(?<!\w)[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,4}(?!\w)"
@@ -57,10 +60,15 @@ SYLLABLES = {"latin": "ba be da do fe ga ka la le li ma mi na no pa ra re ri sa
 ENDINGS = {"latin": {"m": ["n", "ro", "us"], "f": ["na", "ra", "ia"], "s": ["ler", "mond", "ström"]}, "cyrillic": {"m": ["н", "р", "слав"], "f": ["на", "ра", "ия"], "s": ["енко", "ич", "ук"]}}
 
 
-def byte(hex_: Column, i: Column | int) -> Column:
-    """The i-th byte of a digest in hexadecimal, from 0; it starts again after 62."""
+def bytes_of(hex_: Column) -> Column:
+    """The first 62 bytes of a digest in hexadecimal."""
+    return F.transform(F.sequence(F.lit(0), F.lit(61)), lambda i: F.conv(F.substring(hex_, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+
+
+def byte(bytes_: Column, i: Column | int) -> Column:
+    """The i-th byte, from 0; it starts again after 62."""
     i = F.lit(i) if isinstance(i, int) else i
-    return F.conv(F.substring(hex_, (i % 62) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    return F.get(bytes_, i % 62)
 
 
 def kind_of(m: Column) -> Column:
@@ -101,24 +109,27 @@ def luhn(digits: Column) -> Column:
 
 def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
     more = F.greatest(attempt - (GROW - 1), F.lit(0))
-    marks = (kind == "secret") & ~name.rlike(r"[\p{L}0-9]")
+    only_marks = (kind == "secret") & ~name.rlike(r"[\p{L}0-9]")
 
     def of(h: Column) -> Column:
-        end = F.right(h, more)
+        once = F.struct(F.right(h, more).alias("end"), bytes_of(h).alias("bytes"), only_marks.alias("marks"))
+        return let(once, lambda x: made(x["end"], x["bytes"], x["marks"]))
+
+    def made(end: Column, h: Column, marks: Column) -> Column:
         digits, letters = F.translate(end, "abcdef", "012345"), F.translate(end, "0123456789", "ghijklmnop")
 
         def sign(c: Column, b: Column) -> Column:
             pick = lambda alphabet: F.substring(F.lit(alphabet), b % len(alphabet) + 1, F.lit(1))
             return (
                 F.when((kind == "hex"), pick("0123456789abcdef")).when(marks, pick(MARKS))
-                .when((kind == "access") & c.rlike("[0-9A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
-                .when(c.rlike("[0-9]"), pick("0123456789")).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-                .when(c.rlike(r"\p{IsCyrillic}"), pick("абвгдежзиклмнопрстуфхцчшэюя")).when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz")).otherwise(c)
+                .when((kind == "access") & (c.between("0", "9") | c.between("A", "Z")), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
+                .when(c.between("0", "9"), pick("0123456789")).when(c.between("a", "z"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.between("A", "Z"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+                .when(c < "\x7f", c).when(c.rlike(r"\p{IsCyrillic}"), pick("абвгдежзиклмнопрстуфхцчшэюя")).when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz")).otherwise(c)
             )
 
         def like(text: Column, keep: int = 0, off: int = 0) -> Column:
-            one = lambda i: F.when(i < keep, F.substring(text, i + 1, F.lit(1))).otherwise(sign(F.substring(text, i + 1, F.lit(1)), byte(h, i + off)))
-            return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.length(text) - 1), one), ""))
+            one = lambda c, i: F.when(i < keep, c).otherwise(sign(c, byte(h, i + off)))
+            return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
 
         local, domain = F.substring_index(name, "@", 1), F.substring_index(name, "@", -1)
         email = F.concat(like(local), letters, F.lit("@"), like(F.substring_index(domain, ".", 1), off=31), F.lit(".example."), F.substring_index(domain, ".", -1))
@@ -166,8 +177,8 @@ def poured(m: Column, digits: Column, n: Column) -> Column:
 
 def cased(m: Column, s: Column) -> Column:
     """``s`` with a capital wherever the mention has one."""
-    one = lambda c, i: F.when(F.substring(m, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)
-    return F.array_join(F.transform(F.split(s, ""), one), "")
+    one = lambda c, of: F.when(of.between("A", "Z"), F.upper(c)).otherwise(c)  # noqa: E731  further signs of s stay
+    return F.array_join(F.zip_with(F.split(s, ""), F.split(m, ""), lambda c, of: F.when(c.isNull(), "").when(of.isNull(), c).otherwise(one(c, of))), "")
 
 
 def chosen(u: Column, again: Column, key: str) -> Column:
@@ -195,15 +206,13 @@ def rendered(m: Column, again: Column, key: str) -> Column:
 
 
 def known_names(ms: Column, again: Column, key: str) -> Column:
-    """(pattern, surrogate) of the names that the mentions give, the longest first."""
+    """(word, surrogate) of the names that the mentions give, in order."""
 
     def of(m: Column) -> Column:
         parts = F.split(m, " ")
 
         def one(u: Column, i: Column) -> Column:
-            word = F.regexp_replace(F.get(parts, i + 1), POSSESSIVE, "")
-            pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_-])\Q"), word, F.lit(r"\E(?![\p{L}\p{N}_-])"))
-            return F.struct((-F.length(word)).alias("size"), pattern.alias("pattern"), F.initcap(chosen(u, again, key)).alias("s"))
+            return F.struct(F.regexp_replace(F.get(parts, i + 1), POSSESSIVE, "").alias("word"), F.initcap(chosen(u, again, key)).alias("s"))
 
         return F.transform(units(m), one)
 
@@ -211,14 +220,36 @@ def known_names(ms: Column, again: Column, key: str) -> Column:
     return F.sort_array(F.array_distinct(F.flatten(F.transform(persons, of))))
 
 
+#: A text as runs of signs that words are made of, and of others.
+RUNS = r"[\p{L}\p{N}_'-]+|[^\p{L}\p{N}_'-]+"
+#: Steps of a search among as many names as a text can hold.
+STEPS = [1 << k for k in reversed(range(28))]
+
+
 def renamed(text: Column, names: Column) -> Column:
-    """(text, n): the names in a text between mentions replaced, and how many."""
-    start = F.struct(text.alias("text"), F.lit(0).alias("n"))
+    """(text, n): the names in a text between mentions replaced, and how many.
+
+    Each word is looked up in the ordered names. Apostrophes are part of a name (O'Neil) or else end a word (Neil's).
+    """
+    steps = F.filter(F.array(*[F.lit(x) for x in STEPS]), lambda x: x <= F.size(names))
+
+    def found(word: Column) -> Column:
+        """The surrogate of a word, null if it is no name: the first entry that is not before it."""
+        before = F.aggregate(steps, F.lit(0), lambda lo, x: F.when(F.coalesce(F.get(names, lo + x - 1)["word"] < word, F.lit(False)), lo + x).otherwise(lo))
+        return let(F.get(names, before), lambda e: F.when(e["word"] == word, e["s"]))
+
+    def one(run: Column) -> Column:
+        plain = F.struct(run.alias("text"), F.lit(0).alias("n"))
+
+        def parts(ps: Column) -> Column:
+            new = F.transform(ps, lambda p: F.struct(p.alias("p"), found(p).alias("s")))
+            return let(new, lambda x: F.struct(F.array_join(F.transform(x, lambda y: F.coalesce(y["s"], y["p"])), "'").alias("text"), F.size(F.filter(x, lambda y: y["s"].isNotNull())).alias("n")))
 
-    def step(acc: Column, x: Column) -> Column:
-        return F.struct(F.regexp_replace(acc["text"], x["pattern"], x["s"]).alias("text"), (acc["n"] + F.regexp_count(acc["text"], x["pattern"])).alias("n"))
+        whole = let(found(run), lambda s: F.when(s.isNotNull(), F.struct(s.alias("text"), F.lit(1).alias("n"))).otherwise(parts(F.split(run, "'"))))
+        return F.when(run.rlike(r"\p{Lu}"), whole).otherwise(plain)
 
-    return F.aggregate(names, start, step)
+    done = F.transform(F.regexp_extract_all(text, F.lit(RUNS), F.lit(0)), one)
+    return let(done, lambda x: F.struct(F.array_join(F.transform(x, lambda y: y["text"]), "").alias("text"), F.aggregate(x, F.lit(0), lambda n, y: n + y["n"]).alias("n")))
 
 
 def mentions(text: Column) -> Column:
@@ -268,10 +299,11 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     x = docs
     if again.limit(1).count():
         a = again.select(F.col("kind").alias("a_kind"), F.col("name").alias("a_name"), "attempt")
-        per = docs.select("doc_id", F.explode(mentions(F.col("text"))).alias("m")).select("doc_id", F.explode(units(F.col("m"))).alias("u"))
+        # a document is its id and its text, so that rows without an id, or with a common one, do not meet in one list
+        per = docs.select("doc_id", F.xxhash64("text").alias("h"), F.explode(mentions(F.col("text"))).alias("m")).select("doc_id", "h", F.explode(units(F.col("m"))).alias("u"))
         per = per.join(a, (F.col("u.kind") == F.col("a_kind")) & (F.col("u.name") == F.col("a_name")))
-        per = stored(per.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("u.kind").alias("kind"), F.col("u.name").alias("name"), "attempt")).alias("__pii_again")), "pii-again")
-        x = docs.join(per.select(F.col("doc_id").alias("__pii_doc"), "__pii_again"), F.col("doc_id").eqNullSafe(F.col("__pii_doc")), "left")
+        per = stored(per.groupBy("doc_id", "h").agg(F.collect_set(F.struct(F.col("u.kind").alias("kind"), F.col("u.name").alias("name"), "attempt")).alias("__pii_again")), "pii-again")
+        x = docs.join(per.select(F.col("doc_id").alias("__pii_doc"), F.col("h").alias("__pii_text"), "__pii_again"), F.col("doc_id").eqNullSafe(F.col("__pii_doc")) & (F.xxhash64(F.col("text")) == F.col("__pii_text")), "left")
         listed = F.coalesce("__pii_again", F.array().cast(kind))
     else:
         listed = F.array().cast(kind)

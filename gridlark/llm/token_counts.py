@@ -15,13 +15,14 @@ So over a document ``n_tokens`` and ``share`` both add up to its count of tokens
 number of tokens that touch a section and also something outside of it.
 
 Null and empty texts are one empty section without tokens; an empty table gives no rows. Repeated rows are
-attributed each on its own.
+attributed each on its own. Texts of any length are encoded whole, long runs of white space included.
 Only ``doc_id``, ``text`` and the named sections column are read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,6 +30,9 @@ from pyspark.sql import DataFrame
 from .common import sliced, texts
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
+#: White space as the encoder's pattern has it (fixed: Unicode's White_Space), and runs of it that are cut out first.
+BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+LONG_RUN = 5_000
 
 
 def load_encoding(path: str):
@@ -44,6 +48,24 @@ def load_encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def encoded(encoding, text: str) -> list[int]:
+    """The ids of a text, whatever runs of white space it has.
+
+    The encoder's pattern makes one piece of such a run, without its last sign if more follows, and backtracks over it
+    with a stack that a long run exhausts. So long runs are cut out at these places, which the pattern cuts at anyway.
+    """
+    if len(text) <= LONG_RUN:
+        return encoding.encode_ordinary(text)
+    ids, at = [], 0
+    for m in BLANK.finditer(text):
+        if m.end() - m.start() > LONG_RUN:
+            end = m.end() - (m.end() < len(text))
+            ids += encoding.encode_ordinary(text[at : m.start()])
+            ids += encoding._encode_single_piece(text[m.start() : end])
+            at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def token_spans(raw: bytes, ids, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First characters, and ends, of the tokens of a text."""
     ends = np.cumsum(lengths[np.asarray(ids, np.int64)])
@@ -107,7 +129,7 @@ def attributed_tokens(docs: DataFrame, *, sections: str | None = None, tokenizer
             out: list[list] = [[] for _ in range(7)]
             spans = batch.column(2).to_pylist() if sections else [None] * batch.num_rows
             for doc, raw, given in zip(batch.column(0).to_pylist(), texts(batch), spans, strict=True):
-                ts, te = token_spans(raw, encoding.encode_ordinary(raw.decode()), lengths)
+                ts, te = token_spans(raw, encoded(encoding, raw.decode()), lengths)
                 if sections is None:
                     ss, se = line_sections(raw)
                 else:
