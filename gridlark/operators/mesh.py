@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import weights as K
 from ..functions.geometry import both
 from . import tree as T
-from .boundary import Rules
+from .boundary import Rules, kind_class
 from .settled import settled
 
 
@@ -183,7 +183,8 @@ def fill_boundary(nodes: DataFrame, leaves: DataFrame, width: int, extent: int,
     """``nodes`` with ``extent`` ghosts around every leaf.
 
     Ghosts copy a neighbour of the same level, take every second node of a finer one, and interpolate in a coarser
-    one, whose own nodes are enough; beyond the domain they mirror with the parity of their face, if it has one.
+    one, whose own nodes are enough; beyond the domain they mirror with the parity of their face, if it has one. Nodes on
+    strong Dirichlet faces take the target; other one-sided kinds change no values.
     """
     span = [F.sequence(F.lit(-extent), F.lit(-1)), F.sequence(F.lit(0), F.lit(width)), F.sequence(F.lit(width + 1), F.lit(width + extent))]
     s = T.steps(leaves).filter("to is not null").join(T.coarser_neighbors(leaves), ["path", "region"], "left")
@@ -201,11 +202,15 @@ def fill_boundary(nodes: DataFrame, leaves: DataFrame, width: int, extent: int,
     coarse = s.filter(other < level).select("path", "i", "j", F.col("neighbor").alias("source"), *[(F.col(f"g{n}") - 2 * T.cell_of(F.col("neighbor"), a) * width).cast("int").alias(x) for a, (n, x) in enumerate(zip("ij", "xy", strict=True))])
     out = nodes.select("path", "i", "j", u).union(copied).union(interpolated(coarse, nodes, u, order, width).select("path", "i", "j", u))
     for (axis, side), rule in sorted((rules or {}).items()):
-        if rule.kind not in ("symmetric", "antisymmetric"):
-            continue
+        kind_class(rule.kind)  # an unknown one is an error
+        if rule.kind not in ("symmetric", "antisymmetric", "strong_dirichlet"):
+            continue  # rates obey these, or the caller fills them
         name, sign = "ij"[axis], 1.0 if rule.kind == "symmetric" else -1.0
         k, c = F.col(name), T.cell_of(F.col("path"), axis)
         at_edge = c == (F.pow(F.lit(2.0), level).cast("int") - 1 if side else F.lit(0))
+        if rule.kind == "strong_dirichlet":
+            out = out.withColumn(u, F.when(at_edge & (k == (width if side else 0)), F.lit(rule.target)).otherwise(F.col(u)))
+            continue
         if sign < 0:
             out = out.withColumn(u, F.when(at_edge & (k == (width if side else 0)), F.lit(0.0)).otherwise(F.col(u)))
         near = k.between(width - extent, width - 1) if side else k.between(1, extent)

@@ -21,7 +21,8 @@ from ..functions import weights as K
 class Grid:
     """Uniform blocks: vertices 0 .. cells[a] on axis a, ``spacing[a]`` apart from ``origin[a]`` on.
 
-    free: for each axis, whether its lower and its upper edge has no ghost nodes.
+    free: for each axis, whether its lower and its upper edge has no ghost nodes. Spacing, origin and edges may be columns
+    instead, which differ from block to block.
     """
 
     block: tuple[str, ...]
@@ -65,10 +66,10 @@ def apply_axis(grid: Grid, kernel: K.Kernel, axis: int, u: Column | str) -> Colu
     out = weighted(sorted(kernel.interior.items()))
     low, high = grid.edges(axis)
     for p, row in enumerate(kernel.left):
-        if high:
-            out = F.when(i == n - p, weighted([(p - k, kernel.mirror * x) for k, x in enumerate(row)])).otherwise(out)
-        if low:
-            out = F.when(i == p, weighted([(k - p, x) for k, x in enumerate(row)])).otherwise(out)
+        if high is not False:
+            out = F.when((i == n - p) & high, weighted([(p - k, kernel.mirror * x) for k, x in enumerate(row)])).otherwise(out)
+        if low is not False:
+            out = F.when((i == p) & low, weighted([(k - p, x) for k, x in enumerate(row)])).otherwise(out)
     return out * F.lit(kernel.scale(grid.spacing[axis]))
 
 

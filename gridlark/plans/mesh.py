@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import boundary as B
+from ..operators import evaluation as V
 from ..operators import mesh as M
 from ..operators import tree as T
 from .nodes import SQL, points
@@ -209,3 +210,56 @@ def adaptive_steps(spark, sf_dir):
 @query(f"WITH RECURSIVE {_BALANCED} SELECT path, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, cell, flag FROM (SELECT path, row_number() OVER (ORDER BY path) - 1 AS cell, CAST({_R} AS INTEGER) AS flag FROM b), (SELECT unnest(range(0, {WIDTH + 1})) AS i), (SELECT unnest(range(0, {WIDTH + 1})) AS j)")
 def node_owners(spark, sf_dir):
     return M.node_owners(wanted(spark, sf_dir), WIDTH)
+
+
+#: Added before rounding, as values that end in 5 would round either way.
+ASIDE = 1e-9
+
+
+def _partials(x: str, y: str) -> dict[str, str]:
+    """The cubic and its derivatives at a place, in SQL."""
+    return {
+        "u": _CUBIC.replace("x", "#").replace("y", y).replace("#", x), "ux": f"(2.1931755e0 * {x} * {x} - 1.3719261e0 * {y} * {y} + 0.4175512e0 * {y})", "uy": f"(-2.7438522e0 * {x} * {y} + 0.4175512e0 * {x} + 0.2689414e0)",
+        "uxy": f"(-2.7438522e0 * {y} + 0.4175512e0)", "lap": f"(4.386351e0 * {x} - 2.7438522e0 * {x})",
+    }
+
+
+_EVERY_NODE = f"""SELECT path, level, b.x AS cx, b.y AS cy, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, (b.x + i / {WIDTH}e0) / power(2e0, level) AS x, (b.y + j / {WIDTH}e0) / power(2e0, level) AS y, 1 / (power(2e0, level) * {WIDTH}) AS h
+FROM b, (SELECT unnest(range(0, {WIDTH + 1})) AS i), (SELECT unnest(range(0, {WIDTH + 1})) AS j)"""
+_AT = _partials("x", "y")
+
+
+@query(f"WITH RECURSIVE {_BALANCED} SELECT path, i, j, " + ", ".join(f"round({_AT[k]} + {ASIDE}, 6) AS {k}" for k in ("ux", "uy", "uxy", "lap")) + f" FROM ({_EVERY_NODE})")
+def mesh_apply(spark, sf_dir):
+    """Derivatives on all leaves: centred, and one-sided on the edge of the domain; those of a cubic are exact."""
+    cells = even(spark, sf_dir)
+    f = lambda e: {"ux": e.derivative("u", 0), "uy": e.derivative("u", 1), "uxy": e.mixed_derivative("u", 0, 1), "lap": e.second_derivative("u", 0) + e.second_derivative("u", 1)}
+    x = V.apply(field(spark, sf_dir, cells), cells, WIDTH, f, {"u": {}})
+    return x.select("path", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), *[F.round(F.col(c) + ASIDE, 6).alias(c) for c in ("ux", "uy", "uxy", "lap")])
+
+
+_IN = _partials("x", "(y - h)")
+_WAVE = "1.5e0 * ({u} - 0.1e0 + x * {ux} + {y} * {uy})"
+_OWN_WAVE, _IN_WAVE = _WAVE.format(**_AT, y="y"), _WAVE.format(**_IN, y="(y - h)")
+
+
+@query(f"""WITH RECURSIVE {_BALANCED}, nd AS ({_EVERY_NODE}), nq AS (SELECT *, sqrt(x * x + y * y) AS r, sqrt(x * x + (y - h) * (y - h)) AS s, cx = power(2, level) - 1 AND i = {WIDTH} AS east, cy = power(2, level) - 1 AND j = {WIDTH} AS north,
+  (cx = 0 AND i = 0) OR (cy = 0 AND j = 0) AS low FROM nd)
+SELECT path, i, j, round({ASIDE} + CASE WHEN low THEN {_AT['lap']} WHEN east THEN 2e0 * (0.5e0 - ({_AT['u']})) WHEN north THEN -{_OWN_WAVE} / r + s * s * s * ({_IN['lap']} + {_IN_WAVE} / s) / (r * r * r) ELSE {_AT['lap']} END, 6) AS u,
+  round({_AT['ux']} + {ASIDE}, 6) AS slope FROM nq""")
+def mesh_rates(spark, sf_dir):
+    """A rate that is pulled towards a target on the east face and leaves through the north face; free faces in the west and south own their corners."""
+    cells = even(spark, sf_dir)
+    rules = {(0, 1): B.Face("weak_dirichlet", target=0.5, strength=2.0), (1, 1): B.Face("radiative", target=0.1, speed=1.5)}
+    f = lambda e: {"u": e.second_derivative("u", 0) + e.second_derivative("u", 1), "slope": e.derivative("u", 0)}
+    x = V.apply(field(spark, sf_dir, cells), cells, WIDTH, f, {"u": rules})
+    return x.select("path", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), *[F.round(F.col(c) + ASIDE, 6).alias(c) for c in ("u", "slope")])
+
+
+@query(f"""WITH RECURSIVE {_BALANCED} SELECT path, i, j, round(CASE WHEN cx = 0 AND i = 0 THEN 0.25e0 ELSE {_AT['u']} END, 7) AS u FROM ({_EVERY_NODE})""")
+def strong_faces(spark, sf_dir):
+    """Nodes on a face of the domain take the target."""
+    cells = even(spark, sf_dir)
+    x = M.fill_boundary(field(spark, sf_dir, cells), cells, WIDTH, GHOST, rules={(0, 0): B.Face("strong_dirichlet", target=0.25)})
+    x = x.filter(F.col("i").between(0, WIDTH) & F.col("j").between(0, WIDTH))
+    return x.select("path", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round("u", 7).alias("u"))
