@@ -8,6 +8,7 @@ from ..operators import boundary as B
 from ..operators import evaluation as V
 from ..operators import mesh as M
 from ..operators import tree as T
+from ..operators import wavelets as WA
 from .nodes import SQL, points
 from .trees import _LEAVES, DEEP, leaves, sql_path
 
@@ -263,3 +264,34 @@ def strong_faces(spark, sf_dir):
     x = M.fill_boundary(field(spark, sf_dir, cells), cells, WIDTH, GHOST, rules={(0, 0): B.Face("strong_dirichlet", target=0.25)})
     x = x.filter(F.col("i").between(0, WIDTH) & F.col("j").between(0, WIDTH))
     return x.select("path", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round("u", 7).alias("u"))
+
+
+def _weights(cells: int, order: int, buffer: int) -> str:
+    rows = WA.diagonal_weights(cells, order, buffer)
+    return ", ".join(f"({cells}, {k}, {p}, {x!r}e0)" if "e" not in repr(x) else f"({cells}, {k}, {p}, {x!r})" for k, row in rows for p, x in enumerate(row) if p % 2 == 0)
+
+
+_BUFFER = 2 * (GHOST // 2)
+_SECOND = "0.25e0 * x * x * y - 0.125e0 * y * y * y + x"
+LOWER, UPPER = 1e-5, 1e-3
+
+
+def second(x, y):
+    return 0.25 * x * x * y - 0.125 * y * y * y + x
+
+
+_PLACE = f"(c.x + ({{0}} - (c.cells - {WIDTH}) / 2) / {WIDTH}e0) / power(2e0, c.level) AS x, (c.y + ({{1}} - (c.cells - {WIDTH}) / 2) / {WIDTH}e0) / power(2e0, c.level) AS y"
+
+
+@query(f"""WITH RECURSIVE {_BALANCED}, w(cells, k, p, a) AS (VALUES {_weights(WIDTH, 1, 0)}, {_weights(WIDTH + 2 * _BUFFER, 2, _BUFFER)}),
+c AS (SELECT path, CASE WHEN x = 0 OR y = 0 OR x = power(2, level) - 1 OR y = power(2, level) - 1 THEN {WIDTH} ELSE {WIDTH + 2 * _BUFFER} END AS cells, x, y, level FROM b),
+o AS (SELECT c.path, s.k AS ki, v.k AS kj, s.a * v.a AS a, {_PLACE.format('s.p', 'v.p')} FROM c JOIN w s ON s.cells = c.cells JOIN w v ON v.cells = c.cells
+  UNION ALL SELECT c.path, s.k, v.k, -1e0, {_PLACE.format('s.k', 'v.k')} FROM c JOIN (SELECT DISTINCT cells, k FROM w) s ON s.cells = c.cells JOIN (SELECT DISTINCT cells, k FROM w) v ON v.cells = c.cells),
+d AS (SELECT path, max(greatest(abs(du), abs(dv))) AS detail FROM (SELECT path, sum(a * ({_CUBIC})) AS du, sum(a * ({_SECOND})) AS dv FROM o GROUP BY path, ki, kj) GROUP BY path)
+SELECT path, round(detail + {ASIDE}, 8) AS detail, detail >= {UPPER} AS refine, detail <= {LOWER} AS coarsen FROM d""")
+def mesh_wavelet_flags(spark, sf_dir):
+    """Two channels; leaves on the faces of the domain have no buffer."""
+    cells = even(spark, sf_dir)
+    x = field(spark, sf_dir, cells).withColumn("v", second(M.position(0, WIDTH), M.position(1, WIDTH)))
+    found = WA.flag_wavelets(x, cells, WIDTH, GHOST, {"u": {}, "v": {}}, order=2, lower=LOWER, upper=UPPER)
+    return found.select("path", F.round(F.col("detail") + ASIDE, 8).alias("detail"), "refine", "coarsen")
