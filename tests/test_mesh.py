@@ -4,7 +4,11 @@ from pyspark.sql import functions as F
 
 from gridlark.functions import elements as E
 from gridlark.operators import blocks as B
+from gridlark.operators import boundary as BD
+from gridlark.operators import evaluation as V
+from gridlark.operators import mesh as M
 from gridlark.operators import relax as R
+from gridlark.operators import wavelets as WA
 
 
 def refined(paths, leaf):
@@ -60,3 +64,32 @@ def test_relaxation_solves_poisson():
     assert np.abs(u - exact).max() < 2 / n**2 and steps > 10
     with pytest.raises(R.RelaxationError):
         R.relax(np.zeros(n + 1), residual, 1 / n, R.Relaxation(most=3))
+
+
+def test_rules_of_a_mesh(spark):
+    leaves = spark.createDataFrame([(p,) for p in refined(list("0123"), 0)], "path string")
+    nodes = M.nodes_of(leaves, 6).withColumn("u", F.lit(1.0))
+    with pytest.raises(ValueError):
+        M.fill_boundary(nodes, leaves, 6, 2, rules={(0, 0): BD.Face("odd")})
+    assert V.one_sided_faces({(0, 0): BD.Face("symmetric"), (1, 1): BD.Face("radiative")}) == [(0, 1), (1, 0), (1, 1)]
+    with pytest.raises(ValueError):
+        WA.flag_wavelets(nodes, leaves, 6, 3, {"u": {}}, order=6, lower=0.0, upper=1.0)
+
+
+def test_diagonal_weights_keep_polynomials():
+    for cells, order, buffer in ((6, 1, 0), (6, 3, 0), (10, 2, 2), (10, 4, 2), (10, 5, 2)):
+        rows = WA.diagonal_weights(cells, order, buffer)
+        assert [k for k, _ in rows] == [k for k in range(1, cells, 2) if buffer <= k <= cells - buffer]
+        for k, row in rows:
+            assert not any(row[1::2])
+            for degree in range(order + 1):
+                assert np.isclose(sum(w * (p / cells) ** degree for p, w in enumerate(row)), (k / cells) ** degree)
+
+
+def test_wavelet_detail_falls_by_32():
+    """The detail of a smooth function around one point at half the spacing, with order 4."""
+    errors = []
+    for h in (0.1, 0.05, 0.025, 0.0125):
+        rows = WA.diagonal_weights(10, 4, 2)
+        errors.append(max(abs(sum(w * np.sin(1 + h * (p - 5)) for p, w in enumerate(row)) - np.sin(1 + h * (k - 5))) for k, row in rows))
+    assert all(a / b >= 32 for a, b in zip(errors, errors[1:], strict=False))
