@@ -1,7 +1,7 @@
-"""Uniform blocks of leaves: greedy merging, offsets of nodes, and block neighbours.
+"""Uniform blocks of leaves: merging, offsets of nodes, and block neighbours.
 
-Merging depends on the order of the leaves, so it runs on the driver over leaf metadata (a path for each
-leaf, not for each node); its result is a table, and everything after it is joins and sums.
+Merging finds runs of leaves along axis 1, then joins equal runs along axis 0. A window holds one column of cells of one
+level, or the runs of one place and length, so at most as many rows as the mesh has cells along an axis.
 """
 
 from __future__ import annotations
@@ -57,18 +57,22 @@ def greedy_blocks(paths: list[str], dims: int = T.DIMS) -> list[Block]:
     return out
 
 
-def block_tables(spark: SparkSession, leaves: DataFrame, dims: int = T.DIMS) -> tuple[DataFrame, DataFrame]:
-    """``blocks`` (block_id, level, corner and size of each axis) and ``cell_block`` (path, block_id, place of each axis)."""
-    paths = sorted(r["path"] for r in leaves.select("path").collect())  # leaf metadata
-    blocks = greedy_blocks(paths, dims)
-    names = [f"{k}{a}" for k in ("c", "n") for a in range(dims)]
-    head = spark.createDataFrame([(i, b.level, *b.corner, *b.size) for i, b in enumerate(blocks)], "block_id int, level int, " + ", ".join(f"{n} int" for n in names))
-    cells = []
-    for i, b in enumerate(blocks):
-        for leaf in b.leaves:
-            at = position(paths[leaf], dims)
-            cells.append((paths[leaf], i, *(x - c for x, c in zip(at, b.corner, strict=True))))
-    return head, spark.createDataFrame(cells, "path string, block_id int, " + ", ".join(f"p{a} int" for a in range(dims)))
+def block_tables(spark: SparkSession, leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``blocks`` (block_id, level, corner and size of each axis) and ``cell_block`` (path, block_id, place of each axis).
+
+    Each leaf is in one block; blocks are rectangles of leaves of one level, numbered in Z-order of their corners. Leaves of
+    a column that touch form a run; runs side by side that begin and end alike form a block.
+    """
+    x = leaves.select("path", F.length("path").alias("level"), *[T.cell_of(F.col("path"), a).alias(f"x{a}") for a in range(2)])
+    x = x.withColumn("__run", F.col("x1") - F.row_number().over(W.partitionBy("level", "x0").orderBy("x1")))
+    runs = x.groupBy("level", "x0", "__run").agg(F.min("x1").alias("c1"), F.count("*").cast("int").alias("n1"))
+    runs = runs.withColumn("__stack", F.col("x0") - F.row_number().over(W.partitionBy("level", "c1", "n1").orderBy("x0")))
+    heads = runs.groupBy("level", "c1", "n1", "__stack").agg(F.min("x0").alias("c0"), F.count("*").cast("int").alias("n0"))
+    corner = T.path_of([F.col("c0"), F.col("c1")], F.col("level"))
+    heads = T.numbered(heads.withColumn("__corner", corner), "__corner", "block_id").withColumn("block_id", F.col("block_id").cast("int")).drop("__corner")
+    own = runs.join(heads, ["level", "c1", "n1", "__stack"]).select("level", "x0", "__run", "block_id", "c0", "c1")
+    cells = x.join(own, ["level", "x0", "__run"]).select("path", "block_id", *[(F.col(f"x{a}") - F.col(f"c{a}")).alias(f"p{a}") for a in range(2)])
+    return heads.select("block_id", "level", "c0", "c1", "n0", "n1"), cells
 
 
 def check_mesh(width: int, ghost: int) -> None:
@@ -81,8 +85,12 @@ def node_ranges(blocks: DataFrame, width: int, ghost: int, dims: int = T.DIMS) -
     n = F.lit(1)
     for a in range(dims):
         n = n * (F.col(f"n{a}") * width + 1 + 2 * ghost)
-    upto = F.sum("nodes").over(W.orderBy("block_id").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return blocks.withColumn("nodes", n).withColumn("end", upto).select("block_id", (F.col("end") - F.col("nodes")).alias("start"), "end")
+    x = blocks.withColumn("nodes", n.cast("long")).withColumn("__b", F.shiftright("block_id", 16))  # numbers are gapless, so a window has 65536 rows
+    sums = x.groupBy("__b").agg(F.sum("nodes").alias("__s"))
+    rows = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    base = sums.select("__b", (F.sum("__s").over(rows(W.orderBy("__b"))) - F.col("__s")).alias("__base"))
+    x = x.withColumn("__own", F.sum("nodes").over(rows(W.partitionBy("__b").orderBy("block_id")))).join(base, "__b").withColumn("end", F.col("__base") + F.col("__own"))
+    return x.select("block_id", (F.col("end") - F.col("nodes")).alias("start"), "end")
 
 
 def block_neighbors(leaves: DataFrame, cell_block: DataFrame) -> DataFrame:

@@ -151,72 +151,160 @@ def boundary_classes(leaves: DataFrame, one_sided: tuple[int, ...] = ()) -> Data
 
 
 def half_steps(order: int, width: int) -> Column:
-    """For each half step 0 .. 2 * width along a block: its (node, weight) pairs."""
+    """For each half step 0 .. 2 * width along a block: the side beyond which its centred row reads (1: none), and (first node, weights) of the centred and of the one-sided row."""
     if width <= order:
         raise ValueError("the width must be above the order")
     kernel = K.interpolation(order)
-    rows = []
+    offsets, half = sorted(kernel.interior), len(kernel.left)
+    row = lambda first, w: f"named_struct('first', {first}, 'w', array({', '.join(f'{x!r}D' for x in w)}))"
+    out = []
     for x in range(2 * width + 1):
-        p = x // 2
-        if x % 2 == 0:
-            pairs = [(p, 1.0)]
-        elif p < len(kernel.left):
-            pairs = list(enumerate(kernel.left[p]))
-        elif width - 1 - p < len(kernel.left):
-            pairs = [(width - k, w) for k, w in enumerate(kernel.left[width - 1 - p])]
-        else:
-            pairs = [(p + o, w) for o, w in kernel.interior.items()]
-        rows.append(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in pairs]))
-    return F.array(*rows)
-
-
-def interpolated(targets: DataFrame, nodes: DataFrame, u: str, order: int, width: int) -> DataFrame:
-    """``targets`` (path, i, j, source, x, y) with the value at half steps (x, y) of the leaf ``source``."""
-    table = half_steps(order, width)
-    t = targets.withColumn("a", F.explode(F.element_at(table, F.col("x") + 1))).withColumn("b", F.explode(F.element_at(table, F.col("y") + 1)))
-    t = t.select("path", "i", "j", "source", F.col("a.k").alias("si"), F.col("b.k").alias("sj"), (F.col("a.w") * F.col("b.w")).alias("w"))
-    from_ = nodes.select(F.col("path").alias("source"), F.col("i").alias("si"), F.col("j").alias("sj"), u)
-    return t.join(from_, ["source", "si", "sj"]).groupBy("path", "i", "j").agg(F.sum(F.col("w") * F.col(u)).alias(u))
-
-
-def fill_boundary(nodes: DataFrame, leaves: DataFrame, width: int, extent: int, u: str = "u", order: int = 4, rules: Rules | None = None) -> DataFrame:
-    """``nodes`` with ``extent`` ghosts around every leaf.
+        p, side = x // 2, 1
+        centred = (p, [1.0]) if x % 2 == 0 else (p + offsets[0], [kernel.interior[o] for o in offsets])
+        edge = centred
+        if x % 2 and p < half:
+            side, edge = 0, (0, kernel.left[p])
+        elif x % 2 and width - 1 - p < half:
+            mirrored = kernel.left[width - 1 - p][::-1]
+            side, edge = 2, (width + 1 - len(mirrored), mirrored)
+        out.append(f"named_struct('side', {side}, 'rows', array({row(*centred)}, {row(*edge)}))")
+    return F.expr(f"array({', '.join(out)})")
+
+
+def held(nodes: DataFrame, sources: DataFrame, width: int, ghosts: int, u: str) -> DataFrame:
+    """(source, v): the nodes of each leaf in ``sources`` (path) as one array, axis 0 fastest, with ``ghosts`` around it."""
+    on = F.col("i").between(-ghosts, width + ghosts) & F.col("j").between(-ghosts, width + ghosts)
+    x = nodes.filter(on).select("path", "i", "j", F.col(u).cast("double").alias("u")).join(sources.select("path").distinct(), "path", "left_semi")
+    v = F.transform(F.array_sort(F.collect_list(F.struct("j", "i", "u"))), lambda c: c["u"])  # as many as a leaf has nodes
+    x = x.groupBy(F.col("path").alias("source")).agg(v.alias("v"))
+    whole = F.size("v") == (width + 1 + 2 * ghosts) ** 2
+    return x.withColumn("v", F.when(whole, F.col("v")).otherwise(F.raise_error(F.lit("a leaf has missing or repeated nodes"))))
+
+
+def prolonged(pairs: DataFrame, sources: DataFrame, width: int, ghosts: int, u: str, order: int) -> DataFrame:
+    """(path, i, j, u) of all nodes in the boxes of ``pairs``, interpolated in their source.
+
+    pairs: (path, source, ok) and for each axis a ``lo``, ``hi`` and ``off``: node i is half step ``i + off`` of the source.
+    ``ok`` says for each direction whether the source has ghosts there. A row is centred where it has what that
+    reads, else one-sided. The join has one row for each pair of leaves, and its nodes are contracted in arrays.
+    """
+    n, table = width + 1 + 2 * ghosts, half_steps(order, width)
+    x = pairs.join(sources, "source")
+    for a in range(T.DIMS):
+        places = F.sequence(F.col(f"lo{a}"), F.col(f"hi{a}"))
+        x = x.withColumn(f"__r{a}", F.transform(places, lambda k: F.struct(k.alias("k"), F.element_at(table, k + F.col(f"off{a}") + 1).alias("t"))))  # noqa: B023
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, v: s + v)
+
+    def value(a: Column, b: Column) -> Column:
+        s0, s1 = a["t"]["side"], b["t"]["side"]
+        c0, c1, corner = F.col("ok")[s0 + 3], F.col("ok")[s1 * 3 + 1], F.col("ok")[s0 + 3 * s1]
+        chosen = F.struct(a["t"]["rows"][F.when(c0 & (corner | ~c1), 0).otherwise(1)].alias("a"), b["t"]["rows"][F.when(c1 & (corner | ~c0), 0).otherwise(1)].alias("b"))
+
+        def contracted(r: Column) -> Column:
+            at = lambda k: (r["b"]["first"] + k + ghosts) * n + r["a"]["first"] + ghosts + 1
+            return add(F.transform(r["b"]["w"], lambda w, k: w * add(F.zip_with(F.slice(F.col("v"), at(k), F.size(r["a"]["w"])), r["a"]["w"], lambda p, q: p * q))))
+
+        return F.transform(F.array(chosen), contracted)[0]
+
+    every = F.flatten(F.transform("__r1", lambda b: F.transform("__r0", lambda a: F.struct(a["k"].alias("i"), b["k"].alias("j"), value(a, b).alias(u)))))
+    return x.select("path", F.explode(every).alias("__n")).select("path", "__n.i", "__n.j", f"__n.{u}")
+
 
-    Ghosts copy a neighbour of the same level, take every second node of a finer one, and interpolate in a coarser
-    one, whose own nodes are enough; beyond the domain they mirror with the parity of their face, if it has one. Nodes on
-    strong Dirichlet faces take the target; other one-sided kinds change no values.
+def parity_faces(rules: Rules) -> set[tuple[int, int]]:
+    return {face for face, rule in rules.items() if rule.kind in ("symmetric", "antisymmetric")}
+
+
+def open_sides(s: DataFrame, rules: Rules) -> DataFrame:
+    """(path, ok): for each direction whether the ghosts there come from leaves as fine or finer, or mirror such; true for the leaf itself.
+
+    s: each leaf's steps (path, region, to) with the ``neighbor`` of the same or a coarser level, if there is one.
     """
-    span = [F.sequence(F.lit(-extent), F.lit(-1)), F.sequence(F.lit(0), F.lit(width)), F.sequence(F.lit(width + 1), F.lit(width + extent))]
-    s = T.steps(leaves).filter("to is not null").join(T.coarser_neighbors(leaves), ["path", "region"], "left")
-    for axis, name in enumerate("ij"):
-        side = F.floor(F.col("region") / 3**axis) % 3
-        s = s.withColumn(name, F.explode(F.when(side == 0, span[0]).when(side == 1, span[1]).otherwise(span[2])))
-        s = s.withColumn(f"g{name}", T.cell_of(F.col("path"), axis) * width + F.col(name))  # on the lattice of the level
-    level, other = F.length("path"), F.length("neighbor")
-    direct = s.filter(other == level).select("path", "i", "j", F.col("neighbor").alias("source"), *[(F.col(f"g{n}") - T.cell_of(F.col("neighbor"), a) * width).alias(f"s{n}") for a, n in enumerate("ij")])
-    finer = s.filter("neighbor is null")
-    cells = [F.least(F.greatest(F.floor(2 * F.col(f"g{n}") / width), 2 * T.cell_of(F.col("to"), a)), 2 * T.cell_of(F.col("to"), a) + 1).cast("int") for a, n in enumerate("ij")]
-    fine = finer.select("path", "i", "j", T.path_of(cells, level + 1).alias("source"), *[(2 * F.col(f"g{n}") - c * width).alias(f"s{n}") for c, n in zip(cells, "ij", strict=True)])
-    from_ = nodes.select(F.col("path").alias("source"), F.col("i").alias("si"), F.col("j").alias("sj"), u)
-    copied = direct.unionByName(fine).join(from_, ["source", "si", "sj"]).select("path", "i", "j", u)
-    coarse = s.filter(other < level).select("path", "i", "j", F.col("neighbor").alias("source"), *[(F.col(f"g{n}") - 2 * T.cell_of(F.col("neighbor"), a) * width).cast("int").alias(x) for a, (n, x) in enumerate(zip("ij", "xy", strict=True))])
-    out = nodes.select("path", "i", "j", u).union(copied).union(interpolated(coarse, nodes, u, order, width).select("path", "i", "j", u))
-    for (axis, side), rule in sorted((rules or {}).items()):
-        kind_class(rule.kind)  # an unknown one is an error
+    near = F.col("to").isNotNull() & (F.col("neighbor").isNull() | (F.length("neighbor") == F.length("path")))
+    own = F.struct(F.lit(3**T.DIMS // 2).alias("region"), F.lit(True).alias("ok"))
+    x = s.groupBy("path").agg(F.array_sort(F.concat(F.collect_list(F.struct("region", near.alias("ok"))), F.array(own))).alias("__s"))
+    x = x.select("path", "__s.ok", (F.pow(F.lit(2.0), F.length("path")) - 1).cast("int").alias("__last"), *[T.cell_of(F.col("path"), a).alias(f"__c{a}") for a in range(T.DIMS)])
+    parity, out = parity_faces(rules), []
+    for region in range(3**T.DIMS):
+        inner, fit = F.lit(0), F.lit(True)
+        for a in range(T.DIMS):
+            side = region // 3**a % 3
+            beyond = F.lit(False) if side == 1 else F.col(f"__c{a}") == (F.col("__last") if side else F.lit(0))
+            inner = inner + F.when(beyond, 1).otherwise(side) * 3**a
+            if (a, side // 2) not in parity:
+                fit = fit & ~beyond
+        out.append(fit & F.col("ok")[inner])
+    return x.select("path", F.array(*out).alias("ok"))
+
+
+def with_faces(x: DataFrame, width: int, extent: int, u: str, rules: Rules) -> DataFrame:
+    """Nodes on strong Dirichlet faces set to their target, on odd ones to 0, and ghosts mirrored beyond parity faces."""
+    level = F.length("path")
+    for (axis, side), rule in sorted(rules.items()):
         if rule.kind not in ("symmetric", "antisymmetric", "strong_dirichlet"):
             continue  # rates obey these, or the caller fills them
         name, sign = "ij"[axis], 1.0 if rule.kind == "symmetric" else -1.0
         k, c = F.col(name), T.cell_of(F.col("path"), axis)
         at_edge = c == (F.pow(F.lit(2.0), level).cast("int") - 1 if side else F.lit(0))
+        on_face = at_edge & (k == (width if side else 0))
         if rule.kind == "strong_dirichlet":
-            out = out.withColumn(u, F.when(at_edge & (k == (width if side else 0)), F.lit(rule.target)).otherwise(F.col(u)))
+            x = x.withColumn(u, F.when(on_face, F.lit(rule.target)).otherwise(F.col(u)))
             continue
         if sign < 0:
-            out = out.withColumn(u, F.when(at_edge & (k == (width if side else 0)), F.lit(0.0)).otherwise(F.col(u)))
+            x = x.withColumn(u, F.when(on_face, F.lit(0.0)).otherwise(F.col(u)))
         near = k.between(width - extent, width - 1) if side else k.between(1, extent)
-        mirrored = out.filter(at_edge & near).withColumn(name, 2 * width - k if side else -k).withColumn(u, F.lit(sign) * F.col(u))
-        out = out.unionByName(mirrored.select(*out.columns))
-    return out
+        mirrored = x.filter(at_edge & near).withColumn(name, 2 * width - k if side else -k).withColumn(u, F.lit(sign) * F.col(u))
+        x = x.unionByName(mirrored.select(*x.columns))
+    return x
+
+
+def fill_boundary(nodes: DataFrame, leaves: DataFrame, width: int, extent: int, u: str = "u", order: int = 4, rules: Rules | None = None, *, through_faces: bool = False) -> DataFrame:
+    """``nodes`` with ``extent`` ghosts around every leaf.
+
+    First ghosts copy a neighbour of the same level or take every second node of a finer one, and faces of the domain are
+    set and, with ``through_faces``, mirrored, so that interpolation beside them is centred too; else it is one-sided there,
+    which is right for fields that their face bends. Then ghosts beside a coarser leaf are interpolated in it, centred on the ghosts that it has by now;
+    on sides where itself it would need a coarser leaf, or has no ghosts, rows are one-sided, so that no value waits for
+    another level. Then faces are set again. Beyond the domain ghosts mirror with the parity of their face, if it has
+    one. Nodes on strong Dirichlet faces take the target; other one-sided kinds change no values.
+    """
+    rules = rules or {}
+    for rule in rules.values():
+        kind_class(rule.kind)  # an unknown one is an error
+    reach = max(extent, order // 2)  # what centred rows read
+    box = {a: [(F.lit(-reach), F.lit(-1)), (F.lit(0), F.lit(width)), (F.lit(width + 1), F.lit(width + reach))] for a in range(T.DIMS)}
+    around = T.steps(leaves).join(T.coarser_neighbors(leaves), ["path", "region"], "left")
+    s = around.filter("to is not null")
+    for a in range(T.DIMS):
+        side = F.floor(F.col("region") / 3**a) % 3
+        for name, end in (("lo", 0), ("hi", 1)):
+            s = s.withColumn(f"{name}{a}", F.when(side == 0, box[a][0][end]).when(side == 1, box[a][1][end]).otherwise(box[a][2][end]))
+        s = s.withColumn(f"c{a}", T.cell_of(F.col("path"), a)).withColumn(f"t{a}", T.cell_of(F.coalesce("neighbor", "to"), a))
+    level, other = F.length("path"), F.length("neighbor")
+    t = s.filter("neighbor is null or length(neighbor) = length(path)")
+    for a, n in enumerate("ij"):
+        t = t.withColumn(n, F.explode(F.sequence(F.col(f"lo{a}"), F.col(f"hi{a}")))).withColumn(f"g{n}", F.col(f"c{a}") * width + F.col(n))  # on the lattice of the level
+    direct = t.filter(other == level).select("path", "i", "j", F.col("neighbor").alias("source"), *[(F.col(f"g{n}") - F.col(f"t{a}") * width).alias(f"s{n}") for a, n in enumerate("ij")])
+    cells = [F.least(F.greatest(F.floor(2 * F.col(f"g{n}") / width), 2 * F.col(f"t{a}")), 2 * F.col(f"t{a}") + 1).cast("int") for a, n in enumerate("ij")]
+    fine = t.filter("neighbor is null").select("path", "i", "j", T.path_of(cells, level + 1).alias("source"), *[(2 * F.col(f"g{n}") - c * width).alias(f"s{n}") for c, n in zip(cells, "ij", strict=True)])
+    x = nodes.select("path", "i", "j", u)
+    copied = direct.unionByName(fine).join(x.select(F.col("path").alias("source"), F.col("i").alias("si"), F.col("j").alias("sj"), u), ["source", "si", "sj"]).select("path", "i", "j", u)
+    first = x.unionByName(copied)
+    coarse = s.filter(other < level).withColumnRenamed("neighbor", "source")
+    for a in range(T.DIMS):
+        low = F.greatest(F.col(f"lo{a}"), F.lit(-extent))
+        coarse = coarse.withColumn(f"lo{a}", low).withColumn(f"hi{a}", F.least(F.col(f"hi{a}"), F.lit(width + extent))).withColumn(f"off{a}", (F.col(f"c{a}") - 2 * F.col(f"t{a}")) * width)
+    early = rules if through_faces else {face: rule for face, rule in rules.items() if face not in parity_faces(rules)}
+    sides = open_sides(around, early)
+    gaps = sides.select("path", F.posexplode("ok").alias("region", "__ok")).filter(~F.col("__ok"))
+    for a, n in enumerate("ij"):
+        side = F.floor(F.col("region") / 3**a) % 3
+        ends = [F.when(side == 0, box[a][0][e]).when(side == 1, box[a][1][e]).otherwise(box[a][2][e]) for e in (0, 1)]
+        gaps = gaps.withColumn(n, F.explode(F.sequence(*ends)))
+    known = with_faces(first, width, reach, u, early).unionByName(gaps.select("path", "i", "j", F.lit(None).cast("double").alias(u)))
+    sources = held(known, coarse.select(F.col("source").alias("path")), width, reach, u)
+    pairs = coarse.join(sides.withColumnRenamed("path", "source"), "source").select("path", "source", "ok", *[f"{k}{a}" for k in ("lo", "hi", "off") for a in range(T.DIMS)])
+    on = F.col("i").between(-extent, width + extent) & F.col("j").between(-extent, width + extent)
+    return with_faces(first.filter(on).unionByName(prolonged(pairs, sources, width, reach, u, order)), width, extent, u, rules)
 
 
 def transfer(nodes: DataFrame, changes: DataFrame, width: int, u: str = "u", order: int = 4) -> DataFrame:
@@ -229,9 +317,12 @@ def transfer(nodes: DataFrame, changes: DataFrame, width: int, u: str = "u", ord
     once = ~((bits[0] == 1) & (F.col("i") == 0)) & ~((bits[1] == 1) & (F.col("j") == 0))  # a node that siblings share comes from the first
     joined = x.join(changes.filter("change = 'coarsen'").select("path", "new"), "path").filter(even & once)
     parents = joined.select(F.col("new").alias("path"), *[F.floor((F.col(n) + bits[a] * width) / 2).cast("int").alias(n) for a, n in enumerate("ij")], u)
-    halves = nodes_of(changes.filter("change = 'refine'").select(F.col("new").alias("path")), width)
-    halves = halves.select("path", "i", "j", T.parent(F.col("path")).alias("source"), *[(F.col(n) + bits[a] * width).alias(t) for a, (n, t) in enumerate(zip("ij", "xy", strict=True))])
-    return kept.unionByName(parents).unionByName(interpolated(halves, x, u, order, width))
+    refined = changes.filter("change = 'refine'")
+    pairs = refined.select(F.col("new").alias("path"), F.col("path").alias("source"))
+    ends = [c for a in range(T.DIMS) for c in (F.lit(0).alias(f"lo{a}"), F.lit(width).alias(f"hi{a}"), (bits[a] * width).alias(f"off{a}"))]
+    alone = F.array(*[F.lit(r == 3**T.DIMS // 2) for r in range(3**T.DIMS)])
+    halves = prolonged(pairs.select("path", "source", alone.alias("ok"), *ends), held(x, refined, width, 0, u), width, 0, u, order)
+    return kept.unionByName(parents).unionByName(halves)
 
 
 def exchange_boxes(leaves: DataFrame, width: int, ghost: int) -> DataFrame:
@@ -298,3 +389,32 @@ def node_owners(leaves: DataFrame, width: int, flag: str = "refine") -> DataFram
     """(path, i, j, cell, flag): each node's leaf by number, and the leaf's flag as a number."""
     x = T.numbered(leaves.select("path", F.col(flag).cast("int").alias("flag")), name="cell")
     return nodes_of(leaves, width).join(x, "path").select("path", "i", "j", "cell", "flag")
+
+
+def interface_sources(leaves: DataFrame, width: int, ghost: int) -> DataFrame:
+    """(path, i, j, region, neighbor, kind): the one leaf that each ghost or shared node is filled from.
+
+    Where several boxes of :func:`exchange_boxes` hold a node, the coarsest neighbour fills it, then the lowest in Z-order,
+    then the lowest direction. A node shared with leaves of the same level keeps its own value in the lowest of them.
+    """
+    x = exchange_boxes(leaves, width, ghost)
+    for a, n in enumerate("ij"):
+        x = x.withColumn(n, F.explode(F.sequence(F.col(f"d{a}"), F.col(f"d{a}") + F.col(f"n{a}") - 1)))
+    best = x.groupBy("path", "i", "j").agg(F.min(F.struct(F.length("neighbor").alias("level"), "neighbor", "region", "kind")).alias("b")).select("path", "i", "j", "b.region", "b.neighbor", "b.kind")
+    inside = F.col("i").between(0, width) & F.col("j").between(0, width)
+    return best.filter(~((F.col("kind") == "direct") & (F.col("path") <= F.col("neighbor")) & inside))
+
+
+def interface_fields(leaves: DataFrame, width: int, ghost: int) -> DataFrame:
+    """(path, i, j, neighbor_id, interface_id) of all nodes and ghosts: the numbers of the leaf and of the box that fill them, -1 if none does.
+
+    Leaves are numbered in Z-order, boxes by the texts of (path, region, neighbor).
+    """
+    cells = T.numbered(leaves.select("path"), name="neighbor_id").withColumnRenamed("path", "neighbor")
+    key = F.concat_ws(" ", "path", "region", "neighbor")
+    boxes = T.numbered(exchange_boxes(leaves, width, ghost).select("path", "region", "neighbor", key.alias("__key")), "__key", "interface_id").drop("__key")
+    filled = interface_sources(leaves, width, ghost).join(boxes, ["path", "region", "neighbor"]).join(cells, "neighbor")
+    every = F.sequence(F.lit(-ghost), F.lit(width + ghost))
+    x = leaves.select("path", F.explode(every).alias("i")).select("path", "i", F.explode(every).alias("j"))
+    none = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return x.join(filled, ["path", "i", "j"], "left").select("path", "i", "j", none("neighbor_id"), none("interface_id"))

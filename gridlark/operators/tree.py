@@ -71,13 +71,19 @@ def nodes_of(leaves: DataFrame) -> DataFrame:
     return x.select(F.col("z").alias("path"), F.length("z").alias("level"), F.when(F.length("z") > 0, F.expr("substring(z, 1, length(z) - 1)")).alias("parent"), "leaf", "n_leaves")
 
 
-def numbered(df: DataFrame, path: str = "path", digits: int = 3, name: str = "id") -> DataFrame:
-    """Z-order numbers from 0, by counts of path prefixes and a window inside each prefix."""
-    x = df.withColumn("__b", F.substring(path, 1, digits))
-    counts = x.groupBy("__b").agg(F.count("*").alias("__n"))
-    base = counts.select(F.col("__b").alias("__k"), (F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n")).alias("__base"))
-    ranked = x.withColumn("__r", F.row_number().over(W.partitionBy("__b").orderBy(path)) - 1)
-    return ranked.join(base, F.col("__b") == F.col("__k")).withColumn(name, F.col("__base") + F.col("__r")).drop("__b", "__k", "__r", "__base")
+def numbered(df: DataFrame, path: str = "path", name: str = "id") -> DataFrame:
+    """Z-order numbers from 0: rows are stored sorted in ranges, and a number is the rows of earlier ranges and the place inside.
+
+    Ranges are balanced by Spark's sample, whatever prefixes the paths share, and no window runs over rows; equal paths
+    get successive numbers in no stated order. What is broadcast has a row for each range.
+    """
+    ranged = df.repartitionByRange(F.col(path)).sortWithinPartitions(path)
+    x = settled(ranged.withColumn("__m", F.monotonically_increasing_id())).withColumn("__p", F.shiftright("__m", 33))
+    counts = x.groupBy("__p").agg(F.count("*").alias("__n"))
+    upto = W.orderBy("__p").rowsBetween(W.unboundedPreceding, W.currentRow)
+    base = counts.select("__p", (F.sum("__n").over(upto) - F.col("__n")).alias("__base"))
+    place = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    return x.join(F.broadcast(base), "__p").withColumn(name, F.col("__base") + place).drop("__p", "__m", "__base")
 
 
 def locate(points: DataFrame, leaves: DataFrame) -> DataFrame:

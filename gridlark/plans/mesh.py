@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import weights as K
+from ..operators import blocks as BL
 from ..operators import boundary as B
 from ..operators import evaluation as V
 from ..operators import mesh as M
 from ..operators import tree as T
 from ..operators import wavelets as WA
-from .nodes import SQL, points
+from .nodes import SQL, num, points
 from .trees import _LEAVES, DEEP, leaves, sql_path
 
 QUERIES: dict = {}
@@ -295,3 +297,82 @@ def mesh_wavelet_flags(spark, sf_dir):
     x = field(spark, sf_dir, cells).withColumn("v", second(M.position(0, WIDTH), M.position(1, WIDTH)))
     found = WA.flag_wavelets(x, cells, WIDTH, GHOST, {"u": {}, "v": {}}, order=2, lower=LOWER, upper=UPPER)
     return found.select("path", F.round(F.col("detail") + ASIDE, 8).alias("detail"), "refine", "coarsen")
+
+
+_BLOCKS = f"""{_BALANCED}, r1 AS (SELECT *, y - row_number() OVER (PARTITION BY level, x ORDER BY y) AS run FROM b), r2 AS (SELECT level, x, run, min(y) AS c1, count(*) AS n1 FROM r1 GROUP BY ALL),
+r3 AS (SELECT *, x - row_number() OVER (PARTITION BY level, c1, n1 ORDER BY x) AS stack FROM r2), r4 AS (SELECT level, c1, n1, stack, min(x) AS c0, count(*) AS n0 FROM r3 GROUP BY ALL),
+bk AS (SELECT row_number() OVER (ORDER BY {sql_path('c0', 'c1', 'level')}) - 1 AS block_id, level, c0, c1, n0, n1 FROM r4)"""
+
+
+@query(f"WITH RECURSIVE {_BLOCKS} SELECT CAST(block_id AS INTEGER) AS block_id, CAST(level AS INTEGER) AS level, CAST(c0 AS INTEGER) AS c0, CAST(c1 AS INTEGER) AS c1, CAST(n0 AS INTEGER) AS n0, CAST(n1 AS INTEGER) AS n1 FROM bk")
+def mesh_blocks(spark, sf_dir):
+    return BL.block_tables(spark, even(spark, sf_dir))[0]
+
+
+@query(f"WITH RECURSIVE {_BLOCKS} SELECT b.path, CAST(block_id AS INTEGER) AS block_id, CAST(x - c0 AS INTEGER) AS p0, CAST(y - c1 AS INTEGER) AS p1 FROM b JOIN bk ON bk.level = b.level AND x BETWEEN c0 AND c0 + n0 - 1 AND y BETWEEN c1 AND c1 + n1 - 1")
+def block_cells(spark, sf_dir):
+    return BL.block_tables(spark, even(spark, sf_dir))[1]
+
+
+@query(f"""WITH RECURSIVE {_BLOCKS}, nn AS (SELECT block_id, (n0 * {WIDTH} + 1 + 2 * {GHOST}) * (n1 * {WIDTH} + 1 + 2 * {GHOST}) AS nodes FROM bk)
+SELECT CAST(block_id AS INTEGER) AS block_id, CAST(sum(nodes) OVER (ORDER BY block_id) - nodes AS BIGINT) AS start, CAST(sum(nodes) OVER (ORDER BY block_id) AS BIGINT) AS "end" FROM nn""".replace(' AS "end"', " AS stop"))
+def block_node_ranges(spark, sf_dir):
+    return BL.node_ranges(BL.block_tables(spark, even(spark, sf_dir))[0], WIDTH, GHOST).withColumnRenamed("end", "stop")
+
+
+@query(f"""WITH bx AS ({ORACLE_SQL['exchange_boxes']}), nb AS (SELECT path, region, neighbor, row_number() OVER (ORDER BY path || ' ' || region || ' ' || neighbor) - 1 AS interface_id FROM bx),
+lf AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS cell FROM ({ORACLE_SQL['balanced_leaves']})),
+pl AS (SELECT bx.*, d0 + a AS i, d1 + c AS j FROM bx, (SELECT unnest(range(0, {WIDTH + 2 * GHOST + 1})) AS a), (SELECT unnest(range(0, {WIDTH + 2 * GHOST + 1})) AS c) WHERE a < n0 AND c < n1),
+ch AS (SELECT * FROM pl QUALIFY row_number() OVER (PARTITION BY path, i, j ORDER BY length(neighbor), neighbor, region) = 1),
+ms AS (SELECT * FROM ch WHERE NOT (kind = 'direct' AND path <= neighbor AND i BETWEEN 0 AND {WIDTH} AND j BETWEEN 0 AND {WIDTH}))
+SELECT l.path, CAST(s.i AS INTEGER) AS i, CAST(s.j AS INTEGER) AS j, coalesce(o.cell, -1) AS neighbor_id, coalesce(nb.interface_id, -1) AS interface_id FROM lf l CROSS JOIN (SELECT i, j FROM {_SPAN}) s LEFT JOIN ms ON ms.path = l.path AND ms.i = s.i AND ms.j = s.j
+LEFT JOIN lf o ON o.path = ms.neighbor LEFT JOIN nb ON nb.path = ms.path AND nb.region = ms.region AND nb.neighbor = ms.neighbor""")
+def interface_fields(spark, sf_dir):
+    """Which leaf and which box fill each ghost and each shared node, over all levels."""
+    return M.interface_fields(even(spark, sf_dir), WIDTH, GHOST)
+
+
+#: Of degree 6 on both axes, which interpolation of order 4 does not keep: centred and one-sided rows differ.
+def sextic(x, y):
+    return 531.25 * x * x * x * x * x * x - 728.5 * y * y * y * y * y * y * x + 212.75 * x * x * x * y
+
+
+_SEXTIC = "531.25e0 * x * x * x * x * x * x - 728.5e0 * y * y * y * y * y * y * x + 212.75e0 * x * x * x * y"
+
+
+def _rows() -> str:
+    """(kind, x, k, a): weights of nodes k for half step x, centred and one-sided."""
+    kernel, out = K.interpolation(4), []
+    for x in range(2 * WIDTH + 1):
+        p, q = x // 2, WIDTH - 1 - x // 2
+        centred = {p: 1.0} if x % 2 == 0 else {p + o: w for o, w in kernel.interior.items()}
+        edge = centred if x % 2 == 0 or min(p, q) > 1 else dict(enumerate(kernel.left[p])) if p < 2 else {WIDTH - k: w for k, w in enumerate(kernel.left[q])}
+        out += [f"({kind}, {x}, {k}, {num(w)})" for kind, row in ((True, centred), (False, edge)) for k, w in row.items()]
+    return ", ".join(out)
+
+
+def _beyond(c: str) -> str:
+    return f"CASE WHEN {c} % 2 = 1 AND {c} // 2 < 2 THEN -1 WHEN {c} % 2 = 1 AND {WIDTH - 1} - {c} // 2 < 2 THEN 1 ELSE 0 END"
+
+
+def _range(n: str) -> str:
+    return f"{n} BETWEEN CASE d{n} WHEN -1 THEN -{GHOST} WHEN 0 THEN 0 ELSE {WIDTH + 1} END AND CASE d{n} WHEN -1 THEN -1 WHEN 0 THEN {WIDTH} ELSE {WIDTH + GHOST} END"
+
+
+@query(f"""WITH RECURSIVE {_BALANCED}, wt(centred, hx, k, a) AS (VALUES {_rows()}),
+av AS (SELECT path, dx AS sx, dy AS sy FROM b, dirs WHERE x + dx BETWEEN 0 AND power(2, level) - 1 AND y + dy BETWEEN 0 AND power(2, level) - 1 AND NOT EXISTS (SELECT 1 FROM b c WHERE c.level = b.level - 1 AND c.x = (b.x + dx) // 2 AND c.y = (b.y + dy) // 2)),
+pr AS (SELECT b.path, b.x AS px, b.y AS py, dx AS di, dy AS dj, c.path AS source, c.level AS up, c.x AS cx, c.y AS cy FROM b, dirs, b c WHERE (dx <> 0 OR dy <> 0) AND b.x + dx BETWEEN 0 AND power(2, b.level) - 1 AND b.y + dy BETWEEN 0 AND power(2, b.level) - 1
+  AND c.level = b.level - 1 AND c.x = (b.x + dx) // 2 AND c.y = (b.y + dy) // 2),
+tg AS (SELECT *, px * {WIDTH} + i - 2 * cx * {WIDTH} AS hx, py * {WIDTH} + j - 2 * cy * {WIDTH} AS hy FROM pr, {_SPAN} WHERE {_range('i')} AND {_range('j')}),
+sd AS (SELECT *, {_beyond('hx')} AS sx, {_beyond('hy')} AS sy FROM tg),
+ok AS (SELECT sd.*, a.path IS NOT NULL AS o0, c.path IS NOT NULL AS o1, d.path IS NOT NULL AS o2 FROM sd LEFT JOIN av a ON a.path = source AND a.sx = sd.sx AND a.sy = 0 LEFT JOIN av c ON c.path = source AND c.sx = 0 AND c.sy = sd.sy LEFT JOIN av d ON d.path = source AND d.sx = sd.sx AND d.sy = sd.sy),
+vs AS (SELECT ok.path, i, j, u.a * v.a AS a, (cx + u.k / {WIDTH}e0) / power(2e0, up) AS x, (cy + v.k / {WIDTH}e0) / power(2e0, up) AS y FROM ok JOIN wt u ON u.hx = ok.hx AND u.centred = (o0 AND (o2 OR NOT o1)) JOIN wt v ON v.hx = ok.hy AND v.centred = (o1 AND (o2 OR NOT o0)))
+SELECT path, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(a * ({_SEXTIC})) + {ASIDE}, 6) AS u FROM vs GROUP BY path, i, j""")
+def staged_ghosts(spark, sf_dir):
+    """Ghosts beside coarser leaves, interpolated on the ghosts that those have by then."""
+    cells = even(spark, sf_dir)
+    x = M.nodes_of(cells, WIDTH).withColumn("u", sextic(M.position(0, WIDTH), M.position(1, WIDTH)))
+    side = lambda n: F.when(F.col(n) < 0, 0).when(F.col(n) > WIDTH, 2).otherwise(1)
+    coarse = T.coarser_neighbors(cells).filter(F.length("neighbor") < F.length("path")).select("path", "region")
+    x = M.fill_boundary(x, cells, WIDTH, GHOST).withColumn("region", side("i") + 3 * side("j")).join(coarse, ["path", "region"], "left_semi")
+    return x.select("path", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round(F.col("u") + ASIDE, 6).alias("u"))
