@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlark.operators import spherical
-from gridlark.sources import files
+from gridlark.operators import mesh
+from gridlark.sources import files, vtu
 
 
 def test_history_round_trip(spark, tmp_path):
@@ -36,6 +37,28 @@ def test_exports(spark, tmp_path):
     assert 'NumberOfCells="1"' in text and "Field::u" in text
 
 
+def test_vtu_round_trip(spark, tmp_path):
+    leaves = spark.createDataFrame([(p,) for p in ("00", "01", "02", "03", "1", "2", "3")], "path string")
+    x, y = (mesh.position(a, 4) for a in range(2))
+    nodes = mesh.nodes_of(leaves, 4).withColumn("u", F.exp(x) - y).withColumn("k", F.col("i") * 10 + F.col("j"))
+    path = tmp_path / "v"
+    path.mkdir()
+    (path / "part-lost.vtu").write_text("of a lost attempt")
+    vtu.write_vtu(vtu.pieces(nodes, 4, x, y, ["u", "k"]).repartition(3), str(path))
+    assert not (path / "part-lost.vtu").exists()
+    got = vtu.read_vtu(spark, f"file://{path}").collect()
+    assert len(got) == 7 and all(r.quads[:4] == [0, 1, 6, 5] and len(r.quads) == 64 for r in got)
+    back = sorted((r.points[3 * n], r.points[3 * n + 1], r.fields["u"][n], r.fields["k"][n]) for r in got for n in range(25))
+    assert back == sorted((r.x, r.y, r.u, float(r.k)) for r in nodes.select(x.alias("x"), y.alias("y"), "u", "k").collect())
+    index = (path / vtu.INDEX).read_text()
+    assert all(p.name in index for p in path.glob("*.vtu")) and 'Name="u"' in index
+    with pytest.raises(Exception, match="exists"):
+        vtu.write_vtu(vtu.pieces(nodes, 4, x, y, ["u"]), str(path))
+    empty = tmp_path / "e"
+    vtu.write_vtu(vtu.pieces(nodes.limit(0), 4, x, y, ["u"]), str(empty))
+    assert vtu.read_vtu(spark, str(empty)).count() == 0
+
+
 def test_variables(tmp_path):
     assert files.substituted("some/${arg1}", {"arg1": "10.0"}) == "some/10.0"
     for bad in ("$$=value", "=value", "=", "a=b=c"):

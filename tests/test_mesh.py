@@ -66,6 +66,56 @@ def test_relaxation_solves_poisson():
         R.relax(np.zeros(n + 1), residual, 1 / n, R.Relaxation(most=3))
 
 
+def test_blocks_cover_every_leaf(spark):
+    """Rectangles of one level, each leaf in one, and no two blocks that could be one along axis 1."""
+    paths = refined(refined(refined(list("0123"), 0), 4), 2)
+    leaves = spark.createDataFrame([(p,) for p in paths], "path string")
+    blocks, cells = B.block_tables(spark, leaves)
+    heads = {r.block_id: r for r in blocks.collect()}
+    placed = {}
+    for r in cells.collect():
+        h = heads[r.block_id]
+        assert r.path not in placed and len(r.path) == h.level and 0 <= r.p0 < h.n0 and 0 <= r.p1 < h.n1
+        assert B.position(r.path) == (h.c0 + r.p0, h.c1 + r.p1)
+        placed[r.path] = r.block_id
+    assert sorted(placed) == paths and sum(h.n0 * h.n1 for h in heads.values()) == len(paths) and sorted(heads) == list(range(len(heads)))
+    assert B.block_tables(spark, leaves.limit(0))[1].count() == 0
+
+
+def test_ghosts_read_mirrored_ones(spark):
+    """An even field of degree 4 on both axes is exact in every ghost, and one of degree 6 only where it is centred."""
+    leaves = spark.createDataFrame([(p,) for p in refined(list("0123"), 2)], "path string")
+    at = lambda a: M.position(a, 6)
+    quartic = lambda x, y: x * x * x * x - 0.5 * x * x * y * y + y
+    nodes = M.nodes_of(leaves, 6).withColumn("u", quartic(at(0), at(1)))
+    rules = {(0, 0): BD.Face("symmetric")}
+    for through in (True, False):
+        x = M.fill_boundary(nodes, leaves, 6, 3, rules=rules, through_faces=through)
+        worst = x.agg(F.max(F.abs(F.col("u") - quartic(at(0), at(1)))).alias("e"), F.count("*").alias("n"), F.count_distinct("path", "i", "j").alias("d")).first()
+        assert worst.e < 1e-12 and worst.n == worst.d
+    power = M.nodes_of(leaves, 6).withColumn("u", F.pow(at(0), 6))
+    two = [M.fill_boundary(power, leaves, 6, 3, rules=rules, through_faces=t).filter("path = '20' and i > 0 and j < 0").agg(F.max(F.abs(F.col("u") - F.pow(at(0), 6)))).first()[0] for t in (True, False)]
+    assert 0 < two[0] < two[1]
+
+
+def test_missing_nodes_are_an_error(spark):
+    leaves = spark.createDataFrame([(p,) for p in refined(list("0123"), 0)], "path string")
+    nodes = M.nodes_of(leaves, 6).withColumn("u", F.lit(1.0)).filter("not (path = '1' and i = 2 and j = 2)")
+    with pytest.raises(Exception, match="missing or repeated"):
+        M.fill_boundary(nodes, leaves, 6, 2).collect()
+
+
+def test_each_ghost_has_one_source(spark):
+    leaves = spark.createDataFrame([(p,) for p in refined(list("0123"), 0)], "path string")
+    filled = M.fill_boundary(M.nodes_of(leaves, 6).withColumn("u", F.lit(1.0)), leaves, 6, 3)
+    inside = "i between 0 and 6 and j between 0 and 6"
+    ghosts = filled.filter(f"not ({inside})").select("path", "i", "j")
+    sources = M.interface_sources(leaves, 6, 3)
+    assert sources.groupBy("path", "i", "j").count().filter("count > 1").isEmpty()
+    assert ghosts.join(sources, ["path", "i", "j"], "left_anti").isEmpty()
+    assert sources.filter(f"not ({inside})").count() == ghosts.count()
+
+
 def test_rules_of_a_mesh(spark):
     leaves = spark.createDataFrame([(p,) for p in refined(list("0123"), 0)], "path string")
     nodes = M.nodes_of(leaves, 6).withColumn("u", F.lit(1.0))
