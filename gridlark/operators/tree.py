@@ -160,16 +160,17 @@ def refine(leaves: DataFrame, flag: str = "flag") -> DataFrame:
     return leaves.select(F.explode(F.when(F.col(flag), kids).otherwise(F.array("path"))).alias("path"))
 
 
-def refine_map(leaves: DataFrame, flag: str = "flag", digits: int = 3) -> DataFrame:
-    """Old number of each leaf, and the number of its first leaf afterwards."""
-    width = F.when(F.col(flag), 1 << DIMS).otherwise(1)
-    x = leaves.withColumn("__w", width).withColumn("__b", F.substring("path", 1, digits))
-    sums = x.groupBy("__b").agg(F.sum("__w").alias("__s"), F.count("*").alias("__n"))
-    upto = W.orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    base = sums.select(F.col("__b").alias("__k"), (F.sum("__s").over(upto) - F.col("__s")).alias("__bs"), (F.sum("__n").over(upto) - F.col("__n")).alias("__bn"))
-    own = W.partitionBy("__b").orderBy("path").rowsBetween(W.unboundedPreceding, W.currentRow)
-    y = x.withColumn("__cs", F.sum("__w").over(own) - F.col("__w")).withColumn("__cn", F.row_number().over(W.partitionBy("__b").orderBy("path")) - 1)
-    return y.join(base, F.col("__b") == F.col("__k")).select("path", (F.col("__bn") + F.col("__cn")).alias("old_id"), (F.col("__bs") + F.col("__cs")).alias("new_id"))
+def refine_map(leaves: DataFrame, flag: str = "flag") -> DataFrame:
+    """Old number of each leaf, and the number of its first leaf afterwards.
+
+    Old numbers have no gaps, so a window over 65536 of them is bounded, and sums of such groups give where each begins.
+    """
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = numbered(leaves.select("path", F.when(F.col(flag), 1 << DIMS).otherwise(1).alias("__w")), name="old_id").withColumn("__b", F.shiftright("old_id", 16))
+    sums = x.groupBy("__b").agg(F.sum("__w").alias("__s"))
+    base = sums.select("__b", (F.sum("__s").over(upto(W.orderBy("__b"))) - F.col("__s")).alias("__base"))
+    y = x.withColumn("__c", F.sum("__w").over(upto(W.partitionBy("__b").orderBy("old_id"))) - F.col("__w")).join(base, "__b")
+    return y.select("path", "old_id", (F.col("__base") + F.col("__c")).alias("new_id"))
 
 
 def unbalanced(leaves: DataFrame, edges: DataFrame, flag: str = "flag") -> DataFrame:

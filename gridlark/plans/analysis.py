@@ -99,6 +99,7 @@ def power_law_fit(spark, sf_dir):
 
 @query("""SELECT l_orderkey, l_linenumber, round(exp(1.111e0) * power(l_quantity / 50e0, 0.3744e0), 6) AS curve FROM lineitem""")
 def power_law_curve(spark, sf_dir):
+    # fixed values: offset and exponent of the mass curve
     c = F.exp(F.lit(1.111)) * F.pow(F.col("l_quantity") / 50.0, F.lit(0.3744))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(c, 6).alias("curve"))
 
