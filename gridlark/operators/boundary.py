@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,14 +26,18 @@ def kind_class(kind: str) -> str:
 
 @dataclass(frozen=True)
 class Face:
-    """A rule for one face of one channel."""
+    """A rule for one face of one channel; the target is a number, or a function of a node's place."""
 
     kind: str = "free"
-    target: float = 0.0
+    target: float | Callable[..., Column] = 0.0
     speed: float = 1.0
     strength: float = 1.0
 
 
+def target_at(rule: Face, *place: Column) -> Column:
+    return rule.target(*place) if callable(rule.target) else F.lit(rule.target)
+
+
 Rules = dict[tuple[int, int], Face]  # (axis, 0 for the lower and 1 for the upper side)
 
 
@@ -49,10 +54,11 @@ def fill_physical(df: DataFrame, grid: Grid, u: str, rules: Rules, extent: int)
     parity faces it lies beyond. Directions without a parity face get no ghosts.
     """
     x = df.select(*grid.block, *grid.axes, u)
+    place = [grid.position(a) for a in range(len(grid.axes))]
     for (axis, side), rule in rules.items():
         at = grid.cells[axis] if side else 0
         if rule.kind in ("antisymmetric", "strong_dirichlet"):
-            x = x.withColumn(u, F.when(F.col(grid.axes[axis]) == at, F.lit(0.0 if rule.kind == "antisymmetric" else rule.target)).otherwise(F.col(u)))
+            x = x.withColumn(u, F.when(F.col(grid.axes[axis]) == at, F.lit(0.0) if rule.kind == "antisymmetric" else target_at(rule, *place)).otherwise(F.col(u)))
     for axis, name in enumerate(grid.axes):
         i, n = F.col(name), grid.cells[axis]
         copies = [F.struct(i.cast("int").alias("i"), F.lit(1.0).alias("s"))]
@@ -81,9 +87,9 @@ def fill_direct(df: DataFrame, block: str, axis: str, cells: int, u: str, extent
     return spread.select(*rest, F.col("__g.b").alias(block), F.col("__g.i").alias(axis), u)
 
 
-def weak_dirichlet(rate: Column, u: Column, at_face: Column, rule: Face) -> Column:
+def weak_dirichlet(rate: Column, u: Column, at_face: Column, rule: Face, *place: Column) -> Column:
     """On the face, the rate pulls towards the target."""
-    return F.when(at_face, F.lit(rule.strength) * (F.lit(rule.target) - u)).otherwise(rate)
+    return F.when(at_face, F.lit(rule.strength) * (target_at(rule, *place) - u)).otherwise(rate)
 
 
 def sommerfeld(df: DataFrame, grid: Grid, u: str, rate: str, rule: Face, order: int = 4) -> DataFrame:
@@ -94,7 +100,7 @@ def sommerfeld(df: DataFrame, grid: Grid, u: str, rate: str, rule: Face, order:
     x, n = grid.position(0), grid.cells[0]
     name = grid.axes[0]
     slope = apply_axis(grid, K.derivative(order), 0, u)
-    staged = df.withColumn("__adv", F.lit(rule.speed) * (F.col(u) - F.lit(rule.target) + x * slope))
+    staged = df.withColumn("__adv", F.lit(rule.speed) * (F.col(u) - target_at(rule, x) + x * slope))
     w = grid.window(0)
     r_in = x - F.lit(grid.spacing[0])
     k = r_in * r_in * r_in * (F.lag(rate, 1).over(w) + F.lag("__adv", 1).over(w) / r_in)

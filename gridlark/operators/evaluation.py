@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import weights as K
 from . import mesh as M
 from . import tree as T
-from .boundary import Face, Rules, kind_class
+from .boundary import Face, Rules, kind_class, target_at
 from .stencil import Engine, Grid, total
 
 AXES = ("i", "j")
@@ -99,10 +99,11 @@ def apply(nodes: DataFrame, leaves: DataFrame, width: int, f: Callable[[Engine],
             continue
         own = owner(one_sided_faces(rules[u]), width)
         done = done.withColumn(f"__own_{u}", own)
+        place = [grids[u].position(a) for a in range(T.DIMS)]
         for (axis, side), rule in faces.items():
             here = F.col(f"__own_{u}") == 2 * axis + side
             if rule.kind == "weak_dirichlet":
-                columns[u] = F.when(here, F.lit(rule.strength) * (F.lit(rule.target) - F.col(u))).otherwise(columns[u])
+                columns[u] = F.when(here, F.lit(rule.strength) * (target_at(rule, *place) - F.col(u))).otherwise(columns[u])
             else:
                 done, rate = _leaving(done, engine, u, axis, side, rule)
                 columns[u] = F.when(here, rate).otherwise(columns[u])
@@ -115,7 +116,7 @@ def _leaving(done: DataFrame, engine: MeshEngine, u: str, axis: int, side: int,
     grid, name = engine.grids[u], f"__leaving_{axis}{side}_{u}"
     x = [grid.position(a) for a in range(T.DIMS)]
     r = F.nullif(F.sqrt(total([p * p for p in x])), F.lit(0.0))
-    wave = F.lit(rule.speed) * (F.col(u) - F.lit(rule.target) + total([p * engine.derivative(u, a) for a, p in enumerate(x)]))
+    wave = F.lit(rule.speed) * (F.col(u) - target_at(rule, *x) + total([p * engine.derivative(u, a) for a, p in enumerate(x)]))
     done = done.withColumn(name, F.struct(r.alias("r"), wave.alias("wave"), F.col(f"__out_{u}").alias("rate")))
     w = grid.window(axis)
     inner = F.lag(name, 1).over(w) if side else F.lead(name, 1).over(w)

@@ -8,13 +8,15 @@ is an equi-join on (path, i, j). Neighbours must be within one level (:func:`bal
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import elements as E
 from ..functions import weights as K
 from ..functions.geometry import both
 from . import tree as T
-from .boundary import Rules, kind_class
+from .boundary import Rules, kind_class, target_at
 from .settled import settled
 
 
@@ -247,7 +249,7 @@ def with_faces(x: DataFrame, width: int, extent: int, u: str, rules: Rules) -> D
         at_edge = c == (F.pow(F.lit(2.0), level).cast("int") - 1 if side else F.lit(0))
         on_face = at_edge & (k == (width if side else 0))
         if rule.kind == "strong_dirichlet":
-            x = x.withColumn(u, F.when(on_face, F.lit(rule.target)).otherwise(F.col(u)))
+            x = x.withColumn(u, F.when(on_face, target_at(rule, position(0, width), position(1, width))).otherwise(F.col(u)))
             continue
         if sign < 0:
             x = x.withColumn(u, F.when(on_face, F.lit(0.0)).otherwise(F.col(u)))
@@ -351,21 +353,31 @@ def exchange_boxes(leaves: DataFrame, width: int, ghost: int) -> DataFrame:
     return s.select("path", "region", "neighbor", kind.alias("kind"), *boxes)
 
 
-def values_at(points: DataFrame, nodes: DataFrame, leaves: DataFrame, width: int, u: str = "u") -> DataFrame:
+def values_at(points: DataFrame, nodes: DataFrame, leaves: DataFrame, width: int, u: str = "u", order: int | None = None) -> DataFrame:
     """``points`` (x and y in the unit box, ``path`` at the deepest level) with their leaf and the value there.
 
-    The polynomial through all nodes of the leaf is evaluated. A leaf's nodes travel as one array of
+    The polynomial through all nodes of the leaf is evaluated; with an ``order`` below the width the one of that order on each
+    axis that comes nearest to them, by least squares. A leaf's nodes travel as one array of
     ``(width + 1) ** 2`` values, so the join has one row for each point.
     """
     n = width + 1
     held = nodes.filter(F.col("i").between(0, width) & F.col("j").between(0, width)).groupBy(F.col("path").alias("leaf"))
     held = held.agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "i", u))), lambda v: v[u]).alias("__v"))  # as many as a leaf has nodes
     x = T.locate(points, leaves)
+    if order is not None and not 0 <= order <= width:
+        raise ValueError("the order is at most the width")
+    fit = None if order is None else np.linalg.pinv(E.monomials(order, E.uniform_points(n)))  # a row for each power
 
     def weights(axis: int) -> list[Column]:
         t = (F.col("xy"[axis]) * F.pow(F.lit(2.0), F.length("leaf")) - T.cell_of(F.col("leaf"), axis)) * float(width)
         out = []
         for k in range(n):
+            if fit is not None:
+                s, w = 2.0 * t / float(width) - 1.0, F.lit(0.0)
+                for c in fit[::-1, k]:
+                    w = w * s + F.lit(float(c))
+                out.append(w)
+                continue
             w = F.lit(1.0)
             for m in range(n):
                 if m != k:

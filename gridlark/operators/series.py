@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import weights as K
+
 
 def triggered(increment: Column, window, interval: float) -> Column:
     """Whether a step makes the running sum pass a multiple of the interval; needs increments up to it.
@@ -144,6 +146,21 @@ def scaling(history: DataFrame, info: DataFrame, param: str = "param", critical:
     return history.join(F.broadcast(info.select(F.col(critical).alias("__p")).limit(1)), F.lit(True)).withColumn(param, F.col(param) - F.col("__p")).drop("__p")  # one row
 
 
+def level_residual(df: DataFrame, node: list[str], step: str, value: str, rhs: str, h: float) -> DataFrame:
+    """(node, step, residual): the fourth-order time derivative of stored levels, less the right-hand side of the same level.
+
+    Each level needs the two before it and the two after it; where one is missing or stored twice there is no row.
+    """
+    w = W.partitionBy(*node).orderBy(step)
+    near = {k: F.lag(F.struct(F.col(step).alias("s"), F.col(value).cast("double").alias("v")), -k).over(w) for k in (-2, -1, 1, 2)}
+    x = df.select(*node, F.col(step), F.col(rhs).cast("double").alias("__rhs"), *[c.alias(f"__l{k + 2}") for k, c in near.items()])
+    for k in near:
+        x = x.filter(F.col(f"__l{k + 2}.s") == F.col(step) + k)
+    kernel = K.derivative(4)
+    slope = sum((F.lit(float(kernel.interior[k]) * float(kernel.scale(h))) * F.col(f"__l{k + 2}.v") for k in near), F.lit(0.0))
+    return x.select(*node, step, (slope - F.col("__rhs")).alias("residual"))
+
+
 def before(history: DataFrame, order: str, at) -> DataFrame:
     """The rows that a run resumed at a place keeps."""
     return history.filter(F.col(order) < F.lit(at))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..operators import series as S
-from .nodes import HN, SQL, hours, points, table  # noqa: F401
+from ..functions import weights as K
+from ..operators import stencil as ST
+from ..operators.stencil import Grid
+from .nodes import HN, SQL, hours, points, sql_kernel, sql_window, table  # noqa: F401
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -177,8 +180,30 @@ def spherical_runs(spark, sf_dir):
     return out.select("param", "status", F.round("mass", 4).alias("mass"), "steps", F.round("least_lapse", 4).alias("least_lapse"))
 
 
-@query(None)
+#: The exponent and the fraction of a double, from its value.
+_BITS = """SELECT o_orderkey, CASE WHEN x IS NOT NULL THEN format('{:016x}', CASE WHEN x = 0 THEN CAST(0 AS UBIGINT) ELSE CAST(e + 1023 AS UBIGINT) * CAST(4503599627370496 AS UBIGINT)
+  + CAST((abs(x) / power(2e0, e) - 1) * 4503599627370496e0 AS UBIGINT) + CASE WHEN x < 0 THEN CAST(9223372036854775808 AS UBIGINT) ELSE CAST(0 AS UBIGINT) END END) END AS bits
+FROM (SELECT o_orderkey, x, CASE WHEN power(2e0, f) > abs(x) THEN f - 1 ELSE f END AS e FROM (SELECT o_orderkey, o_totalprice AS x, floor(log2(nullif(abs(o_totalprice), 0))) AS f FROM orders))"""
+
+
+@query(_BITS)
 def float_keys(spark, sf_dir):
     """Exact keys of doubles: the hex digits of their bits."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return o.select("o_orderkey", N.float_key(F.col("o_totalprice")).alias("bits"))
+
+
+#: Days as levels of a run, with a node for each hour.
+_DAYS = Grid(("event_type", "step"), ("j",), (23,), (1 / 23,))
+_LEVELS = f"""SELECT event_type, step, j, u, {sql_kernel(_DAYS, K.derivative(4), 0, 'u', 'w')} AS rhs FROM (SELECT event_type, i // 24 AS step, i % 24 AS j, u FROM ({SQL['hours']})) {sql_window(_DAYS, 0)}"""
+
+
+@query(f"""SELECT CAST(step AS INTEGER) AS step, round(sqrt(sum(r * r * CASE WHEN j IN (0, 23) THEN 0.5e0 ELSE 1e0 END) / 23e0), 4) AS l2, round(greatest(max(r), 0e0), 4) AS max_norm
+FROM (SELECT step, j, (lag(u, 2) OVER t - 8e0 * lag(u) OVER t + 8e0 * lead(u) OVER t - lead(u, 2) OVER t) / 12e0 - rhs AS r FROM ({_LEVELS}) WINDOW t AS (PARTITION BY event_type, j ORDER BY step)) WHERE r IS NOT NULL GROUP BY step""")
+def constraint_levels(spark, sf_dir):
+    """How far the daily change of hourly sums is from their slope over the hours, from five days each: two norms for each day."""
+    x = hours(spark, sf_dir).select("event_type", F.floor(F.col("i") / 24).cast("int").alias("step"), (F.col("i") % 24).cast("int").alias("j"), "u")
+    x = x.withColumn("rhs", ST.apply_axis(_DAYS, K.derivative(4), 0, "u"))
+    r = S.level_residual(x, ["event_type", "j"], "step", "u", "rhs", 1.0)
+    norms = ST.l2_norm(r, _DAYS, "residual", ("step",)).join(ST.max_norm(r, _DAYS, "residual", ("step",)), "step")
+    return norms.select("step", F.round("l2", 4).alias("l2"), F.round("max_norm", 4).alias("max_norm"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import elements as E
 from ..functions import weights as K
+from ..operators import approx as AP
 from ..operators import boundary as B
 from ..operators import stencil as S
-from .nodes import EG, EN, HN, SQL, hours, line, num, points, sql_kernel, sql_window, square
+from .nodes import EG, EN, HN, SQL, hours, line, num, points, sql_kernel, sql_window, square, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -294,3 +297,28 @@ def spherical_divergence(spark, sf_dir):
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS nodes, CAST(count(*) - 1 AS BIGINT) AS cells FROM (" + SQL["hours"] + ") GROUP BY event_type")
 def mesh_counts(spark, sf_dir):
     return hours(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("nodes"), (F.count("*") - 1).alias("cells"))
+
+
+def _value(s: str, k: str) -> str:
+    """The weight of node k of 8 for the nearest quadratic at s, both from the middle on, by discrete orthogonal polynomials."""
+    return f"(0.125e0 + {s} * {k} / 42e0 + ({s} * {s} - 5.25e0) * ({k} * {k} - 5.25e0) / 168e0)"
+
+
+def _slope(s: str, k: str) -> str:
+    return f"(3.5e0 * ({k} / 42e0 + 2 * {s} * ({k} * {k} - 5.25e0) / 168e0))"
+
+
+_WHOLE = "len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL)) = 0"
+
+
+@query(f"""SELECT vec_id, CAST(7 * b + a AS INTEGER) AS target, round(sum({_value('s', 'k')} * {_value('t', 'l')} * u), 6) AS value, round(sum({_slope('s', 'k')} * {_value('t', 'l')} * u), 6) AS ux
+FROM (SELECT vec_id, a, b, a - 3e0 AS s, b - 3e0 AS t, i - 3.5e0 AS k, j - 3.5e0 AS l, u FROM ({SQL['square'].replace('FROM embeddings', f'FROM embeddings WHERE {_WHOLE}')}), (SELECT unnest(range(0, 7)) AS a), (SELECT unnest(range(0, 7)) AS b)) GROUP BY vec_id, a, b""")
+def least_squares_cells(spark, sf_dir):
+    """Value and slope in the middle of each cell, of the quadratic in each axis that is nearest to all vertices."""
+    whole = table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64).filter(~F.exists("embedding", lambda c: c.isNull()))
+    x = whole.select("vec_id", F.posexplode("embedding").alias("k", "u")).select("vec_id", (F.col("k") % 8).alias("i"), F.floor(F.col("k") / 8).alias("j"), "u")
+    middles = [((a - 3) * 2 / 7, (b - 3) * 2 / 7) for b in range(7) for a in range(7)]
+    support, at = E.uniform_points(8, 2), np.array(middles)
+    operators = {"value": E.operator_weights(support, 2, at), "ux": E.operator_weights(support, 2, at, (1, 0))}
+    out = AP.apply_operator(x, ["vec_id"], ["i", "j"], "u", operators)
+    return out.select("vec_id", F.col("target").cast("int").alias("target"), F.round("value", 6).alias("value"), F.round("ux", 6).alias("ux"))

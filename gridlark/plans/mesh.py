@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import weights as K
 from ..operators import blocks as BL
 from ..operators import boundary as B
+from ..operators import conditions as C
 from ..operators import evaluation as V
 from ..operators import mesh as M
 from ..operators import tree as T
@@ -376,3 +377,65 @@ def staged_ghosts(spark, sf_dir):
     coarse = T.coarser_neighbors(cells).filter(F.length("neighbor") < F.length("path")).select("path", "region")
     x = M.fill_boundary(x, cells, WIDTH, GHOST).withColumn("region", side("i") + 3 * side("j")).join(coarse, ["path", "region"], "left_semi")
     return x.select("path", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round(F.col("u") + ASIDE, 6).alias("u"))
+
+
+def ramp(x, y):
+    return 1.0 + 0.5 * x + y * y
+
+
+_RAMP = "(1e0 + 0.5e0 * x + y * y)"
+#: Two channels with different kinds on their faces; faces without a row are free.
+_TWO = [
+    ("u", 0, "strong_dirichlet", "ramp", None, None), ("u", 1, "weak_dirichlet", "ramp", None, 2.0), ("u", 2, "antisymmetric", None, None, None),
+    ("v", 1, "strong_dirichlet", "0.25", None, None), ("v", 2, "weak_dirichlet", "ramp", None, 0.5), ("v", 3, "symmetric", None, None, None),
+]
+_KINDS = "(VALUES ('u', 0, 'strong_dirichlet'), ('u', 1, 'weak_dirichlet'), ('u', 2, 'antisymmetric'), ('u', 3, 'free'), ('v', 0, 'free'), ('v', 1, 'strong_dirichlet'), ('v', 2, 'weak_dirichlet'), ('v', 3, 'symmetric'))"
+
+
+def two_channels(spark):
+    return C.conditions(spark.createDataFrame(_TWO, C.RULES), ["u", "v"], {"ramp": ramp})
+
+
+@query(f"""WITH RECURSIVE {_BALANCED} SELECT path, channel, CAST(face AS INTEGER) AS face, CASE WHEN (CASE face WHEN 0 THEN x = 0 WHEN 1 THEN x = power(2, level) - 1 WHEN 2 THEN y = 0 ELSE y = power(2, level) - 1 END) THEN kind ELSE 'custom' END AS kind
+FROM b, {_KINDS} AS k(channel, face, kind)""")
+def face_rules(spark, sf_dir):
+    """The kind of each leaf's faces, by channel; faces between leaves are custom."""
+    return C.block_conditions(even(spark, sf_dir), two_channels(spark))
+
+
+@query(f"""WITH RECURSIVE {_BALANCED}, nq AS (SELECT *, cx = 0 AND i = 0 AS west, cx = power(2, level) - 1 AND i = {WIDTH} AS east, cy = 0 AND j = 0 AS south FROM ({_EVERY_NODE})),
+f AS (SELECT *, {_CUBIC} AS u0, x * y AS v0, CASE WHEN south THEN 0e0 WHEN west THEN {_RAMP} ELSE {_CUBIC} END AS fu, CASE WHEN east THEN 0.25e0 ELSE x * y END AS fv FROM nq)
+SELECT path, i, j, round(fu + {ASIDE}, 7) AS u, round(fv + {ASIDE}, 7) AS v, round({ASIDE} + CASE WHEN east AND NOT west THEN 2e0 * ({_RAMP} - fu) ELSE u0 END, 7) AS du, round({ASIDE} + CASE WHEN south AND NOT west THEN 0.5e0 * ({_RAMP} - fv) ELSE v0 END, 7) AS dv FROM f""")
+def face_conditions(spark, sf_dir):
+    """Values and rates of two channels as a table of rules asks, with a target that changes along a face."""
+    cells = even(spark, sf_dir)
+    x = field(spark, sf_dir, cells).withColumn("v", M.position(0, WIDTH) * M.position(1, WIDTH)).withColumn("du", F.col("u")).withColumn("dv", F.col("v"))
+    out = C.with_face_conditions(x, cells, WIDTH, two_channels(spark), {"u": "du", "v": "dv"})
+    return out.select("path", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), *[F.round(F.col(c) + ASIDE, 7).alias(c) for c in ("u", "v", "du", "dv")])
+
+
+@query(f"""WITH RECURSIVE {_BALANCED} SELECT path, i, j, round({ASIDE} + CASE WHEN (cx = 0 AND i = 0) OR (cy = 0 AND j = 0) THEN {_AT['lap']} WHEN cx = power(2, level) - 1 AND i = {WIDTH} THEN 2e0 * ({_RAMP} - ({_AT['u']}))
+  WHEN cy = power(2, level) - 1 AND j = {WIDTH} THEN 0.5e0 - ({_AT['u']}) ELSE {_AT['lap']} END, 6) AS u FROM ({_EVERY_NODE})""")
+def table_rates(spark, sf_dir):
+    """A rate on a whole mesh with rules from a table, one of its targets a function of place."""
+    cells = even(spark, sf_dir)
+    rows = [("u", 1, "weak_dirichlet", "ramp", None, 2.0), ("u", 3, "weak_dirichlet", "0.5", None, None)]
+    rules = C.conditions(spark.createDataFrame(rows, C.RULES), ["u"], {"ramp": ramp})
+    x = V.apply(field(spark, sf_dir, cells), cells, WIDTH, lambda e: {"u": e.second_derivative("u", 0) + e.second_derivative("u", 1)}, rules)
+    return x.select("path", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round(F.col("u") + ASIDE, 6).alias("u"))
+
+
+def _fitted(t: str, k: str) -> str:
+    """The weight of node k of 7 for the nearest quadratic at t, both from the middle node on, by discrete orthogonal polynomials."""
+    return f"(1 / 7e0 + {t} * {k} / 28e0 + ({t} * {t} - 4) * ({k} * {k} - 4) / 84e0)"
+
+
+@query(f"""WITH RECURSIVE {_BALANCED}, placed AS (SELECT p_partkey, level, b.x AS cx, b.y AS cy, (p.x * power(2e0, level) - b.x) * {WIDTH} - 3 AS s, (p.y * power(2e0, level) - b.y) * {WIDTH} - 3 AS t FROM ({SQL['points']}) p
+  JOIN b ON floor(p.x * power(2e0, level)) = b.x AND floor(p.y * power(2e0, level)) = b.y),
+weighed AS (SELECT p_partkey, {_fitted('s', 'k')} * {_fitted('t', 'l')} AS w, (cx + (k + 3) / {WIDTH}e0) / power(2e0, level) AS x, (cy + (l + 3) / {WIDTH}e0) / power(2e0, level) AS y FROM placed, (SELECT unnest(range(-3, 4)) AS k), (SELECT unnest(range(-3, 4)) AS l))
+SELECT p_partkey, round(sum(w * ({_CUBIC})) + {ASIDE}, 7) AS u FROM weighed GROUP BY p_partkey""")
+def interpolate_low_order(spark, sf_dir):
+    """A cubic at scattered points, by the quadratic that is nearest to it on each point's leaf."""
+    cells = even(spark, sf_dir)
+    p = points(spark, sf_dir).withColumn("path", T.path_of([T.lattice(F.col(c), DEEP) for c in "xy"], DEEP))
+    return M.values_at(p, field(spark, sf_dir, cells), cells, WIDTH, order=2).select("p_partkey", F.round(F.col("u") + ASIDE, 7).alias("u"))

@@ -31,6 +31,23 @@ def read_runs(spark: SparkSession, root: str, schema: str = EVOLVE) -> DataFrame
     return rows.withColumn("param", F.regexp_extract("_f", r"([^/]+)/evolve_history\.csv$", 1).try_cast("double")).filter("param is not null").drop("_f")
 
 
+def evolve_schema(scalars: int) -> str:
+    """The columns of a run's history with its scalar fields."""
+    return ", ".join([EVOLVE, *[f"phi{k} double, pi{k} double" for k in range(scalars)]])
+
+
+def write_evolve(rows: DataFrame, path: str, scalars: int, earlier: DataFrame | None = None, offset: int = 0) -> None:
+    """A run's history in a new folder, columns in their fixed order, rows by ``output_index``.
+
+    A resumed run keeps the rows of ``earlier`` below ``offset``. Columns that are missing are an error, others are left out.
+    """
+    names = [c.split()[0] for c in evolve_schema(scalars).split(", ")]
+    whole = rows.select(*names)
+    if earlier is not None:
+        whole = earlier.select(*names).filter(F.col("output_index") < offset).unionByName(whole)
+    whole.orderBy("output_index").write.mode("errorifexists").option("header", True).csv(path)
+
+
 def save_checkpoint(tables: dict[str, DataFrame], meta: dict[str, str], path: str) -> None:
     """A folder of Parquet tables and a table of texts; an existing one is an error."""
     for name, df in tables.items():

@@ -140,13 +140,16 @@ class VtuSource(DataSource):
         return VtuWriter(self.options["path"], schema, overwrite)
 
 
-def pieces(nodes: DataFrame, width: int, x, y, fields: list[str]) -> DataFrame:
-    """One row for each leaf: points and fields in the order of (j, i), and the quads between them. Ghosts are left out."""
+def pieces(nodes: DataFrame, width: int, x, y, fields: list[str], z=None) -> DataFrame:
+    """One row for each leaf: points and fields in the order of (j, i), and the quads between them. Ghosts are left out.
+
+    With ``z`` the mesh lies in three dimensions, as a surface at the places that x, y and z give.
+    """
     n = width + 1
-    inside = nodes.filter(F.col("i").between(0, width) & F.col("j").between(0, width)).select("path", "i", "j", x.alias("__x"), y.alias("__y"), *fields)
-    held = inside.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("j", "i", "__x", "__y", *fields))).alias("n"))  # a leaf's nodes
+    inside = nodes.filter(F.col("i").between(0, width) & F.col("j").between(0, width)).select("path", "i", "j", x.alias("__x"), y.alias("__y"), (F.lit(0.0) if z is None else z).alias("__z"), *fields)
+    held = inside.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("j", "i", "__x", "__y", "__z", *fields))).alias("n"))  # a leaf's nodes
     corners = [j * n + i + k for j in range(width) for i in range(width) for k in (0, 1, n + 1, n)]
-    points = F.flatten(F.transform("n", lambda v: F.array(v["__x"], v["__y"], F.lit(0.0))))
+    points = F.flatten(F.transform("n", lambda v: F.array(v["__x"], v["__y"], v["__z"])))
     return held.select(points.alias("points"), F.expr(f"array({', '.join(map(str, corners))})").alias("quads"), *[F.transform("n", lambda v: v[f]).alias(f) for f in fields])  # noqa: B023
 
 
