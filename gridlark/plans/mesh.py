@@ -13,7 +13,7 @@ from ..operators import mesh as M
 from ..operators import tree as T
 from ..operators import wavelets as WA
 from .nodes import SQL, num, points
-from .trees import _LEAVES, DEEP, leaves, sql_path
+from .trees import _LEAVES, DEEP, leaves, sql_cell, sql_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -431,11 +431,11 @@ def _fitted(t: str, k: str) -> str:
 
 
 @query(f"""WITH RECURSIVE {_BALANCED}, placed AS (SELECT p_partkey, level, b.x AS cx, b.y AS cy, (p.x * power(2e0, level) - b.x) * {WIDTH} - 3 AS s, (p.y * power(2e0, level) - b.y) * {WIDTH} - 3 AS t FROM ({SQL['points']}) p
-  JOIN b ON floor(p.x * power(2e0, level)) = b.x AND floor(p.y * power(2e0, level)) = b.y),
+  JOIN b ON {sql_cell('p.x')} // CAST(power(2, {DEEP} - level) AS BIGINT) = b.x AND {sql_cell('p.y')} // CAST(power(2, {DEEP} - level) AS BIGINT) = b.y),
 weighed AS (SELECT p_partkey, {_fitted('s', 'k')} * {_fitted('t', 'l')} AS w, (cx + (k + 3) / {WIDTH}e0) / power(2e0, level) AS x, (cy + (l + 3) / {WIDTH}e0) / power(2e0, level) AS y FROM placed, (SELECT unnest(range(-3, 4)) AS k), (SELECT unnest(range(-3, 4)) AS l))
 SELECT p_partkey, round(sum(w * ({_CUBIC})) + {ASIDE}, 7) AS u FROM weighed GROUP BY p_partkey""")
 def interpolate_low_order(spark, sf_dir):
-    """A cubic at scattered points, by the quadratic that is nearest to it on each point's leaf."""
+    """A cubic at scattered points, by the quadratic that is nearest to it on each point's leaf; on a border that is the lower one's."""
     cells = even(spark, sf_dir)
     p = points(spark, sf_dir).withColumn("path", T.path_of([T.lattice(F.col(c), DEEP) for c in "xy"], DEEP))
     return M.values_at(p, field(spark, sf_dir, cells), cells, WIDTH, order=2).select("p_partkey", F.round(F.col("u") + ASIDE, 7).alias("u"))
