@@ -245,7 +245,13 @@ def renamed(text: Column, names: Column) -> Column:
             new = F.transform(ps, lambda p: F.struct(p.alias("p"), found(p).alias("s")))
             return let(new, lambda x: F.struct(F.array_join(F.transform(x, lambda y: F.coalesce(y["s"], y["p"])), "'").alias("text"), F.size(F.filter(x, lambda y: y["s"].isNotNull())).alias("n")))
 
-        whole = let(found(run), lambda s: F.when(s.isNotNull(), F.struct(s.alias("text"), F.lit(1).alias("n"))).otherwise(parts(F.split(run, "'"))))
+        def owned(stem: Column) -> Column:
+            """A name with an apostrophe inside, before a possessive."""
+            named = lambda s: F.struct(F.concat(s, F.substring(run, F.length(stem) + 1, F.length(run))).alias("text"), F.lit(1).alias("n"))
+            return let(found(stem), lambda s: F.when(s.isNotNull(), named(s)).otherwise(parts(F.split(run, "'"))))
+
+        stem = F.regexp_replace(run, POSSESSIVE, "")
+        whole = let(found(run), lambda s: F.when(s.isNotNull(), F.struct(s.alias("text"), F.lit(1).alias("n"))).otherwise(let(stem, owned)))
         return F.when(run.rlike(r"\p{Lu}"), whole).otherwise(plain)
 
     done = F.transform(F.regexp_extract_all(text, F.lit(RUNS), F.lit(0)), one)

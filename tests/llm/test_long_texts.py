@@ -179,3 +179,14 @@ def test_long_words(spark):
     word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
     rows = timed(packing.pack(frame(spark, [(1, word), (2, "a" * 1_000_000)])), 120)
     assert sum(r.length for r in rows) == sum(len(encoder.ids(w)) // 4 + 1 for w in (word, "a" * 1_000_000))
+
+
+def test_names_with_apostrophes_before_a_possessive(spark):
+    """A name with an apostrophe inside goes where 's follows it, too; plain names and other words as before."""
+    texts = ["Mr O'Neil came. O'Neil's car, O'Neil, O'Neil's; O'Nei's", "Mrs Smith's and Smith's, Smithson's", "Mr O'Neil's house is O'Neil's, not Neil's"]
+    got = {r.doc_id: r for r in pii.with_surrogates(frame(spark, list(enumerate(texts)))).collect()}
+    new = regex.match(r"Mr (\p{L}+) came\.", got[0].text)[1]
+    assert got[0].text == f"Mr {new} came. {new}'s car, {new}, {new}'s; O'Nei's" and got[0].pii_count == 4
+    smith = regex.match(r"Mrs (\p{L}+)'s", got[1].text)[1]
+    assert smith != "Smith" and got[1].text == f"Mrs {smith}'s and {smith}'s, Smithson's" and got[1].pii_count == 2
+    assert got[2].text == f"Mr {new}'s house is {new}'s, not Neil's" and got[2].pii_count == 2
