@@ -24,6 +24,7 @@ pieces of their own. Empty input gives no rows. Only ``doc_id`` and ``text`` are
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
@@ -44,7 +45,7 @@ WINDOW = 200_000
 #: Parts that every length is dealt to at least.
 SALTS = 64
 TOKENIZER = "word_bpe_49k.json"
-#: Words kept in a worker's table of encoded words before it starts anew.
+#: Words kept in a worker's tables of encoded words: a table of half as many, and the one before it.
 CACHED_WORDS = 1_000_000
 
 
@@ -57,11 +58,13 @@ class Merges:
     """Byte-pair merges applied to many words at once.
 
     Each step merges, in every word, the leftmost of its pairs of lowest rank, as a queue of one word
-    would; words of similar length share a matrix.
+    would; words of similar length share a matrix, a word in each column.
     """
 
     NONE = np.int64(1 << 40)
-    #: Bytes from which on a word goes through a queue of its own, as a matrix moves its whole row at each merge.
+    #: In place of an id, what no pair has.
+    OUTSIDE = np.int64((1 << 20) - 1)
+    #: Bytes from which on a word goes through a queue of its own, as a matrix looks through its whole column at each merge.
     LONG = 400
 
     def __init__(self, path: str):
@@ -73,20 +76,18 @@ class Merges:
         self.inner = np.array([vocab[c] for c in signs], np.int64)
         self.last = np.array([vocab[c + suffix] for c in signs], np.int64)
         left, right = (np.array([vocab[p[i]] for p in pairs], np.int64) for i in (0, 1))
-        merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        merged = self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         # rank and result of a pair in one number; an open table of 2 ** bits places finds it
         self.bits = 18
         self.keys = np.full((1 << self.bits) + 64, -1, np.int64)
         self.values = np.full((1 << self.bits) + 64, self.NONE, np.int64)
-        self.probes = 1
         self.pairs: dict[int, int] = {}
         for key, value in zip((left << 20 | right).tolist(), (np.arange(len(pairs)) << 20 | merged).tolist(), strict=True):
-            at = home = self.home(key)
+            at = self.home(key)
             while self.keys[at] >= 0:
                 at += 1
             self.keys[at], self.values[at] = key, value
             self.pairs[key] = value
-            self.probes = max(self.probes, at - home + 1)
 
     def home(self, key):
         return (key * 11400714819323 >> 20) % (1 << self.bits)
@@ -94,14 +95,15 @@ class Merges:
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
         at = self.home(key)
-        out = np.full(key.shape, self.NONE)
-        open_ = np.ones(key.shape, bool)
-        for k in range(self.probes):
-            found = self.keys[at + k]
-            np.copyto(out, self.values[at + k], where=open_ & (found == key))
-            open_ &= (found != key) & (found >= 0)
-            if not open_.any():
-                break
+        found = self.keys[at]
+        out = np.where(found == key, self.values[at], self.NONE)
+        rows = np.nonzero((found != key) & (found >= 0))[0]  # few: most places hold the pair or nothing
+        while len(rows):
+            at[rows] += 1
+            found = self.keys[at[rows]]
+            hit = found == key[rows]
+            out[rows[hit]] = self.values[at[rows[hit]]]
+            rows = rows[~hit & (found >= 0)]
         return out
 
     def encode(self, words: list[bytes]) -> list[bytes]:
@@ -159,45 +161,51 @@ class Merges:
         return codes[codes >= 0].astype("<u4").tobytes()
 
     def matrix(self, words: list[bytes], length: np.ndarray) -> list[bytes]:
+        """Words in columns: a merge writes the places it touches, and links lead past those that are gone."""
         n, width = len(words), int(length.max())
         if not width:
             return [b""] * n
-        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width)
-        ids = self.inner[raw]
-        rows = np.arange(n)
-        some = length > 0
-        ids[rows[some], length[some] - 1] = self.last[raw[rows[some], length[some] - 1]]
-        done = np.zeros((n, width), "<u4")
-        sizes = length.copy()
-        column = np.arange(width)
-        rank = np.full((n, width), self.NONE)
-        if width > 1:
-            rank[:, :-1] = self.ranks(ids[:, :-1], ids[:, 1:])
-        rank[column[None, :] + 1 >= length[:, None]] = self.NONE
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width).T
+        # one more row stands for what is outside of a word, and makes no pair
+        ids = np.full((width + 1, n), self.OUTSIDE)
+        place = np.arange(width)[:, None]
+        inside = place < length
+        ids[:-1][inside] = self.inner[raw][inside]
+        some = np.nonzero(length)[0]
+        ids[length[some] - 1, some] = self.last[raw[length[some] - 1, some]]
+        alive = inside.copy()
+        right = np.where(inside, place + 1, width).astype(np.int16)
+        right[length[some] - 1, some] = width
+        left = np.repeat(np.where(place > 0, place - 1, width), n, axis=1).astype(np.int16)
+        left = np.concatenate([left, np.full((1, n), width, np.int16)])
+        # rank and place of each pair in one number, so that the least one is the leftmost of lowest rank
+        none = np.int32(1 << 30)
+        pair = np.full((width + 1, n), none)
+        pair[: width - 1] = self.placed(self.ranks(ids[: width - 1].ravel(), ids[1:width].ravel()).reshape(width - 1, n), place[:-1], none)
+        columns = np.arange(n)
         while True:
-            j = rank.argmin(axis=1)
-            best = rank[np.arange(len(rows)), j]
-            live = best < self.NONE
-            if not live.all():
-                done[rows[~live], : ids.shape[1]] = ids[~live]
-                sizes[rows[~live]] = length[~live]
-                rows, ids, rank, length, j, best = rows[live], ids[live], rank[live], length[live], j[live], best[live]
-            if not len(rows):
+            best = pair[:width].min(axis=0) if len(columns) == n else pair[:width, columns].min(axis=0)
+            live = best < none
+            columns, best = columns[live], best[live]
+            if not len(columns):
                 break
-            each = np.arange(len(rows))
-            ids[each, j] = best & 0xFFFFF
-            # what stands right of the merged pair moves one place to the left
-            source = np.minimum(column[None, : ids.shape[1]] + (column[None, : ids.shape[1]] > j[:, None]), ids.shape[1] - 1)
-            ids = np.take_along_axis(ids, source, 1)
-            rank = np.take_along_axis(rank, source, 1)
-            rank[:, -1] = self.NONE
-            length = length - 1
-            right = np.minimum(j + 1, ids.shape[1] - 1)
-            rank[each, j] = np.where(j + 1 < length, self.ranks(ids[each, j], ids[each, right]), self.NONE)
-            left = np.maximum(j - 1, 0)
-            rank[each, left] = np.where(j > 0, self.ranks(ids[each, left], ids[each, j]), rank[each, left])
-        flat, stride = done.tobytes(), 4 * width
-        return [flat[i * stride : i * stride + 4 * k] for i, k in enumerate(sizes.tolist())]
+            j = (best & 511).astype(np.intp)
+            new = self.merged[best >> 9]
+            gone = right[j, columns].astype(np.intp)
+            after, before = right[gone, columns].astype(np.intp), left[j, columns].astype(np.intp)
+            ids[j, columns] = new
+            alive[gone, columns] = False
+            pair[gone, columns] = none
+            right[j, columns] = after
+            left[after, columns] = j
+            pair[j, columns] = self.placed(self.ranks(new, ids[after, columns]), j, none)
+            pair[before, columns] = self.placed(self.ranks(ids[before, columns], new), before, none)
+        flat = ids[:-1].T[alive.T].astype("<u4").tobytes()
+        ends = np.cumsum(alive.sum(axis=0) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def placed(self, values: np.ndarray, place: np.ndarray, none: np.int32) -> np.ndarray:
+        return np.where(values < self.NONE, (values >> 20 << 9) | place, none).astype(np.int32)
 
 
 class WordEncoder:
@@ -211,9 +219,8 @@ class WordEncoder:
 
     #: The tokenizer's own split, for lower-case plain words; a line feed ends a word.
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|\n|[^\na-z0-9\xdf-\xf6\xf8-\xff]+")
-    #: Signs of which a run is a part of its own after letters, and words of letters and such a run.
-    MARKS = ".,;:!?"
-    SIMPLE = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,;:!?]*")
+    #: For each line, letters and signs of which a run is a part of its own after letters, and what else there is.
+    SIMPLE = re.compile("^([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([.,;:!?]*)(.*)$", re.MULTILINE)
     PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
     def __init__(self, path: str):
@@ -223,6 +230,7 @@ class WordEncoder:
         self.merges = Merges(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
         sample = [w.encode() for w in "Don't we'LL go to 1,234.5 (x_y) <<a>> ab'cd! \xc9t\xe9 \xdcber \xd1 \xf8\xff-\xdf unbelievably end., what?! a.b. No:".split()]
         self.learn(sample)
@@ -233,22 +241,22 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, new: list[bytes]) -> None:
-        simple, plain = [], []
-        for raw, word in zip(new, b"\n".join(new).decode().split("\n") if new else [], strict=True):
-            if self.SIMPLE.fullmatch(word):
-                simple.append((raw, word))
-            elif self.PLAIN.fullmatch(word):
+        simple, heads, marks, plain = [], [], [], []
+        for raw, (head, mark, rest) in zip(new, self.SIMPLE.findall(b"\n".join(new).decode()) if new else [], strict=True):
+            if head and not rest:
+                simple.append(raw)
+                heads.append(head)
+                marks.append(mark)
+            elif self.PLAIN.fullmatch(word := f"{head}{mark}{rest}"):
                 plain.append((raw, word))
             else:
                 self.table[raw] = self.ids(word)
         found = self.PARTS.findall("".join([f"{w}\n" for _, w in plain]).lower())
-        heads = [w.rstrip(self.MARKS) for _, w in simple]
-        marks = [w[len(h) :] for (_, w), h in zip(simple, heads, strict=True)]
         letters = "\n".join(heads).lower().split("\n") if heads else []
         parts = self.parts
         fresh = [p for p in {*found, *letters, *marks} if p not in parts and p != "\n"]
         parts.update(zip(fresh, self.merges.encode([p.encode() for p in fresh]), strict=True))
-        self.table.update([(w[0], parts[a] + parts[m]) for w, a, m in zip(simple, letters, marks, strict=True)])
+        self.table.update(zip(simple, [parts[a] + parts[m] for a, m in zip(letters, marks, strict=True)], strict=True))
         code, words = b"", iter(plain)
         for part in found:
             if part == "\n":
@@ -258,19 +266,32 @@ class WordEncoder:
                 code += parts[part]
 
     def encode(self, raw: list[bytes]) -> list[bytes]:
-        cut = [None if any(s in r for s in self.special) else r.replace(b"\n", b" ").split(b" ") for r in raw]
-        if len(self.table) + len(self.parts) > CACHED_WORDS:
-            self.table = {b"": b""}
-            self.parts = {"": b""}
-        new = set()
-        for c in cut:
-            if c is not None:
-                new.update(c)
-        new = [w for w in new if w not in self.table]
-        if new:
-            self.learn(new)
-        get = self.table.__getitem__
-        return [self.ids(r.decode()) if c is None else b"".join(map(get, c)) for r, c in zip(raw, cut, strict=True)]
+        if len(self.table) + len(self.parts) > CACHED_WORDS // 2:
+            self.older, self.table, self.parts = self.table, {b"": b""}, {"": b""}
+        get, cut, new = self.table.get, [], set()
+        for r in raw:
+            if any(s in r for s in self.special):
+                cut.append(None)
+                continue
+            words = r.replace(b"\n", b" ").split(b" ")
+            codes = list(map(get, words))
+            open_ = [k for k, c in enumerate(codes) if c is None]
+            missing = [words[k] for k in open_]
+            new.update(missing)
+            cut.append((codes, open_, missing))
+        again = {w: c for w in new if (c := self.older.get(w)) is not None}
+        self.table.update(again)
+        self.learn([w for w in new if w not in again])
+        out = []
+        for r, c in zip(raw, cut, strict=True):
+            if c is None:
+                out.append(self.ids(r.decode()))
+                continue
+            codes, open_, missing = c
+            for k, w in zip(open_, missing, strict=True):
+                codes[k] = self.table[w]
+            out.append(b"".join(codes))
+        return out
 
 
 @cache
@@ -301,6 +322,7 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAP
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_of(tokenizer or tokenizer_path())
         for batch in sliced(batches):
+            gc.disable()  # nothing here is in a cycle, and a collection walks the tables
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts(batch)), strict=True):
                 ids += last
@@ -309,6 +331,7 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAP
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)) + (np.frombuffer(part, "<u4"),) * keep_ids)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * keep_ids
             names = [x.split()[0] for x in schema.split(", ")]
+            gc.enable()
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return docs.select("doc_id", "text").mapInArrow(kernel, schema)

@@ -190,3 +190,16 @@ def test_names_with_apostrophes_before_a_possessive(spark):
     smith = regex.match(r"Mrs (\p{L}+)'s", got[1].text)[1]
     assert smith != "Smith" and got[1].text == f"Mrs {smith}'s and {smith}'s, Smithson's" and got[1].pii_count == 2
     assert got[2].text == f"Mr {new}'s house is {new}'s, not Neil's" and got[2].pii_count == 2
+
+
+def test_words_stay_known_when_a_table_is_full(monkeypatch):
+    """A word that comes again and again is encoded once, however many others fill the tables; ids are the tokenizer's."""
+    monkeypatch.setattr(packing, "CACHED_WORDS", 600)
+    encoder, rng = packing.WordEncoder(packing.tokenizer_path()), random.Random(3)
+    learned, learn = [], encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda new: (learned.extend(new), learn(new)))
+    for _ in range(40):
+        texts = ["common words, again! " + " ".join("".join(rng.choice("abcdeÉßX.'9\n") for _ in range(rng.randrange(1, 9))) for _ in range(60)) for _ in range(2)]
+        assert encoder.encode([t.encode() for t in texts]) == [encoder.ids(t) for t in texts]
+        assert len(encoder.table) + len(encoder.older) <= 600 + 300
+    assert len(learned) > 2000 and all(learned.count(w) == 1 for w in (b"common", b"words,", b"again!"))
