@@ -727,3 +727,30 @@ def test_clashing_columns(spark):
         for n in set(names) & set(out.columns):
             if operator in (quality.cleaned_documents, pii.with_surrogates, mixing.mixed_documents, jaccard_join.one_of_each):
                 assert {r[n] for r in out.select(n).collect()} == {7}
+
+
+def test_contexts_are_cut_to_what_they_share():
+    """Against all pairs; contexts without a string in common never reach a suffix array, those alike after the cut are counted."""
+    r = random.Random(8)
+    cut = suffix_dedup.Cut(20, 4)
+    for _ in range(300):
+        k = r.randint(2, 5)
+        base = [r.choice("abc") for _ in range(36)]
+        contexts, places = [], []
+        for _ in range(k):
+            own = [c if r.random() < 0.97 else r.choice("xyz") for c in base]
+            own[16:20] = "WXYZ"  # the anchor
+            a, b = r.randint(0, 16), r.randint(max(20, 0), 36)
+            contexts.append("".join(own[a:b]).encode())
+            places.append(16 - a)
+        rows = [(7, (i, 0, 100 * i, 1), p, c) for i, (p, c) in enumerate(zip(places, contexts, strict=True))]
+        whole = []
+        left = list(suffix_dedup.trimmed(rows, cut, whole))
+        found = [*suffix_dedup.resolve(left, cut), *whole]
+        got = {(doc, first + x - 100 * doc) for (doc, _, first, n), a, b in found if n == 1 for x in range(a, b + 1)}
+        strings = Counter((places[i] - x, c[x : x + 20]) for i, c in enumerate(contexts) for x in range(len(c) - 19) if x <= places[i] and places[i] + 4 <= x + 20)
+        want = {(i, x) for i, c in enumerate(contexts) for x in range(len(c) - 19) if strings[places[i] - x, c[x : x + 20]] > 1}
+        assert got == want
+        assert all(len(set(c for _, _, c in left)) == len(left) for _ in left) and len(left) != 1
+    alone = [(1, (0, 0, 0, 1), 10, b"a" * 10 + b"WXYZ" + b"b" * 10), (1, (1, 0, 0, 1), 10, b"c" * 10 + b"WXYZ" + b"d" * 10)]
+    assert list(suffix_dedup.trimmed(alone, cut, whole := [])) == [] and whole == []
