@@ -24,9 +24,11 @@ it. Only ``doc_id`` and ``text`` are read, so further columns may have any name.
 
 from __future__ import annotations
 
+import gc
 import json
 import math
 from collections import Counter
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -98,6 +100,12 @@ class Pieces:
         return some[hit], ids[at[hit]]
 
 
+@cache
+def pieces_of(path: str) -> Pieces:
+    """One table for all tasks of a worker."""
+    return Pieces.load(path)
+
+
 def lattice(words: list[bytes], pieces: Pieces):
     """Batches (places, matrix of letters, length) of the words that have the same length."""
     by: dict[int, list[int]] = {}
@@ -250,7 +258,7 @@ def path_of(vocabulary: str | None) -> str:
 def fit_scores(counts: DataFrame, ends: int, *, vocabulary: str | None = None, steps: int = STEPS) -> np.ndarray:
     """Log probabilities of the pieces and, as the last one, of the end, from the word counts of training."""
     spark = counts.sparkSession
-    pieces = Pieces.load(path_of(vocabulary))
+    pieces = pieces_of(path_of(vocabulary))
     score = pieces.start - np.logaddexp.reduce(pieces.start)
     for _ in range(steps):
         shared = spark.sparkContext.broadcast(score)
@@ -258,7 +266,7 @@ def fit_scores(counts: DataFrame, ends: int, *, vocabulary: str | None = None, s
         def kernel(batches, shared=shared):
             import pyarrow as pa
 
-            pieces, total = Pieces.load(path_of(vocabulary)), None
+            pieces, total = pieces_of(path_of(vocabulary)), None
             for batch in batches:
                 words = batch.column(0).to_pylist()
                 if words:
@@ -292,7 +300,7 @@ def score_documents(docs: DataFrame, *, vocabulary: str | None = None, heavy: in
     def rate(batches):
         import pyarrow as pa
 
-        pieces = Pieces.load(path_of(vocabulary))
+        pieces = pieces_of(path_of(vocabulary))
         for batch in batches:
             words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             own = log_probability(words, pieces, shared.value) / ln10
@@ -316,22 +324,26 @@ def score_documents(docs: DataFrame, *, vocabulary: str | None = None, heavy: in
         known, row = words.value, TaskContext.get().partitionId() << 40
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         for batch in sliced(batches):
+            gc.disable()  # nothing here is in a cycle, and a collection walks all that is kept
             out: list[list] = [[] for _ in kinds]
             for doc, raw in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
                 row += 1
                 n_tokens, n_known, base, own = 1, int(ends > 0), end_base, end_score / ln10
-                rest = []
-                for w, k in sorted(Counter(tokens(raw)).items()):
+                rest, times = [], []
+                for w, k in Counter(tokens(raw)).items():
                     n_tokens += k
-                    if w in known:
-                        c, b, o = known[w]
-                        n_known, base, own = n_known + k * (c > 0), base + k * b, own + k * o
+                    found = known.get(w)
+                    if found is None:
+                        rest.append(w)
+                        times.append(k)
                     else:
-                        rest.append((w, k))
+                        c, b, o = found
+                        n_known, base, own = n_known + k * (c > 0), base + k * b, own + k * o
                 none = [None] * len(rest)
-                for column, first, more in zip(out, (row, doc, None, 0, n_tokens, n_known, base, own), ([row] * len(rest), none, [w for w, _ in rest], [k for _, k in rest], none, none, none, none), strict=True):
+                for column, first, more in zip(out, (row, doc, None, 0, n_tokens, n_known, base, own), ([row] * len(rest), none, rest, times, none, none, none, none), strict=True):
                     column.append(first)
                     column += more
+            gc.enable()
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
     # stored, so that row numbers agree

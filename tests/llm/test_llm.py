@@ -754,3 +754,8 @@ def test_contexts_are_cut_to_what_they_share():
         assert all(len(set(c for _, _, c in left)) == len(left) for _ in left) and len(left) != 1
     alone = [(1, (0, 0, 0, 1), 10, b"a" * 10 + b"WXYZ" + b"b" * 10), (1, (1, 0, 0, 1), 10, b"c" * 10 + b"WXYZ" + b"d" * 10)]
     assert list(suffix_dedup.trimmed(alone, cut, whole := [])) == [] and whole == []
+
+
+def test_pieces_are_loaded_once_a_worker():
+    path = lattice_lm.path_of(None)
+    assert lattice_lm.pieces_of(path) is lattice_lm.pieces_of(path)
